@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, packing, secrets, sharding
+from . import bpe, gif, packing, secrets, sharding, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,6 +33,19 @@ def op3_label_propagation_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), shards=8)
 
 
+@query
+def op5_content_addressed_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+ORACLES["op5_content_addressed_warc"] = warc.ORACLE
+
+
+@query
+def op6_gif_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gif.text_features(table(spark, sf_dir, "documents"))
+
+
 @query
 def op9_bounded_space_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))

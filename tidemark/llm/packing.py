@@ -35,7 +35,8 @@ OPEN = 32
 GAP = 16
 MERGED = 64
 END = 1
-REMEMBERED = 300_000
+#: Words that a worker process keeps, some 200 bytes each.
+REMEMBERED = 900_000
 
 PIECE = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
 SCHEMA = f"{PIECE}, part bigint, window bigint, offset bigint, closed boolean"
@@ -44,29 +45,69 @@ TYPES = [pa.int64()] * 8 + [pa.bool_()]
 
 
 class Words:
-    """Ids of a text by a ``tokenizers`` file whose pre-tokenizer never crosses white
-    space: each run without white space is encoded once and remembered."""
+    """Ids of a text by a ``tokenizers`` file that lower-cases and whose pre-tokenizer
+    parts letters, digits, the rest and white space.
+
+    Each run without white space is encoded once and remembered. A new run of plain Latin
+    letters, with or without punctuation behind, is put together from its parts; new words
+    are encoded many at a time, as one text in which each ends where a word-end token does.
+    Any other run is encoded by itself.
+    """
 
     ODD = re.compile("[\x1c-\x1f]")
-    SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
+    SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+    MARKS = "!#$%&*+,-./:;<=>?@^_`{|}~()[]\"\\"
+    PLAIN = re.compile("[A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u012f\u0131-\u024f]+")
+    AT_ONCE = 256
 
     def __init__(self, spec: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(spec)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ending = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ending[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.seen: dict[str, bytes] = {}
+        self.plain: dict[str, bytes] = {}
+
+    def _one(self, word: str) -> bytes:
+        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _learn(self, missing: set[str]) -> None:
+        seen, plain, parts = self.seen, self.plain, []
+        for word in missing:
+            core = word.rstrip(self.MARKS)
+            if self.PLAIN.fullmatch(core):
+                parts.append((word, core.lower(), word[len(core) :]))
+            else:
+                seen[word] = self._one(word)
+        fresh = list({core for _, core, _ in parts if core not in plain})
+        for at in range(0, len(fresh), self.AT_ONCE):
+            words = fresh[at : at + self.AT_ONCE]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+            ends = (np.flatnonzero(self.ending[ids]) + 1).tolist()
+            if len(ends) == len(words):
+                data = ids.tobytes()
+                plain.update((w, data[4 * a : 4 * b]) for w, a, b in zip(words, [0, *ends[:-1]], ends, strict=True))
+            else:
+                plain.update((w, self._one(w)) for w in words)
+        for word, core, marks in parts:
+            if marks and marks not in plain:
+                plain[marks] = self._one(marks)
+            seen[word] = plain[core] + plain[marks] if marks else plain[core]
 
     def __call__(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit numbers."""
         words = self.SPACE.split(text) if self.ODD.search(text) else text.split()
-        if missing := list(set(words).difference(self.seen)):
-            found = self.tokenizer.encode_batch(missing, add_special_tokens=False)
-            self.seen.update((w, np.array(x.ids, "<u4").tobytes()) for w, x in zip(missing, found, strict=True))
-        ids = b"".join(map(self.seen.__getitem__, words))
-        if len(self.seen) > REMEMBERED:
-            self.seen.clear()
-        return ids
+        seen = self.seen
+        if missing := [w for w in words if w not in seen]:
+            if len(seen) + len(self.plain) > REMEMBERED:
+                seen.clear()
+                self.plain.clear()
+                missing = words
+            self._learn(set(missing))
+        return b"".join(map(seen.__getitem__, words))
 
 
 _words: dict[str, Words] = {}

@@ -26,7 +26,8 @@ import regex
 import xxhash
 from pyspark.sql import DataFrame
 
-REMEMBERED = 200_000
+#: Pre-tokens that a worker process keeps, some 200 bytes each.
+REMEMBERED = 700_000
 PRIME = (1 << 61) - 1
 
 
@@ -150,12 +151,13 @@ class Bpe:
     def encode(self, text: str) -> list[int]:
         tokens = self.find(text)
         seen = self.seen
-        for token in set(tokens).difference(seen):
-            seen[token] = self.piece(token.encode())
-        ids = list(chain.from_iterable(map(seen.__getitem__, tokens)))
-        if len(seen) > REMEMBERED:
-            seen.clear()
-        return ids
+        if missing := [t for t in tokens if t not in seen]:
+            if len(seen) > REMEMBERED:
+                seen.clear()
+                missing = tokens
+            for token in set(missing):
+                seen[token] = self.piece(token.encode())
+        return list(chain.from_iterable(map(seen.__getitem__, tokens)))
 
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.bytes.__getitem__, ids))

@@ -18,28 +18,34 @@ def read_stream(spark: SparkSession, folder: str, schema: str, pattern: str = "*
     return spark.readStream.schema(schema).option("pathGlobFilter", pattern).option("maxFilesPerTrigger", files).parquet(folder)
 
 
+def _marked(ticks: DataFrame, time: str, late: str) -> DataFrame:
+    """``time`` as a timestamp, with a watermark if the rows are a stream."""
+    timed = ticks.withColumn(time, F.col(time).cast("timestamp"))
+    return timed.withWatermark(time, late) if ticks.isStreaming else timed
+
+
 def continuous(ticks: DataFrame, series: str, time: str, value: str, bucket: str = "1 day", late: str = "30 days") -> DataFrame:
     """Mean, spread and count by series and bucket; buckets close ``late`` after their end."""
-    marked = ticks.withWatermark(time, late) if ticks.isStreaming else ticks
+    marked = _marked(ticks, time, late)
     grouped = marked.groupBy(F.col(series).alias("series_id"), F.window(time, bucket).alias("w"))
     return grouped.agg(F.avg(value).alias("avg_value"), F.stddev_samp(value).alias("std_value"), F.count("*").alias("n")).select("series_id", F.col("w.start").alias("bucket"), "avg_value", "std_value", "n")
 
 
 def sliding(ticks: DataFrame, series: str, time: str, value: str, width: str = "2 hours", step: str = "1 hour", late: str = "1 day") -> DataFrame:
-    marked = ticks.withWatermark(time, late) if ticks.isStreaming else ticks
+    marked = _marked(ticks, time, late)
     grouped = marked.groupBy(F.col(series).alias("series_id"), F.window(time, width, step).alias("w"))
     return grouped.agg(F.avg(value).alias("avg_value"), F.count("*").alias("n")).select("series_id", F.col("w.start").alias("bucket"), "avg_value", "n")
 
 
 def sessions(ticks: DataFrame, key: str, time: str, gap: str = "30 minutes", late: str = "1 day") -> DataFrame:
-    marked = ticks.withWatermark(time, late) if ticks.isStreaming else ticks
+    marked = _marked(ticks, time, late)
     grouped = marked.groupBy(F.col(key).alias("key"), F.session_window(time, gap).alias("w"))
     return grouped.agg(F.count("*").alias("n")).select("key", F.col("w.start").alias("started"), F.col("w.end").alias("ended"), "n")
 
 
 def alerts(ticks: DataFrame, series: str, time: str, most: int = 3, late: str = "1 day") -> DataFrame:
     """Days with more than ``most`` rows of a series."""
-    marked = ticks.withWatermark(time, late) if ticks.isStreaming else ticks
+    marked = _marked(ticks, time, late)
     days = marked.groupBy(F.col(series).alias("series_id"), F.window(time, "1 day").alias("w")).agg(F.count("*").alias("n"))
     return days.where(F.col("n") > most).select("series_id", F.col("w.start").alias("day"), "n")
 
@@ -62,7 +68,7 @@ def freshness(ticks: DataFrame, series: str, time: str, timeout_ms: int = 4 * 36
         state.setTimeoutDuration(timeout_ms)
         yield pd.DataFrame({"series_id": [key[0]], "last_time": [pd.Timestamp(last)], "n": [n]})
 
-    rows = ticks.select(F.col(series).alias("series_id"), F.col(time).alias("at"))
+    rows = ticks.select(F.col(series).alias("series_id"), F.col(time).cast("timestamp").alias("at"))
     return rows.groupBy("series_id").applyInPandasWithState(update, LAST, "last long, n long", "update", GroupStateTimeout.ProcessingTimeTimeout)
 
 

@@ -115,3 +115,14 @@ def recent_ratio(rows: DataFrame, value: str, short_days: int = 7, long_days: in
         return F.avg(value).over(Window.partitionBy("series_id").orderBy("_s").rangeBetween(-days * 86400, 0))
 
     return rows.withColumns({"short_mean": mean(short_days), "long_mean": mean(long_days)}).withColumn("alert", F.col("short_mean") < F.col("long_mean") * share).drop("_s")
+
+
+def interpolated(rows: DataFrame, value: str) -> DataFrame:
+    """``filled``: nulls between known rows on the straight line, nulls after the last as
+    the last, nulls before the first kept."""
+    back, ahead = by_time((Window.unboundedPreceding, 0)), by_time((0, Window.unboundedFollowing))
+    at = F.when(F.col(value).isNotNull(), F.col("t"))
+    x0, t0 = F.last(value, ignorenulls=True).over(back), F.last(at, ignorenulls=True).over(back)
+    x1, t1 = F.first(value, ignorenulls=True).over(ahead), F.first(at, ignorenulls=True).over(ahead)
+    line = x0 + (x1 - x0) * divided((F.col("t") - t0).cast("double"), (t1 - t0).cast("double"))
+    return rows.withColumn("filled", F.coalesce(F.col(value), line, x0))

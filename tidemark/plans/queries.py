@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import distance, trailing
-from ..operators import analogies, backtest, bars, bootstrap, cycles, detrend, fte, normalize, positioning, regime, seasonality, structural, windows
+from ..operators import analogies, backtest, bars, bootstrap, cycles, detrend, fte, normalize, positioning, regime, seasonality, structural, windows, workflow
 from ..sources.tables import daily_bars, hourly_bars, proxy_reports, table, weekly_bars
 from ..streaming import views
 from .registry import register
@@ -428,3 +428,41 @@ register("set01_set_operations", lambda s, d: table(s, d, "customer").select("c_
 register("sc15_distances", lambda s, d: table(s, d, "events").groupBy("user_id").agg(F.slice(F.sort_array(F.collect_list("value")), 1, 8).alias("a")).where(F.size("a") == 8).select("user_id", *[distance(n, F.col("a"), F.array([F.lit(float(i)) for i in range(8)])).alias(n) for n in ("euclidean", "manhattan", "cosine")]), "",
     """SELECT user_id, list_distance(a, l) AS euclidean, list_sum(list_transform(range(8), lambda i: abs(a[i + 1] - l[i + 1]))) AS manhattan, 1 - list_cosine_similarity(a, l) AS cosine FROM (
     SELECT user_id, list_sort(list(value))[1:8] AS a, [0.0, 1, 2, 3, 4, 5, 6, 7]::DOUBLE[] AS l FROM events GROUP BY 1) WHERE len(a) = 8""", "user_id:i euclidean:d manhattan:d cosine:d")
+
+# -- Further operators ----------------------------------------------------------------------
+register("flt06_since_change", lambda s, d: positioning.since_change(proxy_reports(s, d), s.createDataFrame([("ASIA", "1998-01-01"), ("EUROPE", None)], "series_id string, day string").select("series_id", F.to_date("day").alias("regime_change_date"))).select("series_id", "time", "price"), "reports",
+    "SELECT series_id, time, price FROM reports WHERE series_id = 'EUROPE' OR (series_id = 'ASIA' AND time >= DATE '1998-01-01')", "series_id:s time:t price:d")
+register("flt10_page", lambda s, d: table(s, d, "part").select("p_partkey", "p_name", F.row_number().over(Window.partitionBy("p_brand").orderBy("p_partkey")).alias("n"), "p_brand").where("n > 10 AND n <= 20"), "",
+    "SELECT * FROM (SELECT p_partkey, p_name, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS n, p_brand FROM part) WHERE n > 10 AND n <= 20", "p_partkey:i p_name:s n:i p_brand:s")
+register("jn10_cascade_delete", lambda s, d: table(s, d, "orders").join(table(s, d, "customer").where("c_custkey % 10 = 0"), F.col("o_custkey") == F.col("c_custkey"), "left_anti").groupBy("o_orderstatus").agg(F.count("*").alias("n"), F.sum("o_totalprice").alias("total")), "",
+    "SELECT o_orderstatus, count(*) AS n, sum(o_totalprice) AS total FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 10 = 0) GROUP BY 1", "o_orderstatus:s n:i total:d")
+register("jn11_proxies", lambda s, d: positioning.proxied(s.createDataFrame([("GOLD", {"ASIA": 0.4, "EUROPE": 0.6})], "series_id string, proxy_weights map<string,double>")).join(positioning.latest_report(proxy_reports(s, d)).select(F.col("series_id").alias("proxy"), "price"), "proxy").select("series_id", "proxy", "weight", "price"), "reports",
+    "SELECT 'GOLD' AS series_id, series_id AS proxy, CASE series_id WHEN 'ASIA' THEN 0.4 ELSE 0.6 END AS weight, arg_max(price, time) AS price FROM reports WHERE series_id IN ('ASIA', 'EUROPE') GROUP BY series_id", "series_id:s proxy:s weight:d price:d")
+register("sc13_interpolated", on_weekly(lambda b: windows.interpolated(b.withColumn("x", F.when(F.col("t") % 4 == 1, F.col("close"))), "x").select("series_id", "t", "filled")), "weekly",
+    """WITH k AS (SELECT series_id, t, CASE WHEN t % 4 = 1 THEN close END AS x, max(t) OVER (PARTITION BY series_id) AS last FROM weekly),
+    e AS (SELECT *, (t - 1) - (t - 1) % 4 + 1 AS t0 FROM k WHERE t >= 1)
+    SELECT k.series_id, k.t, CASE WHEN k.t >= 1 THEN a.x + coalesce(b.x - a.x, 0) * (k.t - e.t0) / 4 END AS filled FROM k LEFT JOIN e ON k.series_id = e.series_id AND k.t = e.t
+    LEFT JOIN k a ON a.series_id = k.series_id AND a.t = e.t0 LEFT JOIN k b ON b.series_id = k.series_id AND b.t = e.t0 + 4""", "series_id:s t:i filled:d")
+register("str04_retained", on_weekly(lambda b: positioning.retained(b.withColumn("timeframe", F.when(F.col("series_id") == "BUILDING", "1d").otherwise("1h")), F.lit("2001-08-01").cast("date")).select("series_id", "time")), "weekly",
+    "SELECT series_id, time FROM weekly WHERE series_id = 'BUILDING' OR date_diff('day', time, DATE '2001-08-01') <= 30", "series_id:s time:t")
+
+
+def _directions(b: DataFrame) -> list[DataFrame]:
+    by = b.groupBy("series_id")
+    return [
+        by.agg(F.signum(F.regr_slope("close", "t")).alias("direction")),
+        by.agg(F.signum(F.max_by("close", "t") - F.min_by("close", "t")).alias("direction")),
+        by.agg(F.signum(F.max_by("close", "t") - F.avg("close")).alias("direction")),
+    ]
+
+
+register("sig01_agreement", on_weekly(lambda b: positioning.agreed(_directions(b))), "weekly",
+    """SELECT series_id, 3 AS votes, CASE WHEN a = b AND b = c THEN a ELSE 0 END AS direction FROM (SELECT series_id, sign(regr_slope(close, t)) AS a, sign(arg_max(close, t) - arg_min(close, t)) AS b, sign(arg_max(close, t) - avg(close)) AS c FROM weekly GROUP BY 1)""", "series_id:s votes:i direction:i")
+register("dec02_similar_digits", on_daily(lambda b: seasonality.similar_digits(seasonality.digits(seasonality.annual_returns(b))).select("series_id", "digit", "other", "similarity")), "daily",
+    f"WITH st AS ({DIGITS}) SELECT a.series_id, a.digit, b.digit AS other, 1 - abs(a.score - b.score) AS similarity FROM st a JOIN st b USING (series_id)", "series_id:s digit:i other:i similarity:d")
+register("dec03_forecast", on_daily(lambda b: seasonality.forecast(seasonality.digits(seasonality.annual_returns(b)), 1)), "daily",
+    f"""WITH st AS ({DIGITS}), g AS (SELECT o.*, abs(o.avg_return - c.avg_return) AS gap FROM st o JOIN st c ON o.series_id = c.series_id AND c.digit = 1 AND o.confidence > 0.3)
+    SELECT series_id, avg(avg_return) AS forecast, count(*) AS patterns FROM (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY gap, digit) AS n FROM g) WHERE n <= 3 GROUP BY 1""", "series_id:s forecast:d patterns:i")
+register("cyc12_slots", on_daily(lambda b: cycles.slots(cycles.dominant(cycles.correlations(detrend.preprocessed(b).select("series_id", "t", "x"), 10, 40))).select("series_id", "slot", "period")), "daily flat",
+    f"SELECT series_id, ['short', 'medium', 'long'][row_number() OVER (PARTITION BY series_id ORDER BY period)] AS slot, period FROM (SELECT series_id, period, row_number() OVER (PARTITION BY series_id ORDER BY energy DESC, period) AS rank FROM ({CORR_ROWS})) WHERE rank <= 3", "series_id:s slot:s period:i")
+register("wfl01_workflow", on_daily(lambda b: workflow.analyze(b, 2001)))

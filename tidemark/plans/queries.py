@@ -391,7 +391,7 @@ JOIN (SELECT series_id, count(*) AS trades, count(*) FILTER (pnl > 0) AS winning
 METRIC_COLUMNS = "series_id:s bars:i total_return:d cagr:d sharpe:d sortino:d max_drawdown:d trades:i winning:i losing:i win_rate:d profit_factor:d expectancy:d avg_trade_duration:d"
 register("bt02_metrics", on_daily(lambda b: backtest.metrics(_simulated(b)).drop("max_drawdown_duration")), "daily", f"WITH {SIM} {METRICS}", METRIC_COLUMNS)
 register("bt03_split", on_daily(lambda b: backtest.split(_simulated(b)).groupBy("series_id", "sample").agg(F.count("*").alias("n"), F.avg("ret").alias("mean_ret"))), "daily",
-    f"WITH {SIM} SELECT series_id, CASE WHEN t < floor(c * 0.7) THEN 'in' ELSE 'out' END AS sample, count(*) AS n, avg(ret) AS mean_ret FROM (SELECT *, count(*) OVER (PARTITION BY series_id) AS c FROM sim) GROUP BY 1, 2", "series_id:s sample:s n:i mean_ret:d")
+    f"WITH {SIM} SELECT series_id, CASE WHEN t < floor(c * CAST(0.7 AS DOUBLE)) THEN 'in' ELSE 'out' END AS sample, count(*) AS n, avg(ret) AS mean_ret FROM (SELECT *, count(*) OVER (PARTITION BY series_id) AS c FROM sim) GROUP BY 1, 2", "series_id:s sample:s n:i mean_ret:d")
 register("bt04_gate", on_daily(lambda b: backtest.gated(backtest.metrics(_simulated(b))).select("series_id", "passes")), "daily", f"WITH {SIM} SELECT series_id, sharpe > 1 AND win_rate > 0.5 AND max_drawdown < 0.25 AS passes FROM ({METRICS})", "series_id:s passes:b")
 register("bt05_folds", on_daily(lambda b: backtest.steadiness(backtest.metrics(backtest.folds(_simulated(b)), ["fold"]))), "daily",
     f"WITH {SIM} SELECT series_id, stddev_pop(sh) AS sharpe_std, count(*) AS folds, stddev_pop(sh) < 0.5 AS is_steady FROM (SELECT series_id, fold, avg(ret) / stddev_pop(ret) * sqrt(252.0) AS sh FROM (SELECT *, least(4, t * 5 // count(*) OVER (PARTITION BY series_id)) AS fold FROM sim) GROUP BY 1, 2) GROUP BY 1", "series_id:s sharpe_std:d folds:i is_steady:b")

@@ -423,3 +423,29 @@ def test_search(spark):
     assert hnsw.nearest(table.limit(0), F.col("id") % 50 == 0).count() == 0
     few = hnsw.nearest(table.where("vec_id < 3"), F.col("id") % 50 == 0).collect()
     assert [r["rank"] for r in few] == [1, 2]
+
+
+def test_blocks_find_what_alignment_accepts():
+    rng = np.random.default_rng(10)
+    base = rng.integers(0, 1 << 40, 120).astype(np.uint64)
+    words = []
+    for _ in range(60):
+        w = base.copy()
+        at = rng.random(len(w)) < rng.uniform(0, 0.05)
+        w[at] = rng.integers(0, 1 << 40, int(at.sum()))
+        words.append(w)
+    words += [base[:3], base[:3].copy(), np.repeat(base[:1], 50), np.repeat(base[:1], 52)]
+    want = list(range(len(words)))
+    for i in range(len(words)):
+        for j in range(i):
+            if order_minhash.alike(words[i], words[j]):
+                a, b = want[i], want[j]
+                want = [min(a, b) if r in (a, b) else r for r in want]
+    got = list(range(len(words)))
+    for i, j in order_minhash.links_within(words, got[:], [0] * len(words)):
+        a, b = got[i], got[j]
+        assert a != b
+        got = [min(a, b) if r in (a, b) else r for r in got]
+    assert got == want
+    sides = [i % 2 for i in range(len(words))]
+    assert all(sides[i] != sides[j] for i, j in order_minhash.links_within(words, list(range(len(words))), sides))

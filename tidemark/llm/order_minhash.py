@@ -12,10 +12,12 @@ against all shingles of both; or, as plain sets, if that is larger.
 How it stays linear: equal texts collapse into one representative (the smallest doc_id)
 before anything is compared. In every bucket all members are compared with one of them
 only, the bucket's smallest; links become classes by joins, each round written to the
-shared folder. Members of a bucket that then are in different classes are compared with
-each other, a pair once however many buckets it shares, so no link is lost to the choice of
-the first member. With all members alike that leaves nothing to do; unlike members meet
-rarely, since a key needs six equal minima.
+shared folder. Members of a bucket that then are in different classes are compared all
+with all, a block of up to ``BLOCK`` members against another at a time: shingles in common
+by one matrix product, alignments only for pairs that reach the threshold and that nothing
+has joined yet. Pairs stay inside the task and only links leave it, so a large group whose
+members hover around the threshold costs about a microsecond a pair, and no link is lost
+to the choice of the first member.
 
 Defined results: texts that are equal word for word (white space apart) are alike; texts
 of fewer than K words form one k-mer; a text without words is in a class with texts equal
@@ -41,6 +43,9 @@ ROWS = 2
 BANDS = 32
 SIMILAR = 0.8
 BAND = 0.2
+BLOCK = 256
+#: Up to so many texts are compared one by one.
+FEW = 6
 REMEMBERED = 400_000
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -190,25 +195,123 @@ def alike(a: np.ndarray, b: np.ndarray, similar: float = SIMILAR) -> bool:
     return kept is not None and max(kept / (len(x) + len(y) - kept), sets) >= similar
 
 
+def shared(found: list[np.ndarray], columns: int = 4096) -> np.ndarray:
+    """How many numbers each two of ``found`` have in common; none repeats within one."""
+    sizes = [len(x) for x in found]
+    _, place, count = np.unique(np.concatenate(found), return_inverse=True, return_counts=True)
+    use = np.flatnonzero(count[place] > 1)
+    number = np.cumsum(count > 1) - 1
+    row, column = np.repeat(np.arange(len(found)), sizes)[use], number[place[use]]
+    out = np.zeros((len(found), len(found)), np.float32)
+    for at in range(0, int(number[-1]) + 1 if len(number) else 0, columns):
+        part = (column >= at) & (column < at + columns)
+        dense = np.zeros((len(found), columns), np.float32)
+        dense[row[part], column[part] - at] = 1
+        out += dense @ dense.T
+    return out
+
+
+def links_within(words: list[np.ndarray], roots: list[int], sides: list[int]) -> list[tuple[int, int]]:
+    """Index pairs of links that join what isn't yet of one root; if there are two
+    ``sides``, between them only. Links that would join nothing new are left out."""
+    up = {r: r for r in roots}
+
+    def top(r: int) -> int:
+        while up[r] != r:
+            up[r] = up[up[r]]
+            r = up[r]
+        return r
+
+    def join(i: int, j: int) -> bool:
+        x, y = top(roots[i]), top(roots[j])
+        if x == y or not alike(words[i], words[j]):
+            return False
+        up[max(x, y)] = min(x, y)
+        return True
+
+    one_side = len(set(sides)) < 2
+    if len(words) <= FEW:
+        return [(i, j) for i in range(len(words)) for j in range(i + 1, len(words)) if (one_side or sides[i] != sides[j]) and join(i, j)]
+    grams = [kmers(w) for w in words]
+    sizes = np.array([len(g) for g in grams], float)
+    multi = shared([labelled(g) for g in grams])
+    sets = [np.unique(g) for g in grams]
+    distinct = np.array([len(x) for x in sets], float)
+    plain = shared(sets)
+    plain = plain / (distinct[:, None] + distinct[None] - plain)
+    best = np.maximum(multi / (sizes[:, None] + sizes[None] - multi), plain)
+    root, side = np.array(roots), np.array(sides)
+    able = np.triu(best >= SIMILAR, 1) & (root[:, None] != root[None])
+    if not one_side:
+        able &= side[:, None] != side[None]
+    a, b = np.nonzero(able)
+    order = np.argsort(-best[a, b], kind="stable")
+    return [(i, j) for i, j in zip(a[order].tolist(), b[order].tolist(), strict=True) if join(i, j)]
+
+
+def linked_blocks(apart: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b) between members (key, rep, root) of equal keys and different roots."""
+    counts = apart.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    placed = apart.select("key", "rep", "root").join(counts, "key").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    met = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = met.select("key", "rep", "root", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
+    with_text = met.join(texts.select(F.col("doc_id").alias("rep"), "text"), "rep")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = Hashes()
+        group: tuple | None = None
+        ids: list[int] = []
+        words: list[np.ndarray] = []
+        roots: list[int] = []
+        sides: list[int] = []
+        found: list[tuple[int, int]] = []
+
+        def close() -> None:
+            found.extend((max(ids[i], ids[j]), min(ids[i], ids[j])) for i, j in links_within(words, roots, sides))
+            for held in (ids, words, roots, sides):
+                held.clear()
+
+        def taken() -> pa.RecordBatch:
+            a, b = [x[0] for x in found], [x[1] for x in found]
+            found.clear()
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+        for batch in batches:
+            columns = [batch.column(n).to_pylist() for n in ("key", "lo", "hi", "rep", "root", "own")]
+            for (key, lo, hi, rep, root, own), text in zip(zip(*columns, strict=True), batch.column("text"), strict=True):
+                if (key, lo, hi) != group:
+                    close()
+                    group = (key, lo, hi)
+                ids.append(rep)
+                words.append(hashes(text.as_py().split()))
+                roots.append(root)
+                sides.append(own)
+            yield taken()
+        close()
+        yield taken()
+
+    groups = with_text.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "rep")
+    return groups.mapInArrow(run, "a bigint, b bigint").distinct()
+
+
 def signatures(documents: DataFrame) -> DataFrame:
-    """doc_id, digest of the text, number of its k-mers and band keys (null without words)."""
+    """doc_id, digest of the text and its band keys (null without words)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = Hashes()
         for batch in batches:
-            sizes, keys = [], []
+            keys = []
             for text in batch.column("text"):
                 words = hashes(text.as_py().split())
-                sizes.append(max(1, len(words) - K + 1))
                 keys.append(band_keys(words) if len(words) else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("digest"), pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64()))],
-                ["doc_id", "digest", "size", "keys"],
+                [batch.column("doc_id"), batch.column("digest"), pa.array(keys, pa.list_(pa.int64()))],
+                ["doc_id", "digest", "keys"],
             )
 
     texts = documents.where("text IS NOT NULL AND doc_id IS NOT NULL")
     rows = texts.select("doc_id", F.unhex(F.md5(F.col("text").cast("binary"))).alias("digest"), "text")
-    return rows.mapInArrow(run, "doc_id bigint, digest binary, size int, keys array<bigint>")
+    return rows.mapInArrow(run, "doc_id bigint, digest binary, keys array<bigint>")
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -260,8 +363,8 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     """doc_id, class_id (the smallest doc_id of the class), of every row of ``documents``
     (doc_id, text)."""
     found = store(signatures(documents), "signatures")
-    copies = store(found.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("size").alias("size"), F.first("keys").alias("keys")), "copies")
-    buckets = copies.select("rep", "size", F.explode("keys").alias("key"))
+    copies = store(found.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys")), "copies")
+    buckets = copies.select("rep", F.explode("keys").alias("key"))
     firsts = buckets.groupBy("key").agg(F.min("rep").alias("first"), F.max("rep").alias("last")).where("first <> last")
     members = store(buckets.join(firsts.drop("last"), "key"), "members")
     texts = store(documents.select("doc_id", "text").join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id").dropDuplicates(["doc_id"]), "texts")
@@ -271,18 +374,14 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     links = store(verified(pairs, texts), "links")
     classes = components(links)
 
-    # Members of one bucket that are still apart, against each other.
+    # Members of one bucket that are still apart, all with all.
     placed = store(
-        members.join(classes.select(F.col("node").alias("rep"), "root"), "rep", "left").select("key", "rep", "size", "first", F.coalesce("root", "rep").alias("root")),
+        members.join(classes.select(F.col("node").alias("rep"), "root"), "rep", "left").select("key", "rep", F.coalesce("root", "rep").alias("root")),
         "placed",
     )
     mixed = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-    apart = store(placed.join(mixed, "key"), "apart")
-    left = apart.select("key", F.col("rep").alias("a"), F.col("size").alias("sa"), F.col("root").alias("ra"))
-    right = apart.where("rep <> first").select("key", F.col("rep").alias("b"), F.col("size").alias("sb"), F.col("root").alias("rb"))
-    close = F.least("sa", "sb") >= F.greatest("sa", "sb") * SIMILAR
-    rest = left.join(right, "key").where((F.col("ra") != F.col("rb")) & (F.col("a") < F.col("b")) & close).select("a", "b").distinct()
-    more = store(verified(rest.join(pairs.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti"), texts), "more")
+    apart = store(placed.join(mixed, "key").select("key", "rep", "root"), "apart")
+    more = store(linked_blocks(apart, texts), "more")
     if not more.isEmpty():
         classes = components(links.unionByName(more))
     named = copies.join(classes.select(F.col("node").alias("rep"), "root"), "rep", "left").select("digest", F.coalesce("root", "rep").alias("class_id"))

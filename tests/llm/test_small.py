@@ -129,6 +129,36 @@ def test_propagation_moves_neighbours_together(spark):
     assert all(r["label"] is None for r in sharding.propagate(nodes, links, 4, 0).collect())
 
 
+def test_hot_text_fills_few_shards_and_small_groups_stay_whole(spark):
+    rows = [(i, "hot text of some length") for i in range(4000)]
+    rows += [(4000 + i, f"small group {i // 4:03d} of four") for i in range(400)]
+    rows += [(5000 + i, f"filler {i:04d} on its own") for i in range(7600)]
+    text = dict(rows)
+    homes = {}
+    for r in sharding.shard_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        homes.setdefault(text[r["doc_id"]], set()).add(r["shard"])
+    assert len(homes["hot text of some length"]) <= 4
+    assert [t for t, s in homes.items() if t.startswith("small") and len(s) > 1] == []
+
+
+def test_groups_stay_whole_without_filler(spark):
+    pairs = spark.createDataFrame([(i, f"pair {i // 2:04d}") for i in range(4000)], "doc_id long, text string")
+    rows = sharding.shard_documents(pairs).collect()
+    homes, loads = {}, Counter()
+    for r in rows:
+        homes.setdefault(r["doc_id"] // 2, set()).add(r["shard"])
+        loads[r["shard"]] += r["size"]
+    assert sum(len(s) > 1 for s in homes.values()) <= 8
+    assert max(loads.values()) - min(loads.values()) <= 20
+
+
+def test_refused_nodes_move_on_to_the_next_shard(spark):
+    nodes = spark.createDataFrame([(i, 10, i % 4) for i in range(40)], "node long, bytes long, first int")
+    links = spark.createDataFrame([(i, 0) for i in range(40)], "node long, group long")
+    labels = Counter(r["label"] for r in sharding.propagate(nodes, links, 4, 200).collect())
+    assert sorted(labels.values()) == [20, 20]
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body class="has-sidebar"><header>Site Name</header><ul class="main-menu"><li>A<li>B</ul>
 <div id="cookie-notice">We use cookies a lot here</div><article><header><h1>Title &amp; more</h1></header><p>First <b>pa</b>ra&nbsp;graph <a href="x>y">link</a>.<p class=ad>Buy<p>Second<br>line, 1 < 2.
 <script>var t="</p>";</script><aside>Aside</aside><ul><li>item one<li>item two</ul></article><section class="comments"><p>Nice post, really very good indeed, thanks a lot for it all</section><form><p>Mail</form><footer>&copy; x</footer><!-- end"""

@@ -177,6 +177,17 @@ def test_extraction(spark):
     assert html.unescape("&amp;") == "&"
 
 
+def test_furniture_longer_than_the_text_around_it_drops_no_text():
+    def words(name, n):
+        return " ".join(f"{name}{i}" for i in range(n))
+
+    weights = {"article": -20.0, "/article": -20.0}
+    outer, aside = f"<div class=teaser>{words('out', 9)}</div>", f"<aside><p>{words('aside', 60)}</p></aside>"
+    for before, after in ((30, 500), (500, 40), (30, 40)):
+        page = f"{outer}<article><p>{words('a', before)}</p>{aside}<p>{words('b', after)}</p></article>{outer}"
+        assert html_extract.main_text(page, weights) == words("a", before) + "\n\n" + words("b", after)
+
+
 def test_region_is_the_best_of_all(spark):
     rng = np.random.default_rng(4)
     for _ in range(50):

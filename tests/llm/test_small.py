@@ -188,6 +188,35 @@ def test_furniture_longer_than_the_text_around_it_drops_no_text():
         assert html_extract.main_text(page, weights) == words("a", before) + "\n\n" + words("b", after)
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        '<div class="page with-sidebar"><article><p>{text}</p></article><div class="sidebar"><p>Side</p></div></div>',
+        '<div id="content" class="no-sidebar"><p>{text}</p></div><div class="sidebar">Side</div>',
+        '<div class="content-widget"><p>{text}</p></div>',
+        '<div class="widget page"><main><p>{text}</p></main></div>',
+        '<section id="related-work"><article><p>{text}</p></article></section>',
+        '<article><div class="content-widget"><p>{text}</p></div></article><div class="comments"><p>' + "no " * 99 + "</p></div>",
+        '<article><p>{text}</p><div class="related-posts"><a href="x">Other</a></div><section id="related-posts"><a href="x">Other</a></section></article>',
+        '<p><svg viewBox="0 0 1 1"/><math/></p><p>{text}</p>',
+        '<p><svg width="1"><path d="M0 0"/><text>No</text><p>{text}</p>',
+        '<p><svg><foreignObject><div>No</div></foreignObject></svg></p><p>{text}</p>',
+        '<html><head><meta charset="utf-8"><title>T</title><script>var a = "<div>";</script><body><p>{text}</p>',
+        "<html><head><title>T</title><style>p{{}}</style><p>{text}</p>",
+        "<html><head><title>T</title>{text}",
+        "<html><head><title>T</title></head><body><p>{text}</p></body></html>",
+    ],
+)
+def test_wrappers_and_unclosed_markup_keep_the_text(page):
+    text = " ".join(f"word{i}" for i in range(40))
+    assert html_extract.main_text(page.format(text=text), {"article": -20.0, "/article": -20.0}) == text
+
+
+def test_section_of_an_article_named_by_its_subject_is_kept():
+    page = "<article><p>" + "one " * 50 + '</p><section id="related-work"><h2>Related work</h2><p>Others did <a href="x">this</a> before us.</p></section></article>'
+    assert html_extract.main_text(page, {}).endswith("Related work\n\nOthers did this before us.")
+
+
 def test_region_is_the_best_of_all(spark):
     rng = np.random.default_rng(4)
     for _ in range(50):

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import clip, correlation, percentile_rank
-from tidemark.operators import backtest, bars, cycles, detrend, normalize, positioning, seasonality, windows
+from tidemark.operators import backtest, bars, cycles, detrend, fte, normalize, positioning, seasonality, windows
 from tidemark.sources import readers
 from tidemark.streaming import views
 
@@ -54,6 +54,13 @@ def test_runs_and_spacing(spark):
     assert sorted(str(r["time"]) for r in positioning.spaced(days).collect()) == ["2020-01-01", "2020-01-23"]
 
 
+def test_walk_forward_covers_each_series(spark):
+    lengths = {"a": 500, "b": 1237, "c": 90}
+    rows = spark.createDataFrame([(k, i, float(i * 7 % 11), float(i * 5 % 13)) for k, n in lengths.items() for i in range(n)], "series_id string, t long, close double, predicted double")
+    got = sorted((r["series_id"], r["step"], r["train_end"], r["test_end"]) for r in fte.walk_forward(rows, steps=5, window=20).collect())
+    assert got == [(k, *x) for k, n in lengths.items() for x in fte.splits(n, 5, 20)]
+
+
 def test_validation_strict_and_quarantine(spark):
     rows = spark.createDataFrame([(1.0, 2.0, 0.5, 1.5, 10), (1.0, 0.5, 2.0, 1.5, 10)], "open double, high double, low double, close double, volume long")
     good, bad = bars.validated(rows)

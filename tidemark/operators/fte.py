@@ -111,11 +111,23 @@ def splits(n: int, steps: int, window: int) -> list[tuple[int, int, int]]:
     return out
 
 
-def walk_forward(rows: DataFrame, n: int, steps: int = 5, window: int = 63) -> DataFrame:
-    """Per series and step: correlation and direction over the rows of the step's test."""
-    spark = rows.sparkSession
-    table = spark.createDataFrame(splits(n, steps, window) or [(0, n, n)], "step long, train_end long, test_end long")
-    tests = rows.join(F.broadcast(table), (F.col("t") >= F.col("train_end")) & (F.col("t") < F.col("test_end")))  # `steps` rows
+def splits_by_length(rows: DataFrame, steps: int, window: int) -> DataFrame:
+    """``splits`` of each series by its own number of rows: series_id, step, train_end, test_end."""
+    sized = rows.groupBy("series_id").agg(F.count("*").alias("_n")).withColumn("_first", F.greatest(F.lit(100), F.floor(0.3 * F.col("_n"))))
+    stepped = sized.withColumn("step", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(steps - 1).cast("long"))))
+    ended = stepped.withColumn("train_end", F.col("_first") + F.floor((F.col("_n") - F.col("_first")) * (F.col("step") + 1) / F.lit(steps)))
+    return ended.withColumn("test_end", F.least("_n", F.col("train_end") + 2 * window)).where("test_end < _n").drop("_n", "_first")
+
+
+def walk_forward(rows: DataFrame, n: int | None = None, steps: int = 5, window: int = 63) -> DataFrame:
+    """Per series and step: correlation and direction over the rows of the step's test. The
+    walk covers the first ``n`` rows, or each series by its own length."""
+    within = (F.col("t") >= F.col("train_end")) & (F.col("t") < F.col("test_end"))
+    if n is None:
+        tests = rows.join(splits_by_length(rows, steps, window), "series_id").where(within)
+    else:
+        table = rows.sparkSession.createDataFrame(splits(n, steps, window) or [(0, n, n)], "step long, train_end long, test_end long")
+        tests = rows.join(F.broadcast(table), within)  # `steps` rows
     w = Window.partitionBy("series_id", "step").orderBy("t")
     moved = tests.withColumns({"_a": F.signum(F.col("close") - F.lag("close").over(w)), "_p": F.signum(F.col("predicted") - F.lag("predicted").over(w))})
     both = (F.col("_a") != 0) & (F.col("_p") != 0)

@@ -279,6 +279,14 @@ SELECT series_id, step, train_end, test_end, count(*) AS n, corr(close, predicte
 register("fte04_walk_forward", on_daily(lambda b: fte.walk_forward(_predicted(b), 2000)), "daily", WALK, "series_id:s step:i train_end:i test_end:i n:i pearson:d direction_accuracy:d")
 register("fte05_aggregated", on_daily(lambda b: fte.aggregated(fte.walk_forward(_predicted(b), 2000))), "daily",
     f"SELECT count(*) AS n, count(*) FILTER (pearson >= 0.08) AS valid_count, avg(pearson) AS mean_r, stddev_pop(pearson) AS std_r, min(pearson) AS min_r, max(pearson) AS max_r, avg(CASE WHEN pearson >= 0.08 THEN 1.0 ELSE 0.0 END) AS valid_ratio, avg(direction_accuracy) AS direction_accuracy FROM ({WALK})", "n:i valid_count:i mean_r:d std_r:d min_r:d max_r:d valid_ratio:d direction_accuracy:d")
+#: As fte04 and fte05, which walk over the first 2,000 rows, but over the whole of each series.
+WALK_WHOLE = f"""WITH {PREDICTED}, sized AS (SELECT series_id, count(*) AS n, greatest(100, CAST(floor(0.3::DOUBLE * count(*)) AS BIGINT)) AS first FROM bars GROUP BY 1),
+ended AS (SELECT series_id, n, step, first + CAST(floor((n - first) * (step + 1) / 5::DOUBLE) AS BIGINT) AS train_end FROM sized, (SELECT unnest(range(5)) AS step)),
+tests AS (SELECT pred.*, step, train_end, train_end + 126 AS test_end FROM pred JOIN ended USING (series_id) WHERE train_end + 126 < n AND t >= train_end AND t < train_end + 126), {MOVES}
+SELECT series_id, step, train_end, test_end, count(*) AS n, corr(close, predicted) AS pearson, coalesce(count(*) FILTER (a <> 0 AND p <> 0 AND a = p) / nullif(count(*) FILTER (a <> 0 AND p <> 0), 0), 0) AS direction_accuracy FROM moves GROUP BY 1, 2, 3, 4"""
+register("fte04_walk_forward_whole", on_daily(lambda b: fte.walk_forward(_predicted(b))), "daily", WALK_WHOLE, "series_id:s step:i train_end:i test_end:i n:i pearson:d direction_accuracy:d")
+register("fte05_aggregated_whole", on_daily(lambda b: fte.aggregated(fte.walk_forward(_predicted(b)))), "daily",
+    f"SELECT count(*) AS n, count(*) FILTER (pearson >= 0.08) AS valid_count, avg(pearson) AS mean_r, stddev_pop(pearson) AS std_r, min(pearson) AS min_r, max(pearson) AS max_r, avg(CASE WHEN pearson >= 0.08 THEN 1.0 ELSE 0.0 END) AS valid_ratio, avg(direction_accuracy) AS direction_accuracy FROM ({WALK_WHOLE})", "n:i valid_count:i mean_r:d std_r:d min_r:d max_r:d valid_ratio:d direction_accuracy:d")
 register("fte02_validate", on_daily(lambda b: fte.validate(_predicted(b))))
 
 # -- Analogies, bootstrap, breaks ---------------------------------------------------------

@@ -1,4 +1,6 @@
 import json
+import math
+import statistics
 
 import pytest
 from pyspark.sql import functions as F
@@ -61,6 +63,15 @@ def test_walk_forward_covers_each_series(spark):
     assert got == [(k, *x) for k, n in lengths.items() for x in fte.splits(n, 5, 20)]
 
 
+def test_compounding_covers_every_bar(spark):
+    closes = [100.0 + (i * 7 % 11) for i in range(150)] + [300.0]
+    got = windows.compounded(series(spark, closes), 0.1).first()
+    rets = [b / a - 1 for a, b in zip(closes, closes[1:], strict=False)]
+    logs = [math.log1p(r) for r in rets]
+    assert got["total"] == pytest.approx(math.prod(1 + 0.1 * r for r in rets) - 1)
+    assert got["sharpe"] == pytest.approx(statistics.fmean(logs) / statistics.pstdev(logs) * math.sqrt(252))
+
+
 def test_validation_strict_and_quarantine(spark):
     rows = spark.createDataFrame([(1.0, 2.0, 0.5, 1.5, 10), (1.0, 0.5, 2.0, 1.5, 10)], "open double, high double, low double, close double, volume long")
     good, bad = bars.validated(rows)

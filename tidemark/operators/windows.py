@@ -126,3 +126,11 @@ def interpolated(rows: DataFrame, value: str) -> DataFrame:
     x1, t1 = F.first(value, ignorenulls=True).over(ahead), F.first(at, ignorenulls=True).over(ahead)
     line = x0 + (x1 - x0) * divided((F.col("t") - t0).cast("double"), (t1 - t0).cast("double"))
     return rows.withColumn("filled", F.coalesce(F.col(value), line, x0))
+
+
+def compounded(bars: DataFrame, scale: float, per_year: float = 252.0) -> DataFrame:
+    """Per series, over all its returns: the total of ``scale`` times each, compounded as a
+    sum of logarithms, and the Sharpe ratio of log returns."""
+    total = F.expm1(F.sum(F.log1p(F.col("ret") * scale)))
+    sharpe = divided(F.avg("logret"), F.stddev_pop("logret")) * F.sqrt(F.lit(per_year))
+    return returns(bars).groupBy("series_id").agg(total.alias("total"), sharpe.alias("sharpe"))

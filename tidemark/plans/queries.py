@@ -72,6 +72,8 @@ register(
     "series_id:s signal:s time:t next_valid:t",
 )
 register("flt12_gaps", on_weekly(lambda b: bars.gaps(b.where("t % 5 <> 3"), 7)), "weekly", "SELECT * FROM (SELECT series_id, lag(time) OVER w AS from_time, time AS to_time, date_diff('day', lag(time) OVER w, time) AS days FROM weekly WHERE t % 5 <> 3 WINDOW w AS (PARTITION BY series_id ORDER BY time)) WHERE days > 7", "series_id:s from_time:t to_time:t days:i")
+#: As flt12_gaps, which makes gaps by leaving out bars, but the gaps of the tables themselves.
+register("flt12_gaps_whole", on_weekly(lambda b: bars.gaps(b, 7)), "weekly", "SELECT * FROM (SELECT series_id, lag(time) OVER w AS from_time, time AS to_time, date_diff('day', lag(time) OVER w, time) AS days FROM weekly WINDOW w AS (PARTITION BY series_id ORDER BY time)) WHERE days > 7", "series_id:s from_time:t to_time:t days:i")
 register(
     "flt12_filled", on_daily(bars.filled), "daily",
     """SELECT series_id, time, last_value(close IGNORE NULLS) OVER (PARTITION BY series_id ORDER BY time) AS close, coalesce(volume, 0) AS volume, close IS NULL AS is_filled
@@ -125,6 +127,9 @@ register("agg13_quantiles", on_daily(lambda b: b.groupBy("series_id").agg(F.perc
     "SELECT series_id, quantile_cont(close, 0.25) AS q1, quantile_cont(close, 0.5) AS q2, quantile_cont(close, 0.75) AS q3, avg(z * z * z) AS skew FROM (SELECT *, (close - avg(close) OVER v) / stddev_pop(close) OVER v AS z FROM bars WINDOW v AS (PARTITION BY series_id)) GROUP BY 1", "series_id:s q1:d q2:d q3:d skew:d")
 register("agg15_compounded", on_weekly(lambda b: windows.returns(b.where("t < 60")).groupBy("series_id").agg((F.product(1 + F.col("ret") * 0.1) - 1).alias("total"), (F.avg("logret") / F.stddev_pop("logret") * F.sqrt(F.lit(252.0))).alias("sharpe"))), "weekly",
     "SELECT series_id, product(1 + (close / p - 1) * 0.1) - 1 AS total, avg(ln(close / p)) / stddev_pop(ln(close / p)) * sqrt(252.0) AS sharpe FROM (SELECT *, lag(close) OVER (PARTITION BY series_id ORDER BY t) AS p FROM weekly WHERE t < 60) WHERE p IS NOT NULL GROUP BY 1", "series_id:s total:d sharpe:d")
+#: As agg15, which takes the first 60 bars, but over all bars; a hundredth of each return keeps the product within doubles.
+register("agg15_compounded_whole", on_weekly(lambda b: windows.compounded(b, 0.01)), "weekly",
+    "SELECT series_id, exp(sum(ln(1 + (close / nullif(p, 0) - 1) * 0.01))) - 1 AS total, avg(ln(close / nullif(p, 0))) / nullif(stddev_pop(ln(close / nullif(p, 0))), 0) * sqrt(252.0) AS sharpe FROM (SELECT *, lag(close) OVER (PARTITION BY series_id ORDER BY t) AS p FROM weekly) GROUP BY 1", "series_id:s total:d sharpe:d")
 register("agg20_completeness", on_daily(lambda b: bars.completeness(b, 7)), "daily", "SELECT series_id, least(1.0, count(*) / (7 * 252.0)) AS completeness FROM bars GROUP BY 1", "series_id:s completeness:d")
 register("agg26_rollup", lambda s, d: table(s, d, "lineitem").rollup("l_returnflag", "l_linestatus").agg(F.sum("l_quantity").alias("qty"), F.count("*").alias("n"), F.grouping_id().alias("level")), "",
     "SELECT l_returnflag, l_linestatus, sum(l_quantity) AS qty, count(*) AS n, grouping(l_returnflag, l_linestatus) AS level FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)", "l_returnflag:s l_linestatus:s qty:d n:i level:i")

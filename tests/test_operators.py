@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.columns import clip, correlation, percentile_rank
 from tidemark.operators import backtest, bars, cycles, detrend, fte, normalize, positioning, seasonality, windows
+from tidemark.plans import queries
 from tidemark.sources import readers
 from tidemark.streaming import views
 
@@ -72,6 +73,21 @@ def test_compounding_covers_every_bar(spark):
     assert got["sharpe"] == pytest.approx(statistics.fmean(logs) / statistics.pstdev(logs) * math.sqrt(252))
 
 
+def test_hourly_distances_count_every_event_of_every_user(spark):
+    rows = [(1, f"2024-01-{d:02d} {h:02d}:00:00", float(d)) for d in range(1, 29) for h in range(24)] + [(2, "2024-01-01 05:00:00", 24.0)]
+    events = spark.createDataFrame(rows, "user_id long, ts string, value double").withColumn("ts", F.to_timestamp("ts"))
+    got = {r["user_id"]: r for r in queries.hourly_distances(events).collect()}
+    assert [got[1][k] for k in ("euclidean", "manhattan", "cosine")] == pytest.approx([0, 0, 0], abs=1e-9)
+    assert [got[2][k] for k in ("euclidean", "manhattan", "cosine")] == pytest.approx([math.sqrt(23**2 + 23), 46, 1 - 1 / math.sqrt(24)])
+
+
+def test_smallest_values_are_limited_before_they_are_gathered(spark):
+    events = spark.createDataFrame([(1, float(i)) for i in range(100)] + [(2, 5.0), (2, None)], "user_id long, value double")
+    made = queries._smallest(events, 8)
+    assert {r["user_id"]: r["a"] for r in made.collect()} == {1: [float(i) for i in range(8)], 2: [5.0]}
+    assert "WindowGroupLimit" in made._jdf.queryExecution().toString()
+
+
 def test_validation_strict_and_quarantine(spark):
     rows = spark.createDataFrame([(1.0, 2.0, 0.5, 1.5, 10), (1.0, 0.5, 2.0, 1.5, 10)], "open double, high double, low double, close double, volume long")
     good, bad = bars.validated(rows)

@@ -438,9 +438,29 @@ register("str09_sessions", lambda s, d: views.sessions(table(s, d, "events"), "u
     SELECT *, CASE WHEN ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 6 HOUR THEN 1 ELSE 0 END AS f FROM events)) GROUP BY user_id, g""", "key:i started:t ended:t n:i")
 register("set01_set_operations", lambda s, d: table(s, d, "customer").select("c_nationkey").intersect(table(s, d, "supplier").select("s_nationkey")).union(table(s, d, "nation").select("n_nationkey").exceptAll(table(s, d, "supplier").select("s_nationkey").distinct())), "",
     "(SELECT c_nationkey FROM customer INTERSECT SELECT s_nationkey FROM supplier) UNION ALL (SELECT n_nationkey FROM nation EXCEPT SELECT s_nationkey FROM supplier)", "c_nationkey:i")
-register("sc15_distances", lambda s, d: table(s, d, "events").groupBy("user_id").agg(F.slice(F.sort_array(F.collect_list("value")), 1, 8).alias("a")).where(F.size("a") == 8).select("user_id", *[distance(n, F.col("a"), F.array([F.lit(float(i)) for i in range(8)])).alias(n) for n in ("euclidean", "manhattan", "cosine")]), "",
+def _smallest(events: DataFrame, n: int) -> DataFrame:
+    """The ``n`` smallest values of each user in order; no row holds more."""
+    ranked = events.where("value IS NOT NULL").withColumn("_n", F.row_number().over(Window.partitionBy("user_id").orderBy("value"))).where(F.col("_n") <= n)
+    return ranked.groupBy("user_id").agg(F.sort_array(F.collect_list("value")).alias("a"))
+
+
+def hourly_distances(events: DataFrame) -> DataFrame:
+    """Per user, over all events: distances of the sums of values by hour of day (0 in an
+    hour without events) from the same total spread evenly over the day."""
+    hours = [F.coalesce(F.sum(F.when(F.hour("ts") == h, F.col("value"))), F.lit(0.0)) for h in range(24)]
+    users = events.groupBy("user_id").agg(F.array(*hours).alias("a"), (F.coalesce(F.sum("value"), F.lit(0.0)) / 24).alias("_even"))
+    even = F.array_repeat("_even", 24)
+    return users.select("user_id", *[distance(n, F.col("a"), even).alias(n) for n in ("euclidean", "manhattan", "cosine")])
+
+
+register("sc15_distances", lambda s, d: _smallest(table(s, d, "events"), 8).where(F.size("a") == 8).select("user_id", *[distance(n, F.col("a"), F.array([F.lit(float(i)) for i in range(8)])).alias(n) for n in ("euclidean", "manhattan", "cosine")]), "",
     """SELECT user_id, list_distance(a, l) AS euclidean, list_sum(list_transform(range(8), lambda i: abs(a[i + 1] - l[i + 1]))) AS manhattan, 1 - list_cosine_similarity(a, l) AS cosine FROM (
     SELECT user_id, list_sort(list(value))[1:8] AS a, [0.0, 1, 2, 3, 4, 5, 6, 7]::DOUBLE[] AS l FROM events GROUP BY 1) WHERE len(a) = 8""", "user_id:i euclidean:d manhattan:d cosine:d")
+#: As sc15_distances, which compares the 8 smallest values of users with 8 events, but of all events of every user.
+register("sc15_hourly_distances", lambda s, d: hourly_distances(table(s, d, "events")), "",
+    """SELECT user_id, list_distance(a, l) AS euclidean, list_sum(list_transform(range(24), lambda i: abs(a[i + 1] - l[i + 1]))) AS manhattan, 1 - list_cosine_similarity(a, l) AS cosine FROM (
+    SELECT user_id, list(x ORDER BY h) AS a, list(e) AS l FROM (
+      SELECT user_id, h, coalesce(sum(value) FILTER (hour(ts) = h), 0) AS x, coalesce(sum(value), 0) / 24 AS e FROM events, (SELECT unnest(range(24)) AS h) GROUP BY 1, 2) GROUP BY 1)""", "user_id:i euclidean:d manhattan:d cosine:d")
 
 # -- Further operators ----------------------------------------------------------------------
 register("flt06_since_change", lambda s, d: positioning.since_change(proxy_reports(s, d), s.createDataFrame([("ASIA", "1998-01-01"), ("EUROPE", None)], "series_id string, day string").select("series_id", F.to_date("day").alias("regime_change_date"))).select("series_id", "time", "price"), "reports",

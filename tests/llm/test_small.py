@@ -412,22 +412,82 @@ def test_order_minhash(documents, nothing):
     assert sorted(str(r["doc_id"]) for r in kept.collect()) == ["1", "3", "4", "5", "6", "8", "9", "None"]
 
 
+def levenshtein(a, b):
+    cost = np.add.outer(np.arange(len(a) + 1), np.arange(len(b) + 1))
+    for i in range(1, len(a) + 1):
+        for j in range(1, len(b) + 1):
+            cost[i, j] = min(cost[i - 1, j] + 1, cost[i, j - 1] + 1, cost[i - 1, j - 1] + (a[i - 1] != b[j - 1]))
+    return int(cost[-1, -1])
+
+
 def test_alignment_against_dynamic_programming():
     rng = np.random.default_rng(7)
-    for _ in range(60):
+    for _ in range(200):
         a = rng.integers(0, 6, int(rng.integers(1, 25))).astype(np.uint64)
         b = a.copy()
-        for _ in range(int(rng.integers(0, 4))):
+        for _ in range(int(rng.integers(0, 6))):
             at = int(rng.integers(0, len(b) + 1))
-            b = np.insert(b, at, 9) if rng.random() < 0.5 or not len(b) else np.delete(b, min(at, len(b) - 1))
-        n, m = len(a), len(b)
-        cost = np.add.outer(np.arange(n + 1), np.arange(m + 1))
-        for i in range(1, n + 1):
-            for j in range(1, m + 1):
-                cost[i, j] = min(cost[i - 1, j] + 1, cost[i, j - 1] + 1, cost[i - 1, j - 1] if a[i - 1] == b[j - 1] else 99)
-        assert order_minhash.aligned(a, b, int(cost[n, m])) is not None
-        if cost[n, m]:
-            assert order_minhash.aligned(a, b, int(cost[n, m]) - 1) is None
+            kind = rng.integers(0, 3)
+            if kind == 0 or not len(b):
+                b = np.insert(b, at, 9)
+            elif kind == 1:
+                b = np.delete(b, min(at, len(b) - 1))
+            else:
+                b[min(at, len(b) - 1)] = rng.integers(0, 9)
+        cost = levenshtein(a, b)
+        for most in range(cost + 4):
+            want = cost if cost <= most else None
+            assert order_minhash.edits(a, b, most) == order_minhash.edits(b, a, most) == want
+        assert order_minhash.alike(a, b) == (cost <= order_minhash.allowed(max(len(a), len(b))) if len(b) else False)
+
+
+def test_repeats_are_labelled_without_changing_the_first():
+    a = np.arange(1, 60, dtype=np.uint64)
+    b = np.concatenate([a, a[:10]])
+    x, y = (order_minhash.labelled(order_minhash.kmers(w)) for w in (a, b))
+    assert set(x.tolist()) <= set(y.tolist())
+    assert len(set(y.tolist())) == len(y)
+
+
+def test_near_copies_of_sf001_against_all_alignments(spark):
+    """Recall of whole classes: pairs with a fifth of their words changed at most, found by
+    brute force over all pairs that have runs of three words in common."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = {r["doc_id"]: r["text"] for r in docs.where("text IS NOT NULL").collect()}
+    hashes = order_minhash.Hashes()
+    words = {i: hashes(t.split()) for i, t in rows.items()}
+    held = {}
+    for i, w in words.items():
+        if 20 <= len(w):
+            for g in set(order_minhash.kmers(w, 3).tolist()):
+                held.setdefault(g, []).append(i)
+    met = Counter((a, b) for m in held.values() if len(m) < 99 for a in m for b in m if a < b and rows[a] != rows[b])
+    pairs = [(a, b) for (a, b), n in met.items() if n > 9 and order_minhash.edits(words[a], words[b], order_minhash.allowed(max(len(words[a]), len(words[b])))) is not None]
+    found = {r["doc_id"]: r["class_id"] for r in order_minhash.near_duplicates(docs).collect()}
+    assert len(pairs) > 50
+    assert sum(found[a] == found[b] for a, b in pairs) / len(pairs) >= 0.95
+    linked = {i for p in pairs for i in p}
+    assert all(rows[i] == rows[c] or {i, c} <= linked for i, c in found.items() if i in rows and len(words[i]) >= 20)
+
+
+def test_rows_of_one_id_with_different_texts_are_documents_each(spark):
+    a, b = " ".join(f"a{i}" for i in range(50)), " ".join(f"b{i}" for i in range(50))
+    docs = spark.createDataFrame([(7, a, "x"), (7, b, "y"), (7, b, "y"), (7, None, "z"), (3, a + " end", "v"), (9, b + " end", "w")], "doc_id long, text string, digest string")
+    assert sorted((r["doc_id"], r["class_id"]) for r in order_minhash.near_duplicates(docs).collect()) == [(3, 3), (7, 3), (7, 7), (7, 7), (7, 7), (9, 7)]
+    assert rows_of(order_minhash.deduplicated(docs)) == rows_of(spark.createDataFrame([(3, a + " end", "v"), (7, b, "y"), (7, None, "z")], docs.schema))
+
+
+def test_large_groups_by_pivots_and_blocks(spark, monkeypatch):
+    """A chain of versions, each a few words from the last: small blocks must find all."""
+    monkeypatch.setattr(order_minhash, "BLOCK", 8)
+    rng = np.random.default_rng(11)
+    text, texts = [f"w{i}" for i in range(80)], []
+    for i in range(60):
+        text = list(text)
+        text[int(rng.integers(0, 80))] = f"n{i}"
+        texts.append(" ".join(text))
+    classes = {r["class_id"] for r in order_minhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert classes == {0}
 
 
 def test_order_matters():
@@ -512,10 +572,12 @@ def test_blocks_find_what_alignment_accepts():
                 a, b = want[i], want[j]
                 want = [min(a, b) if r in (a, b) else r for r in want]
     got = list(range(len(words)))
-    for i, j in order_minhash.links_within(words, got[:], [0] * len(words)):
+    keys = [np.array([5, 7])] * len(words)
+    assert order_minhash.links_within(words, got[:], [0] * len(words), keys, 7) == []
+    for i, j in order_minhash.links_within(words, got[:], [0] * len(words), keys, 5):
         a, b = got[i], got[j]
         assert a != b
         got = [min(a, b) if r in (a, b) else r for r in got]
     assert got == want
     sides = [i % 2 for i in range(len(words))]
-    assert all(sides[i] != sides[j] for i, j in order_minhash.links_within(words, list(range(len(words))), sides))
+    assert all(sides[i] != sides[j] for i, j in order_minhash.links_within(words, list(range(len(words))), sides, keys, 5))

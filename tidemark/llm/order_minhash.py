@@ -3,50 +3,59 @@
 A text is its sequence of words. Its k-mers (``K`` words in a row) are labelled with how
 often they have occurred before, so repeats count. A sketch takes the ``MINIMA`` labelled
 k-mers with the smallest hash and keeps them in text order; texts that have the same parts
-in another order get another sketch. ``ROWS`` sketches make a band key; texts that share
-one of ``BANDS`` keys are candidates. A candidate pair is a link if an alignment of its
-words within a band of ``BAND`` of the longer text exists and the similarity of their
-five-word shingles is at least ``SIMILAR``: shingles that the alignment keeps whole,
-against all shingles of both; or, as plain sets, if that is larger.
-
-How it stays linear: equal texts collapse into one representative (the smallest doc_id)
-before anything is compared. In every bucket all members are compared with one of them
-only, the bucket's smallest; links become classes by joins, each round written to the
-shared folder. Members of a bucket that then are in different classes are compared all
-with all, a block of up to ``BLOCK`` members against another at a time: shingles in common
-by one matrix product, alignments only for pairs that reach the threshold and that nothing
-has joined yet. Pairs stay inside the task and only links leave it, so a large group whose
-members hover around the threshold costs about a microsecond a pair, and no link is lost
-to the choice of the first member.
+in another order get another sketch. Texts that share one of ``BANDS`` sketches are
+candidates. A candidate pair is a link if its words can be aligned with at most
+``1 - SIMILAR`` edits (words put in, left out or replaced) per word of the longer text; the
+alignment looks only at that band around the diagonal. What the two have in common of runs
+of two words refuses most others first: an edit spoils two of them at most, so no pair that
+the alignment would take is lost.
+
+How it stays linear: equal texts collapse into one node before anything is compared. In
+every bucket all members are compared with one of them only; links become classes by
+joins, each round written to the shared folder. Buckets of over ``BLOCK`` members that
+still are of several classes are compared with ``PIVOTS`` more members, chosen anew in
+each of ``ROUNDS`` rounds, and those who join a class thereby need no more comparing with
+it. What then is still apart is compared all with all, a block of members against another
+at a time: runs in common by one matrix product, alignments only for pairs that may reach
+the threshold, that nothing has joined yet, and only in the first of the buckets that a
+pair shares. Pairs stay inside the task and only links leave it; no link is lost to the
+choice of members. A block has at most about ``BLOCK`` members and ``BLOCK_WORDS`` words,
+so that a task's memory is bounded.
 
 Defined results: texts that are equal word for word (white space apart) are alike; texts
 of fewer than K words form one k-mer; a text without words is in a class with texts equal
-to it only; a null text is in a class of its own. Rows repeated in doc_id and text are one
-document and each give a row. An empty table gives none; extra columns are left out.
+to it only; a null text is in a class of its own, by its doc_id. Rows repeated in doc_id
+and text are one document and each give a row; rows of one doc_id with different texts are
+different documents, classed each by its text. A class is named by its smallest doc_id. An
+empty table gives none; extra columns are left out.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import drop, store
 
 K = 5
 MINIMA = 3
-ROWS = 2
-BANDS = 32
+BANDS = 48
 SIMILAR = 0.8
-BAND = 0.2
-BLOCK = 256
+#: Bounds of a block of members that are compared all with all.
+BLOCK = 1024
+BLOCK_WORDS = 1_000_000
+PIVOTS = 4
+ROUNDS = 2
 #: Up to so many texts are compared one by one.
 FEW = 6
-REMEMBERED = 400_000
+#: Words whose hashes a worker remembers, and the longest of them in characters.
+REMEMBERED, LONGEST = 400_000, 32
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -70,8 +79,9 @@ class Hashes:
             if len(seen) > REMEMBERED:
                 seen.clear()
                 missing = words
-            for w in set(missing):
-                seen[w] = xxhash.xxh3_64_intdigest(w)
+            known = {w: xxhash.xxh3_64_intdigest(w) for w in set(missing)}
+            seen.update((w, h) for w, h in known.items() if len(w) <= LONGEST)
+            return np.fromiter((known[w] if w in known else seen[w] for w in words), np.uint64, len(words))
         return np.fromiter(map(seen.__getitem__, words), np.uint64, len(words))
 
 
@@ -94,7 +104,7 @@ def labelled(found: np.ndarray) -> np.ndarray:
     firsts = np.flatnonzero(fresh)
     earlier = np.arange(len(found)) - np.repeat(firsts, np.diff(np.append(firsts, len(found))))
     out = np.empty_like(found)
-    out[order] = _mixed(ordered + earlier.astype(np.uint64) * _MIX)
+    out[order] = np.where(earlier > 0, _mixed(ordered + earlier.astype(np.uint64) * _MIX), ordered)
     return out
 
 
@@ -120,79 +130,75 @@ def sketches(found: np.ndarray, count: int, minima: int = MINIMA) -> np.ndarray:
     return out
 
 
-def band_keys(words: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
-    """The keys by which a text of these words is bucketed."""
-    parts = sketches(labelled(kmers(words)), bands * rows).reshape(bands, rows)
-    keys = np.arange(1, bands + 1, dtype=np.uint64)
-    for column in parts.T:
-        keys = _mixed(keys * _MIX + column)
-    return keys.view(np.int64)
-
-
-def _reach(a: np.ndarray, b: np.ndarray) -> int:
-    """How many leading elements are equal."""
-    n = min(len(a), len(b))
-    at, size = 0, 32
-    while at < n:
-        unequal = a[at : at + size] != b[at : at + size] if at + size <= n else a[at:n] != b[at:n]
-        first = int(unequal.argmax())
-        if unequal[first]:
-            return at + first
-        at, size = at + len(unequal), size * 4
-    return n
-
-
-def aligned(a: np.ndarray, b: np.ndarray, band: int, k: int = K) -> int | None:
-    """Align two word sequences with the fewest insertions and deletions, ``band`` at most,
-    by furthest-reaching diagonals. Returns how many runs of ``k`` words stay whole, or
-    None if the alignment leaves the band."""
-    n, m = len(a), len(b)
+def band_keys(words: np.ndarray, bands: int = BANDS) -> np.ndarray:
+    """The keys by which a text of these words is bucketed: a sketch each."""
+    numbers = np.arange(1, bands + 1, dtype=np.uint64)
+    return _mixed(numbers * _MIX + sketches(labelled(kmers(words)), bands)).view(np.int64)
+
 
-    def slid(x: int, d: int, kept: int) -> tuple[int, int]:
-        run = _reach(a[x:], b[x - d :])
-        return x + run, kept + max(0, run - k + 1)
-
-    front = {0: slid(0, 0, 0)}
-    for edits in range(band + 1):
-        done = front.get(n - m)
-        if done and done[0] >= n:
-            return done[1]
-        fresh: dict[int, tuple[int, int]] = {}
-        for d in range(-(edits + 1), edits + 2, 2):
-            if d > n or -d > m:
-                continue
-            over, under = front.get(d - 1), front.get(d + 1)  # a word of a left out; of b
-            best = (-1, 0)
-            if over and over[0] < n:
-                best = (over[0] + 1, over[1])
-            if under and under[0] - d <= m and under > best:
-                best = under
-            if best[0] >= 0:
-                fresh[d] = slid(best[0], d, best[1])
-        front = fresh
-        if not front:
-            return None
-    return None
-
-
-def alike(a: np.ndarray, b: np.ndarray, similar: float = SIMILAR) -> bool:
+def edits(a: np.ndarray, b: np.ndarray, most: int) -> int | None:
+    """The fewest words put in, left out or replaced that turn ``a`` into ``b``, or None if
+    there are more than ``most``. The alignment looks at ``most`` diagonals to each side of
+    the main one; a column of that band is held as two bit vectors of its differences down
+    the column (+1 and -1), so a word of ``b`` costs a few operations on long integers."""
+    if len(a) < len(b):
+        a, b = b, a
+    n, m = len(a), len(b)
+    if n - m > most:
+        return None
+    if most == 0 or m == 0:
+        return (0 if bool((a == b).all()) else None) if n == m else n
+    if most > m:  # what both begin with costs nothing; the band needs so many words
+        a, b = (np.concatenate([np.zeros(most, np.uint64), x]) for x in (a, b))
+        n, m = len(a), len(b)
+    width = 2 * most + 1
+    full, top = (1 << width) - 1, 1 << (width - 1)
+    places: dict[int, int] = {}
+    for i, w in enumerate(a.tolist()):
+        places[w] = places.get(w, 0) | 1 << i
+    up, down = full ^ ((1 << most) - 1), 0
+    last, cost = top >> 1, most
+    for j, w in enumerate(b.tolist()):
+        at = j - most  # the row of the band's lowest bit
+        equal = places.get(w, 0)
+        equal = (equal >> at if at >= 0 else equal << -at) & full
+        diagonal = ((((equal & up) + up) ^ up) | equal | down) & full
+        right_up, right_down = down | (full & ~(diagonal | up)), diagonal & up
+        if j < n - most:  # the band's lowest diagonal is followed
+            cost += not diagonal & top
+        else:  # the last row is reached: follow it to the right
+            cost += bool(right_up & last) - bool(right_down & last)
+            last >>= 1
+        slid = diagonal >> 1
+        up, down = right_down | (full & ~(slid | right_up)), slid & right_up
+    return cost if cost <= most else None
+
+
+def allowed(longer: int) -> int:
+    """How many edits two texts may be apart."""
+    return int((1 - SIMILAR) * longer + 1e-9)
+
+
+def pairs_of(words: np.ndarray) -> np.ndarray:
+    """Labelled runs of two words, sorted."""
+    return np.sort(labelled(kmers(words, 2)))
+
+
+def alike(a: np.ndarray, b: np.ndarray, a_pairs: np.ndarray | None = None, b_pairs: np.ndarray | None = None) -> bool:
     """Whether two word sequences are near-duplicates (see the module's text)."""
     if not len(a) or not len(b):
         return len(a) == len(b)
+    longer = max(len(a), len(b))
+    most = allowed(longer)
+    if longer - min(len(a), len(b)) > most:
+        return False
     if len(a) == len(b) and (a == b).all():
         return True
-    if min(len(a), len(b)) < K:
-        return False
-    x, y = kmers(a), kmers(b)
-    lx, ly = labelled(x), labelled(y)
-    both = len(np.intersect1d(lx, ly, assume_unique=True))
-    sx, sy = np.unique(x), np.unique(y)
-    common = len(np.intersect1d(sx, sy, assume_unique=True))
-    sets = common / (len(sx) + len(sy) - common)
-    if max(both / (len(x) + len(y) - both), sets) < similar:  # an alignment keeps no more than both
-        return False
-    kept = aligned(a, b, int(BAND * max(len(a), len(b))))
-    return kept is not None and max(kept / (len(x) + len(y) - kept), sets) >= similar
+    if min(len(a), len(b)) > 1:
+        x, y = pairs_of(a) if a_pairs is None else a_pairs, pairs_of(b) if b_pairs is None else b_pairs
+        if len(np.intersect1d(x, y, assume_unique=True)) < longer - 1 - 2 * most:
+            return False
+    return edits(a, b, most) is not None
 
 
 def shared(found: list[np.ndarray], columns: int = 4096) -> np.ndarray:
@@ -211,9 +217,10 @@ def shared(found: list[np.ndarray], columns: int = 4096) -> np.ndarray:
     return out
 
 
-def links_within(words: list[np.ndarray], roots: list[int], sides: list[int]) -> list[tuple[int, int]]:
+def links_within(words: list[np.ndarray], roots: list[int], sides: list[int], keys: list[np.ndarray], key: int) -> list[tuple[int, int]]:
     """Index pairs of links that join what isn't yet of one root; if there are two
-    ``sides``, between them only. Links that would join nothing new are left out."""
+    ``sides``, between them only; of pairs that share several ``keys``, those whose first
+    is ``key``. Links that would join nothing new are left out."""
     up = {r: r for r in roots}
 
     def top(r: int) -> int:
@@ -224,38 +231,36 @@ def links_within(words: list[np.ndarray], roots: list[int], sides: list[int]) ->
 
     def join(i: int, j: int) -> bool:
         x, y = top(roots[i]), top(roots[j])
-        if x == y or not alike(words[i], words[j]):
+        if x == y or np.intersect1d(keys[i], keys[j])[0] != key or not alike(words[i], words[j], runs[i], runs[j]):
             return False
         up[max(x, y)] = min(x, y)
         return True
 
+    runs = [pairs_of(w) for w in words]
     one_side = len(set(sides)) < 2
     if len(words) <= FEW:
         return [(i, j) for i in range(len(words)) for j in range(i + 1, len(words)) if (one_side or sides[i] != sides[j]) and join(i, j)]
-    grams = [kmers(w) for w in words]
-    sizes = np.array([len(g) for g in grams], float)
-    multi = shared([labelled(g) for g in grams])
-    sets = [np.unique(g) for g in grams]
-    distinct = np.array([len(x) for x in sets], float)
-    plain = shared(sets)
-    plain = plain / (distinct[:, None] + distinct[None] - plain)
-    best = np.maximum(multi / (sizes[:, None] + sizes[None] - multi), plain)
+    sizes = np.array([len(w) for w in words])
+    longer = np.maximum(sizes[:, None], sizes[None])
+    spare = shared(runs) - (longer - 1 - 2 * ((1 - SIMILAR) * longer + 1e-9).astype(int))
     root, side = np.array(roots), np.array(sides)
-    able = np.triu(best >= SIMILAR, 1) & (root[:, None] != root[None])
+    able = np.triu(spare >= 0, 1) & (root[:, None] != root[None])
     if not one_side:
         able &= side[:, None] != side[None]
     a, b = np.nonzero(able)
-    order = np.argsort(-best[a, b], kind="stable")
+    order = np.argsort(-spare[a, b], kind="stable")
     return [(i, j) for i, j in zip(a[order].tolist(), b[order].tolist(), strict=True) if join(i, j)]
 
 
 def linked_blocks(apart: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links (a, b) between members (key, rep, root) of equal keys and different roots."""
-    counts = apart.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    placed = apart.select("key", "rep", "root").join(counts, "key").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    """Links (a, b) between members (key, node, size, root) of equal keys and different
+    roots. Counts come back to the members by a sort-merge join, which Spark splits where
+    a key is hot."""
+    counts = apart.groupBy("key").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("size") / BLOCK_WORDS)).cast("int").alias("blocks"))
+    placed = apart.join(counts.hint("merge"), "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     met = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    met = met.select("key", "rep", "root", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
-    with_text = met.join(texts.select(F.col("doc_id").alias("rep"), "text"), "rep")
+    met = met.select("key", "node", "root", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
+    with_text = met.join(texts, "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = Hashes()
@@ -264,11 +269,13 @@ def linked_blocks(apart: DataFrame, texts: DataFrame) -> DataFrame:
         words: list[np.ndarray] = []
         roots: list[int] = []
         sides: list[int] = []
+        keys: list[np.ndarray] = []
         found: list[tuple[int, int]] = []
 
         def close() -> None:
-            found.extend((max(ids[i], ids[j]), min(ids[i], ids[j])) for i, j in links_within(words, roots, sides))
-            for held in (ids, words, roots, sides):
+            if group:
+                found.extend((max(ids[i], ids[j]), min(ids[i], ids[j])) for i, j in links_within(words, roots, sides, keys, group[0]))
+            for held in (ids, words, roots, sides, keys):
                 held.clear()
 
         def taken() -> pa.RecordBatch:
@@ -277,60 +284,67 @@ def linked_blocks(apart: DataFrame, texts: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
         for batch in batches:
-            columns = [batch.column(n).to_pylist() for n in ("key", "lo", "hi", "rep", "root", "own")]
-            for (key, lo, hi, rep, root, own), text in zip(zip(*columns, strict=True), batch.column("text"), strict=True):
+            columns = [batch.column(n).to_pylist() for n in ("key", "lo", "hi", "node", "root", "own")]
+            for (key, lo, hi, node, root, own), text, shares in zip(zip(*columns, strict=True), batch.column("text"), batch.column("keys"), strict=True):
                 if (key, lo, hi) != group:
                     close()
                     group = (key, lo, hi)
-                ids.append(rep)
+                ids.append(node)
                 words.append(hashes(text.as_py().split()))
                 roots.append(root)
                 sides.append(own)
+                keys.append(shares.values.to_numpy())
             yield taken()
         close()
         yield taken()
 
-    groups = with_text.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "rep")
+    groups = with_text.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "node")
     return groups.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
 def signatures(documents: DataFrame) -> DataFrame:
-    """doc_id, digest of the text and its band keys (null without words)."""
+    """doc_id, digest of the text, its number of words and its band keys (null without
+    words), of rows with both."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = Hashes()
         for batch in batches:
-            keys = []
+            keys, sizes = [], []
             for text in batch.column("text"):
                 words = hashes(text.as_py().split())
+                sizes.append(len(words))
                 keys.append(band_keys(words) if len(words) else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("digest"), pa.array(keys, pa.list_(pa.int64()))],
-                ["doc_id", "digest", "keys"],
+                [batch.column("doc_id"), batch.column("digest"), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
+                ["doc_id", "digest", "size", "keys"],
             )
 
+    return identified(documents).mapInArrow(run, "doc_id bigint, digest binary, size bigint, keys array<bigint>")
+
+
+def identified(documents: DataFrame, *more: Column) -> DataFrame:
+    """doc_id, a strong digest of the text, text and ``more``, of rows with both."""
     texts = documents.where("text IS NOT NULL AND doc_id IS NOT NULL")
-    rows = texts.select("doc_id", F.unhex(F.md5(F.col("text").cast("binary"))).alias("digest"), "text")
-    return rows.mapInArrow(run, "doc_id bigint, digest binary, keys array<bigint>")
+    return texts.select("doc_id", F.unhex(F.md5(F.col("text").cast("binary"))).alias("digest"), "text", *more)
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Of ``pairs`` (a, b) of doc_ids those that are links."""
+    """Of ``pairs`` (a, b) of nodes those that are links."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = Hashes()
         for batch in batches:
             good = []
-            last, words = None, np.zeros(0, np.uint64)
-            for left, right in zip(batch.column("ta"), batch.column("tb"), strict=True):
-                other = right.as_py()
-                if other != last:
-                    last, words = other, hashes(other.split())
-                good.append(alike(hashes(left.as_py().split()), words))
+            last, words, runs = None, np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+            for left, node, right in zip(batch.column("ta"), batch.column("b").to_pylist(), batch.column("tb"), strict=True):
+                if node != last:
+                    last, words = node, hashes(right.as_py().split())
+                    runs = pairs_of(words)
+                good.append(alike(hashes(left.as_py().split()), words, None, runs))
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    with_a = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
-    with_both = with_a.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
+    with_a = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
+    with_both = with_a.join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
     return with_both.select("a", "b", "ta", "tb").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
@@ -356,43 +370,95 @@ def components(edges: DataFrame) -> DataFrame:
         if after == before:
             break
         before = after
-    return stars.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    named = stars.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    named._tidemark_path = stars._tidemark_path
+    return named
 
 
-def near_duplicates(documents: DataFrame) -> DataFrame:
-    """doc_id, class_id (the smallest doc_id of the class), of every row of ``documents``
-    (doc_id, text)."""
+def placed_in(members: DataFrame, classes: DataFrame) -> DataFrame:
+    """``members`` (key, node, size) of buckets that hold several classes, with their root."""
+    rooted = members.join(classes, "node", "left").select("key", "node", "size", F.coalesce("root", "node").alias("root"))
+    placed = store(rooted, "placed")
+    mixed = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
+    apart = store(placed.join(mixed.hint("merge"), "key").select("key", "node", "size", "root"), "apart")
+    drop(placed)
+    return apart
+
+
+def pivots_of(apart: DataFrame, salt: int) -> DataFrame:
+    """Pairs (a, b) of members of large buckets with ``PIVOTS`` others of another root."""
+    chosen = [F.min_by(F.struct("node", "root"), F.xxhash64("node", F.lit(salt * PIVOTS + i))).alias(f"p{i}") for i in range(PIVOTS)]
+    large = apart.groupBy("key").agg(F.count("*").alias("n"), *chosen).where(F.col("n") > BLOCK)
+    met = apart.join(large.select("key", F.array_distinct(F.array(*(f"p{i}" for i in range(PIVOTS)))).alias("pivots")).hint("merge"), "key")
+    pairs = met.select("node", "root", F.explode("pivots").alias("p")).where("root <> p.root")
+    return pairs.select(F.col("node").alias("a"), F.col("p.node").alias("b")).distinct()
+
+
+def classes_of(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Stored tables: doc_id and digest of every document with a text; and of every digest
+    its class_id, and whether its text stands for the class (``leads``)."""
     found = store(signatures(documents), "signatures")
-    copies = store(found.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys")), "copies")
-    buckets = copies.select("rep", F.explode("keys").alias("key"))
-    firsts = buckets.groupBy("key").agg(F.min("rep").alias("first"), F.max("rep").alias("last")).where("first <> last")
-    members = store(buckets.join(firsts.drop("last"), "key"), "members")
-    texts = store(documents.select("doc_id", "text").join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id").dropDuplicates(["doc_id"]), "texts")
+    collapsed = found.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("size").alias("size"), F.first("keys").alias("keys"))
+    copies = store(collapsed.withColumn("node", F.monotonically_increasing_id()), "copies")
+    buckets = copies.select("node", "size", F.explode("keys").alias("key"))
+    firsts = buckets.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first <> last")
+    members = store(buckets.join(firsts.drop("last").hint("merge"), "key"), "members")
+    wanted = copies.join(members.select("node").distinct(), "node").select(F.col("rep").alias("doc_id"), "digest", "node", "keys")
+    texts = store(identified(documents).join(wanted, ["doc_id", "digest"]).dropDuplicates(["doc_id", "digest"]).select("node", "keys", "text"), "texts")
 
     # Everybody against the first of each bucket.
-    pairs = members.where("rep <> first").select(F.col("rep").alias("a"), F.col("first").alias("b")).distinct()
-    links = store(verified(pairs, texts), "links")
-    classes = components(links)
+    pairs = members.where("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b")).distinct()
+    links = [store(verified(pairs, texts), "links")]
+    classes = components(links[0])
+    apart = placed_in(members, classes)
+    drop(members)
+    for turn in range(ROUNDS):
+        more = store(pivots_of(apart, turn), "pairs")
+        if more.isEmpty():
+            drop(more)
+            break
+        links.append(store(verified(more, texts), "links"))
+        drop(more, classes)
+        classes = components(reduce(DataFrame.unionByName, links))
+        narrowed = placed_in(apart, classes)
+        drop(apart)
+        apart = narrowed
 
     # Members of one bucket that are still apart, all with all.
-    placed = store(
-        members.join(classes.select(F.col("node").alias("rep"), "root"), "rep", "left").select("key", "rep", F.coalesce("root", "rep").alias("root")),
-        "placed",
-    )
-    mixed = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-    apart = store(placed.join(mixed, "key").select("key", "rep", "root"), "apart")
-    more = store(linked_blocks(apart, texts), "more")
-    if not more.isEmpty():
-        classes = components(links.unionByName(more))
-    named = copies.join(classes.select(F.col("node").alias("rep"), "root"), "rep", "left").select("digest", F.coalesce("root", "rep").alias("class_id"))
+    links.append(store(linked_blocks(apart, texts), "links"))
+    drop(apart, texts)
+    if not links[-1].isEmpty():
+        drop(classes)
+        classes = components(reduce(DataFrame.unionByName, links))
+    drop(*links)
+
+    own = copies.select("digest", "node", "rep")
+    rooted = own.join(classes.unionByName(classes.select(F.col("root").alias("node"), "root").distinct()), "node")
+    named = rooted.groupBy("root").agg(F.min(F.struct("rep", "node")).alias("lead"))
+    linked = rooted.join(named, "root").select("node", F.col("lead.rep").alias("class_id"), (F.col("node") == F.col("lead.node")).alias("leads"))
+    result = own.join(linked, "node", "left").select("digest", F.coalesce("class_id", "rep").alias("class_id"), F.coalesce("leads", F.lit(True)).alias("leads"))
+    result = store(result, "classes")
+    drop(classes, copies)
+    return found, result
+
+
+def near_duplicates(documents: DataFrame) -> DataFrame:
+    """doc_id, class_id (the smallest doc_id of the class), of every row of ``documents``
+    (doc_id, text)."""
+    found, named = classes_of(documents)
     known = found.select("doc_id", "digest").join(named, "digest").select("doc_id", "class_id")
     others = documents.where("text IS NULL OR doc_id IS NULL").select("doc_id", F.col("doc_id").alias("class_id"))
     return known.unionByName(others)
 
 
 def deduplicated(documents: DataFrame) -> DataFrame:
-    """``documents`` with one row of each class, that with the smallest doc_id. Rows
-    without a doc_id all stay."""
-    classes = near_duplicates(documents).where("doc_id = class_id").select("doc_id").distinct()
-    kept = documents.join(classes, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(documents.where("doc_id IS NULL"))
+    """``documents`` with one row of each class, that with the smallest doc_id; where rows
+    of that doc_id have different texts, the text that stands for the class. Rows without
+    a text are one by doc_id; rows without a doc_id all stay."""
+    found, named = classes_of(documents)
+    drop(found)
+    kept = named.where("leads").select(F.col("class_id").alias("doc_id"), "digest")
+    rows = identified(documents, F.struct("*").alias("row")).drop("text")
+    led = rows.join(kept, ["doc_id", "digest"], "left_semi").dropDuplicates(["doc_id", "digest"]).select("row.*")
+    empty = documents.where("text IS NULL AND doc_id IS NOT NULL").dropDuplicates(["doc_id"])
+    return led.unionByName(empty).unionByName(documents.where("doc_id IS NULL"))

@@ -7,7 +7,9 @@ hierarchical graph kept as flat arrays: ``M0`` neighbours per node on the ground
 by exact cosine, computed in double precision from the original vectors.
 
 Bounds: a task holds one shard's index and one block of queries. The number of shards
-grows with the rows, so building is linear; each shard meets every block of queries.
+grows with the rows, so building is linear; each shard meets every block of queries, by
+the contract that all are answered from all rows. An index is shipped and restored once
+for ``TOGETHER`` queries, which follow it block by block within a task's sorted rows.
 
 Defined results: vectors that are null, zero, or have a null or non-finite component take no
 part, as rows without vec_id; vectors of different lengths never meet; ties go to the
@@ -27,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import store
+from .common import drop, store
 
 SHARD = 4096
 M = 12
@@ -36,6 +38,10 @@ SLACK = 24
 EF_BUILD = 48
 EF_SEARCH = 96
 BLOCK = 256
+#: Partitions per group that is dealt out by its key.
+SPREAD = 3
+#: Queries that a copy of an index answers.
+TOGETHER = 1 << 15
 
 
 class Graph:
@@ -216,34 +222,44 @@ def make_index(distinct: DataFrame, shard: int = SHARD) -> DataFrame:
     """One row of ``INDEX`` per shard over rows of ``nodes``."""
     shards = max(1, -(-distinct.count() // shard))
     dealt = distinct.withColumn("shard", F.pmod(F.xxhash64("node"), F.lit(shards)).cast("int"))
-    return dealt.groupBy("dim", "shard").applyInPandas(_built, INDEX)
+    # More partitions than shards, so that hardly two shards share a task.
+    return dealt.repartition(SPREAD * shards, "dim", "shard").groupBy("dim", "shard").applyInPandas(_built, INDEX)
 
 
 def search_index(index: DataFrame, queries: DataFrame, k: int, ef: int = EF_SEARCH, block: int = BLOCK) -> DataFrame:
     """query_id, vec_id, score: the ``k`` nearest that each shard finds for ``queries``
-    (id, vector), without the query's own id."""
+    (id, vector), without the query's own id. ``index`` and ``queries`` are stored tables."""
+    shards = index.agg(F.max("shard")).first()[0]
     blocks = max(1, -(-queries.count() // block))
+    rounds = max(1, -(-blocks * block // TOGETHER))
     grouped = (
         queries.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
         .groupBy(F.size("vector").alias("dim"), "block")
         .agg(F.collect_list("id").alias("q_ids"), F.flatten(F.collect_list("vector")).alias("q_vectors"))
     )
-    shards = index.select("dim", "shard")
-    asked = grouped.join(shards, "dim")  # every block visits every shard: names only
+    every = F.explode(F.sequence(F.lit(0), F.lit(shards or 0))).alias("shard")
+    asked = grouped.select("dim", every, F.pmod("block", F.lit(rounds)).alias("round"), F.lit(1).alias("kind"), "q_ids", "q_vectors")
+    held = index.drop("ids").withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1)))).withColumn("kind", F.lit(0))
+    mixed = held.unionByName(asked, allowMissingColumns=True)
+    placed = mixed.repartition(SPREAD * rounds * ((shards or 0) + 1), "dim", "shard", "round").sortWithinPartitions("dim", "shard", "round", "kind")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, v, g = None, None, None
+        restored, v, g, norms, copies = None, None, None, None, None
         for batch in batches:
             for r in range(batch.num_rows):
                 get = {n: batch.column(n)[r] for n in batch.schema.names}
                 dim, key = get["dim"].as_py(), (get["dim"].as_py(), get["shard"].as_py())
-                if key != last:
-                    v, g = _restored(dim, *(get[n].as_py() for n in ("vectors", "floors", "links", "sizes", "top", "entry")))
-                    norms, copies, last = np.sqrt((v * v).sum(axis=1)), get["copies"].as_py(), key
+                if get["kind"].as_py() == 0:  # an index comes before its queries
+                    if key != restored:
+                        v, g = _restored(dim, *(get[n].as_py() for n in ("vectors", "floors", "links", "sizes", "top", "entry")))
+                        norms, copies, restored = np.sqrt((v * v).sum(axis=1)), get["copies"].as_py(), key
+                    continue
+                if key != restored:  # no vector of this length in the shard
+                    continue
                 q_ids = get["q_ids"].as_py()
-                asked = get["q_vectors"].values.to_numpy().reshape(-1, dim)
+                vectors = get["q_vectors"].values.to_numpy().reshape(-1, dim)
                 out = []
-                for q_id, q in zip(q_ids, asked, strict=True):
+                for q_id, q in zip(q_ids, vectors, strict=True):
                     length = math.sqrt(float(q @ q))
                     unit = (q / length).astype(np.float32)
                     found = np.array([i for _, i in g.search(unit, g.descend(unit, 0), max(ef, k + 1), 0)][: 2 * k + 2])
@@ -253,15 +269,15 @@ def search_index(index: DataFrame, queries: DataFrame, k: int, ef: int = EF_SEAR
                 columns = zip(*out, strict=True) if out else [[], [], []]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64()), strict=True)], ["query_id", "vec_id", "score"])
 
-    joined = index.drop("ids").join(asked, ["dim", "shard"])
-    return joined.mapInArrow(run, "query_id bigint, vec_id bigint, score double")
+    return placed.mapInArrow(run, "query_id bigint, vec_id bigint, score double")
 
 
-def nearest(table: DataFrame, is_query: Column, k: int = 5, id_column: str = "vec_id", vector: str = "embedding") -> DataFrame:
+def nearest(table: DataFrame, is_query: Column, k: int = 5, id_column: str = "vec_id", vector: str = "embedding", shard: int = SHARD) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` nearest of each row that ``is_query`` names."""
     rows = vectors_of(table, id_column, vector)
     distinct = store(nodes(rows.dropDuplicates(["id", "key"]), k + 1), "nodes")
-    index = store(make_index(distinct), "index")
+    index = store(make_index(distinct, shard), "index")
+    drop(distinct)
     queries = store(rows.where(is_query).dropDuplicates(["id", "key"]).select("id", "vector"), "queries")
     found = search_index(index, queries, k)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

@@ -33,6 +33,8 @@ ROWS = 1024
 BINS = 16
 FULL = 4096
 DELAY = 10
+#: A file that says it is larger counts as damaged: so many pixels are a quarter of a GB.
+PIXELS = 1 << 26
 
 _GRAY = bytes(np.repeat(np.arange(256, dtype=np.uint8), 3))
 
@@ -102,8 +104,8 @@ def unlzw(stream: bytes, size: int, count: int) -> bytes:
     base = [bytes([i]) for i in range(clear)] + [b"", b""]
     bits = np.unpackbits(np.frombuffer(stream, np.uint8), bitorder="little")
     out: list[bytes] = []
-    at, ended = 0, False
-    while not ended and at < len(bits):
+    at, ended, held, done = 0, False, 0, 0
+    while not ended and at < len(bits) and held < count:
         _, starts, ends, worth = _LAYOUTS[size]
         while True:
             n = int(np.searchsorted(ends, len(bits) - at, side="right"))
@@ -132,6 +134,8 @@ def unlzw(stream: bytes, size: int, count: int) -> bytes:
             keep(found)
             before = found
         out += [table[c] if c < FULL else _outside() for c in numbers[FULL - end :]]
+        held += sum(map(len, out[done:]))
+        done = len(out)
     return _cut(out, count)
 
 
@@ -185,9 +189,17 @@ def _blocks(data: bytes, at: int) -> tuple[bytes, int]:
 
 def decode(data: bytes) -> list[Frame]:
     """All frames of a GIF file, composed in order."""
+    return list(decoded(data))
+
+
+def decoded(data: bytes) -> Iterator[Frame]:
+    """The frames of a GIF file one after another, so that only one canvas is held (and a
+    second one where a frame is to be taken back)."""
     if data[:6] not in (b"GIF87a", b"GIF89a"):
         raise ValueError("not a GIF file")
     width, height, flags, _, _ = struct.unpack_from("<HHBBB", data, 6)
+    if width * height > PIXELS:
+        raise ValueError("canvas too large")
     at = 13
     shared = None
     if flags & 0x80:
@@ -196,7 +208,6 @@ def decode(data: bytes) -> list[Frame]:
         at += 3 * n
     canvas = np.zeros((height, width, 4), np.uint8)
     disposal, delay, clear = 0, 0, -1
-    frames: list[Frame] = []
     while at < len(data):
         kind = data[at]
         if kind == 0x3B:
@@ -220,6 +231,10 @@ def decode(data: bytes) -> list[Frame]:
         if palette is None:
             raise ValueError("no palette")
         size = data[at]
+        if not 1 <= size <= 8:
+            raise ValueError("code size out of range")
+        if w * h > PIXELS:
+            raise ValueError("frame too large")
         stream, at = _blocks(data, at + 1)
         samples = np.frombuffer(unlzw(stream, size, w * h), np.uint8).reshape(h, w)
         if flags & 0x40:  # interlaced: every 8th line from 0, every 8th from 4, every 4th from 2, every 2nd from 1
@@ -239,13 +254,22 @@ def decode(data: bytes) -> list[Frame]:
             drawn = seen != clear
             area[drawn, :3] = palette[seen[drawn]]
             area[drawn, 3] = 255
-        frames.append(Frame(left, top, delay, samples, canvas.copy()))
+        yield Frame(left, top, delay, samples, canvas.copy())
         if disposal == 2:
             canvas[top : top + h, left : left + w] = 0
         elif disposal == 3:
             canvas = saved
         disposal, delay, clear = 0, 0, -1
-    return frames
+
+
+def damage(data: bytes) -> str | None:
+    """What keeps a file from being decoded to its end, if anything does."""
+    try:
+        for _ in decoded(data):
+            pass
+    except (ValueError, LookupError, struct.error) as error:
+        return f"{type(error).__name__}: {error}"
+    return None
 
 
 def histogram(shown: np.ndarray) -> np.ndarray:
@@ -265,17 +289,18 @@ def frames(media: DataFrame, id_column: str, media_column: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in FRAMES.split(", ")]
         types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int32()), pa.string()]
+        def batched(*row: object) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, types, strict=True)], names)
+
         for batch in batches:
-            for i, data in zip(batch.column(0), batch.column(1), strict=True):
-                key, rows, start = i.as_py(), [], 0
-                try:
-                    for n, f in enumerate(decode(data.as_py() or b"")):
-                        rows.append((key, n, start, f.delay_ms, f.shown.shape[1], f.shown.shape[0], f.shown.tobytes(), histogram(f.shown).tolist(), None))
-                        start += f.delay_ms
-                except (ValueError, IndexError, struct.error) as error:
-                    rows = [(key, None, None, None, None, None, None, None, str(error))]
-                columns = zip(*rows, strict=True) if rows else [[]] * len(names)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
+            for i, held in zip(batch.column(0), batch.column(1), strict=True):
+                key, data, start = i.as_py(), held.as_py() or b"", 0
+                if error := damage(data):
+                    yield batched(key, *[None] * 7, error)
+                    continue
+                for n, f in enumerate(decoded(data)):
+                    yield batched(key, n, start, f.delay_ms, f.shown.shape[1], f.shown.shape[0], f.shown.tobytes(), histogram(f.shown).tolist(), None)
+                    start += f.delay_ms
 
     return media.select(id_column, media_column).mapInArrow(run, FRAMES)
 
@@ -321,17 +346,17 @@ def text_features(documents: DataFrame) -> DataFrame:
             rows = []
             for doc_id, n_bytes, media in zip(*batch.columns, strict=True):
                 data = media.as_py()
-                found = decode(data)
-                parts, counts = [], np.zeros(BINS, np.int64)
-                for f in found:
+                parts, counts, time, n = [], np.zeros(BINS, np.int64), 0, 0
+                for f in decoded(data):
                     h, w = f.samples.shape
                     own = f.shown[f.top : f.top + h, f.left : f.left + w]
                     parts.append(own[..., 0].tobytes())
                     counts += histogram(own)[:BINS]
+                    time, n = time + f.delay_ms, n + 1
                 payload = b"".join(parts)
-                feature = ",".join(map(str, counts)) + f";{sum(f.delay_ms for f in found)}"
+                feature = ",".join(map(str, counts)) + f";{time}"
                 rows.append(
-                    (doc_id.as_py(), n_bytes.as_py(), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(data), hashlib.sha256(data).hexdigest(), feature, len(found))
+                    (doc_id.as_py(), n_bytes.as_py(), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(data), hashlib.sha256(data).hexdigest(), feature, n)
                 )
             types = [pa.int64()] * 3 + [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
             columns = zip(*rows, strict=True) if rows else [[]] * len(names)

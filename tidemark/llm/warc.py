@@ -114,18 +114,32 @@ def parsed(records: DataFrame) -> DataFrame:
     )
 
 
-def records(archive: DataFrame) -> DataFrame:
-    """The exact bytes of every record: header, its own payload (none in revisits), end."""
+def records(archive: DataFrame, *more: str) -> DataFrame:
+    """The exact bytes of every record: header, its own payload (none in revisits), end;
+    and ``more`` columns of ``archive``."""
     own = F.when(field("WARC-Type") == "response", F.col("payload")).otherwise(F.lit(b""))
-    return archive.select("page_id", F.concat("header", own, F.lit(CRLF * 2).cast("binary")).alias("record"))
+    return archive.select("page_id", F.concat("header", own, F.lit(CRLF * 2).cast("binary")).alias("record"), *more)
+
+
+def rebuilt(archive: DataFrame) -> DataFrame:
+    """``archive`` put together to records and taken apart again: the header is what stands
+    before the first empty line, the payload of a response what stands between that line
+    and the record's end; a revisit has the payload of the record that it refers to."""
+    end = CRLF * 2
+    whole = records(archive, "payload")
+    head = F.substring_index(F.col("record").cast("string"), end, 1)
+    size = F.octet_length(head) + len(end)
+    own = F.substring("record", size + 1, F.octet_length("record") - size - len(end))
+    parts = whole.select("page_id", F.concat(head, F.lit(end)).cast("binary").alias("header"), own.alias("own"), "payload")
+    return parts.withColumn("payload", F.when(field("WARC-Type") == "response", F.col("own")).otherwise(F.col("payload"))).drop("own")
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
-    """Archive ``pages`` in the shared folder, read the records back and describe them."""
+    """Archive ``pages`` in the shared folder, rebuild the records and describe them."""
     spark = pages.sparkSession
     path = scratch_path(spark, "warc")
     write_archive(pages, path)
-    back = parsed(read_archive(spark, path))
+    back = parsed(rebuilt(read_archive(spark, path)))
     right = F.concat(F.lit("sha1:"), F.col("payload_digest")) == F.col("said")
     digest = F.when(right, F.col("payload_digest")).otherwise(F.raise_error(F.lit("payload and header disagree")).cast("string"))
     return back.select("page_id", "payload_bytes", digest.alias("payload_digest"), "record_type", "refers_to")

@@ -26,8 +26,9 @@ import regex
 import xxhash
 from pyspark.sql import DataFrame
 
-#: Pre-tokens that a worker process keeps, some 200 bytes each.
-REMEMBERED = 700_000
+#: Pre-tokens that a worker process keeps, some 200 bytes each: none longer than ``LONGEST``
+#: characters, as those hardly come again and have no bound.
+REMEMBERED, LONGEST = 700_000, 32
 PRIME = (1 << 61) - 1
 
 
@@ -155,8 +156,9 @@ class Bpe:
             if len(seen) > REMEMBERED:
                 seen.clear()
                 missing = tokens
-            for token in set(missing):
-                seen[token] = self.piece(token.encode())
+            fresh = {token: self.piece(token.encode()) for token in set(missing)}
+            seen.update((t, ids) for t, ids in fresh.items() if len(t) <= LONGEST)
+            return list(chain.from_iterable(fresh[t] if t in fresh else seen[t] for t in tokens))
         return list(chain.from_iterable(map(seen.__getitem__, tokens)))
 
     def decode(self, ids: Iterable[int]) -> bytes:

@@ -35,8 +35,9 @@ OPEN = 32
 GAP = 16
 MERGED = 64
 END = 1
-#: Words that a worker process keeps, some 200 bytes each.
-REMEMBERED = 900_000
+#: Words that a worker process keeps, some 200 bytes each: none longer than ``LONGEST``
+#: characters, as those hardly come again and have no bound.
+REMEMBERED, LONGEST = 900_000, 32
 
 PIECE = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
 SCHEMA = f"{PIECE}, part bigint, window bigint, offset bigint, closed boolean"
@@ -106,7 +107,11 @@ class Words:
                 seen.clear()
                 self.plain.clear()
                 missing = words
-            self._learn(set(missing))
+            fresh = set(missing)
+            long = {w: self._one(w) for w in fresh if len(w) > LONGEST}
+            self._learn(fresh.difference(long))
+            if long:
+                return b"".join(long[w] if w in long else seen[w] for w in words)
         return b"".join(map(seen.__getitem__, words))
 
 

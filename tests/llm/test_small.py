@@ -15,7 +15,7 @@ import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tidemark.llm import bpe, gif, hnsw, html_extract, order_minhash, packing, quality, secrets, sharding, warc
+from tidemark.llm import bpe, common, gif, hnsw, html_extract, order_minhash, packing, quality, secrets, sharding, warc
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -277,6 +277,71 @@ def small_gif(frames, size=2, palette=b"\0\0\0\xff\0\0\0\xff\0\0\0\xff"):
     return b"".join(out) + b"\x3b"
 
 
+def plain_gif(data):
+    """Samples and palettes of a GIF's frames, by a decoder of its own: one bit at a time."""
+    at, frames = 13, []
+    palette = data[at : at + 768]
+    at += 768
+    while data[at] != 0x3B:
+        image = data[at] == 0x2C
+        at += 10 if image else 2
+        size = data[at] if image else 0
+        at += image
+        stream = b""
+        while n := data[at]:
+            stream += data[at + 1 : at + 1 + n]
+            at += 1 + n
+        at += 1
+        if not image:
+            continue
+        bits = int.from_bytes(stream, "little")
+        clear, width, table, before, out = 1 << size, size + 1, {}, None, b""
+        while True:
+            code, bits = bits & ((1 << width) - 1), bits >> width
+            if code == clear:
+                table, width, before = {i: bytes([i]) for i in range(clear)} | {clear: b"", clear + 1: b""}, size + 1, None
+                continue
+            if code == clear + 1:
+                break
+            found = table[code] if code in table else before + before[:1]
+            if before is not None and len(table) < 4096:
+                table[len(table)] = before + found[:1]
+            if len(table) == 1 << width and width < 12:
+                width += 1
+            out += found
+            before = found
+        frames.append(out)
+    return palette, frames
+
+
+def test_gif_against_a_plain_decoder(spark):
+    text = "Ein Satz, der so lange ist, dass er mehr als eine Zeile braucht. " * 40
+    docs = spark.createDataFrame([(1, text), (2, None), (3, "x" * 70_000)], "doc_id long, text string")
+    media = {r["doc_id"]: bytes(r["media"]) for r in gif.text_media(docs).collect()}
+    for r in gif.text_features(docs).collect():
+        palette, frames = plain_gif(media[r["doc_id"]])
+        assert palette == bytes(x for i in range(256) for x in (i, i, i))
+        payload = b"".join(frames)
+        assert (r["payload_sha256"], r["n_frames"], r["media_sha256"]) == (hashlib.sha256(payload).hexdigest(), len(frames), hashlib.sha256(media[r["doc_id"]]).hexdigest())
+        counts = Counter(b // 16 for b in payload)
+        assert r["feature"] == ",".join(str(counts[i]) for i in range(16)) + f";{100 * len(frames)}"
+
+
+def test_damaged_gifs_give_an_error_row(spark):
+    made = small_gif([(0, 0, [[1] * 4] * 4, 1, None, 5, False)])
+    at = made.index(b"\x2c") + 10
+    files = [made[:at] + bytes([n]) + made[at + 1 :] for n in (0, 9, 255)] + [made[:6] + b"\xff\xff\xff\xff" + made[10:], made[: at + 1], made[:20]]
+    rng = np.random.default_rng(12)
+    for _ in range(60):
+        broken = bytearray(made)
+        broken[int(rng.integers(6, len(made)))] = int(rng.integers(0, 256))
+        files.append(bytes(broken))
+    rows = gif.frames(spark.createDataFrame(list(enumerate(files)), "i long, m binary"), "i", "m").collect()
+    assert {r["id"] for r in rows} <= set(range(len(files)))
+    assert all(r["error"] for r in rows if r["id"] < 6)
+    assert {r["id"] for r in rows if r["id"] < 6} == set(range(6))
+
+
 def test_gif_disposal_transparency_interlace(spark):
     full = [[1] * 4] * 4
     made = small_gif([(0, 0, full, 1, None, 5, False), (1, 1, [[2, 0], [0, 2]], 2, 0, 6, False), (0, 0, [[3, 0], [0, 0]], 3, 0, 7, False), (3, 3, [[2]], 0, None, 8, False)])
@@ -338,6 +403,36 @@ def test_quality_held_out(spark):
     assert (good[:, None] > bad[None]).mean() > 0.97
 
 
+def test_unspaced_runs_are_not_remembered():
+    rng = np.random.default_rng(13)
+    runs = ["".join(chr(0x4E00 + int(x)) for x in rng.integers(0, 5000, 400)) for _ in range(50)]
+    words, tokens, hashes = packing.Words(open(WORDS).read()), bpe.Bpe.load(RANKS, public_tokenizers.PATTERN), order_minhash.Hashes()
+    text = " ".join([*runs, "short", *runs[:3]])
+    assert np.frombuffer(words(text), "<u4").tolist() == words.tokenizer.encode(text, add_special_tokens=False).ids
+    assert tokens.decode(tokens.encode(text)) == text.encode()
+    assert len(hashes(text.split())) == 54
+    for held in (words.seen, words.plain, tokens.seen, hashes.seen):
+        assert max(map(len, held), default=0) <= 33
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster():
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getConf(self):
+            return Conf()
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    with pytest.raises(ValueError, match="checkpoint.dir"):
+        common.scratch_dir(Session())
+
+
 def test_packing(documents, nothing):
     tokenizer = Tokenizer.from_file(WORDS)
     pieces = packing.pack(documents.where("doc_id IS NOT NULL AND doc_id <> 1"), WORDS).collect()
@@ -528,7 +623,7 @@ def test_components(spark):
     assert found == {**{i: 0 for i in range(1, 41)}, 200: 100, 150: 100, **{x: 300 for x in range(301, 330)}}
 
 
-def test_search(spark):
+def test_search(spark, monkeypatch):
     rng = np.random.default_rng(9)
     vectors = rng.normal(size=(1500, 16)).astype(float).tolist()
     rows = list(enumerate(vectors)) + [(2000, vectors[0]), (2001, vectors[0]), (2050, None), (2100, [0.0] * 16), (2150, [float("nan")] * 16), (2200, [None] * 16), (2250, [1.0, 2.0]), (0, vectors[0]), (None, vectors[3])]
@@ -551,6 +646,13 @@ def test_search(spark):
         assert all(abs(score - s[ids == i][0]) < 1e-12 for _, i, score in got)
     assert hits / (5 * len(by_query)) >= 0.95
     assert hnsw.nearest(table.limit(0), F.col("id") % 50 == 0).count() == 0
+    sharded = hnsw.nearest(table, F.col("id") % 50 == 0, 5, shard=300).collect()
+    by_shard = {(r["query_id"], r["vec_id"]) for r in sharded}
+    assert len(sharded) == len(found)
+    assert len(by_shard & {(r["query_id"], r["vec_id"]) for r in found}) / len(found) >= 0.95
+    monkeypatch.setattr(hnsw, "BLOCK", 4)
+    monkeypatch.setattr(hnsw, "TOGETHER", 8)
+    assert rows_of(hnsw.nearest(table, F.col("id") % 50 == 0, 5, shard=300)) == rows_of(spark.createDataFrame(sharded, "query_id long, rank int, vec_id long, score double"))
     few = hnsw.nearest(table.where("vec_id < 3"), F.col("id") % 50 == 0).collect()
     assert [r["rank"] for r in few] == [1, 2]
 

@@ -7,7 +7,9 @@ import html
 import re
 import zlib
 from collections import Counter
+from html.parser import HTMLParser
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
@@ -164,15 +166,17 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><b
 <script>var t="</p>";</script><aside>Aside</aside><ul><li>item one<li>item two</ul></article><section class="comments"><p>Nice post, really very good indeed, thanks a lot for it all</section><form><p>Mail</form><footer>&copy; x</footer><!-- end"""
 
 
+KNOWN = html_extract.UNLEARNED | {"article": -20.0, "/article": -20.0}
+
+
 def test_extraction(spark):
-    weights = {"article": -20.0, "/article": -20.0}
     want = "Title & more\n\nFirst para graph link.\n\nSecond line, 1 < 2.\n\nitem one\n\nitem two"
     pages = spark.createDataFrame([(1, "u", PAGE, 0), (1, "u", PAGE, 0), (2, None, None, 0), (3, "v", "", 0), (4, "w", "plain words", 0), (5, "x", "<nav>menu</nav>", 0), (6, "y", "<p>a</p>" * 5000, 0)], "page_id long, url string, html string, text int")
-    got = [tuple(r) for r in html_extract.extract(pages, weights).collect()]
+    got = [tuple(r) for r in html_extract.extract(pages, KNOWN).collect()]
     assert got[:6] == [(1, "u", want, len(want))] * 2 + [(2, None, "", 0), (3, "v", "", 0), (4, "w", "plain words", 11), (5, "x", "", 0)]
     assert got[6][2] == "\n\n".join(["a"] * 5000)
-    assert html_extract.extract(pages.limit(0), weights).count() == 0
-    assert html_extract.learn(pages.limit(0)) == {}
+    assert html_extract.extract(pages.limit(0), KNOWN).count() == 0
+    assert html_extract.learn(pages.limit(0)) == html_extract.UNLEARNED
     assert html_extract.learn(pages)["article"] < -1
     assert html.unescape("&amp;") == "&"
 
@@ -181,11 +185,10 @@ def test_furniture_longer_than_the_text_around_it_drops_no_text():
     def words(name, n):
         return " ".join(f"{name}{i}" for i in range(n))
 
-    weights = {"article": -20.0, "/article": -20.0}
     outer, aside = f"<div class=teaser>{words('out', 9)}</div>", f"<aside><p>{words('aside', 60)}</p></aside>"
     for before, after in ((30, 500), (500, 40), (30, 40)):
         page = f"{outer}<article><p>{words('a', before)}</p>{aside}<p>{words('b', after)}</p></article>{outer}"
-        assert html_extract.main_text(page, weights) == words("a", before) + "\n\n" + words("b", after)
+        assert html_extract.main_text(page, KNOWN) == words("a", before) + "\n\n" + words("b", after)
 
 
 @pytest.mark.parametrize(
@@ -195,26 +198,116 @@ def test_furniture_longer_than_the_text_around_it_drops_no_text():
         '<div id="content" class="no-sidebar"><p>{text}</p></div><div class="sidebar">Side</div>',
         '<div class="content-widget"><p>{text}</p></div>',
         '<div class="widget page"><main><p>{text}</p></main></div>',
+        '<div class="post share-enabled"><p>{text}</p></div>',
+        '<div class="entry-content social"><p>{text}</p></div>',
         '<section id="related-work"><article><p>{text}</p></article></section>',
+        '<form id="aspnet"><div><article><p>{text}</p></article></div><input></form>',
+        '<form id="aspnet"><div><p>{text}</p></div><input></form>',
         '<article><div class="content-widget"><p>{text}</p></div></article><div class="comments"><p>' + "no " * 99 + "</p></div>",
+        '<article><p>{text}</p><section class="comments-area"><p>' + "no " * 99 + "</p></section></article>",
+        '<article><p>{text}</p></article><div class="sidebar"><p>' + "no " * 999 + "</p></div>",
         '<article><p>{text}</p><div class="related-posts"><a href="x">Other</a></div><section id="related-posts"><a href="x">Other</a></section></article>',
+        '<article><p>{text}</p><div class="ad">Unclosed <p>advert</article>',
         '<p><svg viewBox="0 0 1 1"/><math/></p><p>{text}</p>',
+        '<p><canvas/><object data="x"/></p><p>{text}</p><p><canvas></p>',
         '<p><svg width="1"><path d="M0 0"/><text>No</text><p>{text}</p>',
         '<p><svg><foreignObject><div>No</div></foreignObject></svg></p><p>{text}</p>',
         '<html><head><meta charset="utf-8"><title>T</title><script>var a = "<div>";</script><body><p>{text}</p>',
         "<html><head><title>T</title><style>p{{}}</style><p>{text}</p>",
         "<html><head><title>T</title>{text}",
         "<html><head><title>T</title></head><body><p>{text}</p></body></html>",
+        "<title-bar></title-bar><video-player></video-player><p>{text}</p><script>unclosed",
     ],
 )
 def test_wrappers_and_unclosed_markup_keep_the_text(page):
     text = " ".join(f"word{i}" for i in range(40))
-    assert html_extract.main_text(page.format(text=text), {"article": -20.0, "/article": -20.0}) == text
+    assert html_extract.main_text(page.format(text=text), KNOWN) == text
+
+
+def test_removals_within_a_block_dont_cut_it():
+    assert html_extract.main_text("<p>Hello <span class=ad>x</span> world again.</p>", KNOWN) == "Hello world again."
+    assert html_extract.main_text("<article><p>Wor<script>x</script>ds <b hidden>y</b>and more.</p></article>", KNOWN) == "Words and more."
 
 
 def test_section_of_an_article_named_by_its_subject_is_kept():
     page = "<article><p>" + "one " * 50 + '</p><section id="related-work"><h2>Related work</h2><p>Others did <a href="x">this</a> before us.</p></section></article>'
-    assert html_extract.main_text(page, {}).endswith("Related work\n\nOthers did this before us.")
+    assert html_extract.main_text(page, KNOWN).endswith("Related work\n\nOthers did this before us.")
+
+
+def small_pages():
+    found = duckdb.execute("SELECT html FROM '/root/testdata/sf0.001/pages.parquet' WHERE html IS NOT NULL ORDER BY page_id").fetchall()
+    return [r[0] for r in found]
+
+
+def learned(pages, prior):
+    inside, outside, words, runs = Counter(), Counter(), 0, 0
+    for seen in filter(None, map(html_extract.observed, pages)):
+        inside, outside, words, runs = inside + seen[0], outside + seen[1], words + seen[2], runs + seen[3]
+    return html_extract.weights_of([(k, inside[k], outside[k]) for k in {*inside, *outside}], words, runs, prior)
+
+
+def test_weights_and_region_decide():
+    """Labels alone tell what the priors tell on these pages; without weights, or without
+    the run, the text of every page is another."""
+    pages = small_pages()
+    full, bare = learned(pages, html_extract.PRIOR), learned(pages, 0)
+    for page in pages:
+        text = html_extract.main_text(page, full)
+        assert html_extract.main_text(page, bare) == text
+        assert html_extract.main_text(page, {}) != text
+        assert html_extract.text_of(html_extract.items(page, full)) != text
+    page = "<div>Home of the brave</div>" + "<article><p>" + "word " * 30 + "</p></article>" + "<div>Made by us</div>"
+    assert html_extract.main_text(page, full) == "word " * 29 + "word"
+
+
+class Plain(HTMLParser):
+    """An extraction of its own for pages as the tables have them: the standard library's
+    parser, and all runs of scores tried."""
+
+    def __init__(self, weights):
+        super().__init__(convert_charrefs=True)
+        self.weights, self.items, self.path = weights, [], []
+
+    def odds(self, tag, attrs):
+        names = dict(attrs).get("class", "").split()
+        return sum(self.weights.get(f"~{x}", 0) for x in names) if names else min(0, self.weights.get(f"~<{tag}>", 0))
+
+    def handle_starttag(self, tag, attrs):
+        name = ".".join([tag, *dict(attrs).get("class", "").split()[:1]])
+        if tag not in ("br", "meta"):
+            self.path.append((tag, self.odds(tag, attrs) < html_extract.LEAST_ODDS))
+        self.items.append((0 if self.dead() else self.weights.get(name, html_extract.INSIDE), " " if tag == "br" else "" if tag == "b" else "\0"))
+
+    def handle_endtag(self, tag):
+        self.items.append((0 if self.dead() else self.weights.get("/" + tag, html_extract.INSIDE), "\0"))
+        if any(t == tag for t, _ in self.path):
+            while self.path.pop()[0] != tag:
+                pass
+
+    def handle_data(self, data):
+        if not {"title", "style", "script"} & {t for t, _ in self.path}:
+            self.items.append((0, "") if self.dead() else (len(data.split()), data))
+
+    def dead(self):
+        return any(d for _, d in self.path)
+
+    def text(self):
+        sums = np.concatenate([[0], np.cumsum([x for x, _ in self.items])])
+        gain = sums[None, :] - sums[:, None]
+        gain[np.tril_indices(len(sums))] = -1
+        a, b = np.unravel_index(gain.argmax(), gain.shape)
+        blocks = "".join(t for _, t in self.items[a:b]).split("\0")
+        return "\n\n".join(x for x in (" ".join(t.split()) for t in blocks) if x)
+
+
+def test_extraction_against_an_independent_one():
+    pages = small_pages()
+    weights = learned(pages, html_extract.PRIOR)
+    for page in pages:
+        plain = Plain(weights)
+        plain.feed(page)
+        plain.close()
+        assert html_extract.main_text(page, weights) == plain.text()
 
 
 def test_region_is_the_best_of_all(spark):

@@ -678,6 +678,22 @@ def test_large_groups_by_pivots_and_blocks(spark, monkeypatch):
     assert classes == {0}
 
 
+def test_large_buckets_of_unlike_texts(spark, monkeypatch):
+    """Texts that share their core and little else meet in large buckets and stay apart,
+    but for the copies planted among them."""
+    monkeypatch.setattr(order_minhash, "BLOCK", 8)
+    rng = np.random.default_rng(14)
+    core, texts = [f"c{i}" for i in range(60)], {}
+    for i in range(0, 240, 2):
+        words = [*core, *(f"x{x}" for x in rng.integers(0, 10**6, 40))]
+        texts[i] = " ".join(words)
+        if i % 3 == 0:
+            words[70], words[80] = "other", "words"
+            texts[i + 1] = " ".join(words)
+    got = order_minhash.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["class_id"] for r in got} == {i: i - i % 2 for i in texts}
+
+
 def test_order_matters():
     a = np.arange(1, 101, dtype=np.uint64)
     turned = np.concatenate([a[50:], a[:50]])

@@ -253,11 +253,9 @@ def links_within(words: list[np.ndarray], roots: list[int], sides: list[int], ke
 
 
 def linked_blocks(apart: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links (a, b) between members (key, node, size, root) of equal keys and different
-    roots. Counts come back to the members by a sort-merge join, which Spark splits where
-    a key is hot."""
-    counts = apart.groupBy("key").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("size") / BLOCK_WORDS)).cast("int").alias("blocks"))
-    placed = apart.join(counts.hint("merge"), "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    """Links (a, b) between members (key, node, size, root, blocks) of equal keys and
+    different roots."""
+    placed = apart.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     met = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     met = met.select("key", "node", "root", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
     with_text = met.join(texts, "node")
@@ -375,23 +373,36 @@ def components(edges: DataFrame) -> DataFrame:
     return named
 
 
+def met_by_key(rows: DataFrame, by_key: DataFrame) -> DataFrame:
+    """``rows`` joined with a row per key. That table is stored first and the join is one of
+    sorted sides, so that nothing but shuffles feeds it: then Spark splits a hot key."""
+    return rows.join(by_key.hint("merge"), "key")
+
+
 def placed_in(members: DataFrame, classes: DataFrame) -> DataFrame:
-    """``members`` (key, node, size) of buckets that hold several classes, with their root."""
-    rooted = members.join(classes, "node", "left").select("key", "node", "size", F.coalesce("root", "node").alias("root"))
+    """``members`` (key, node, size) of buckets that hold several classes, with their root,
+    and the members and blocks of the bucket."""
+    rooted = members.select("key", "node", "size").join(classes, "node", "left").select("key", "node", "size", F.coalesce("root", "node").alias("root"))
     placed = store(rooted, "placed")
-    mixed = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-    apart = store(placed.join(mixed.hint("merge"), "key").select("key", "node", "size", "root"), "apart")
-    drop(placed)
+    blocks = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("size") / BLOCK_WORDS)).cast("int")
+    mixed = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n"), blocks.alias("blocks")).where("lo <> hi")
+    mixed = store(mixed.drop("lo", "hi"), "mixed")
+    apart = store(met_by_key(placed, mixed), "apart")
+    drop(placed, mixed)
     return apart
 
 
 def pivots_of(apart: DataFrame, salt: int) -> DataFrame:
-    """Pairs (a, b) of members of large buckets with ``PIVOTS`` others of another root."""
+    """Stored pairs (a, b) of members of large buckets with ``PIVOTS`` others, of another
+    root."""
     chosen = [F.min_by(F.struct("node", "root"), F.xxhash64("node", F.lit(salt * PIVOTS + i))).alias(f"p{i}") for i in range(PIVOTS)]
-    large = apart.groupBy("key").agg(F.count("*").alias("n"), *chosen).where(F.col("n") > BLOCK)
-    met = apart.join(large.select("key", F.array_distinct(F.array(*(f"p{i}" for i in range(PIVOTS)))).alias("pivots")).hint("merge"), "key")
-    pairs = met.select("node", "root", F.explode("pivots").alias("p")).where("root <> p.root")
-    return pairs.select(F.col("node").alias("a"), F.col("p.node").alias("b")).distinct()
+    large = apart.where(F.col("n") > BLOCK)
+    pivots = large.groupBy("key").agg(*chosen).select("key", F.array_distinct(F.array(*(f"p{i}" for i in range(PIVOTS)))).alias("pivots"))
+    pivots = store(pivots, "pivots")
+    met = met_by_key(large, pivots).select("node", "root", F.explode("pivots").alias("p")).where("root <> p.root")
+    pairs = store(met.select(F.col("node").alias("a"), F.col("p.node").alias("b")).distinct(), "pairs")
+    drop(pivots)
+    return pairs
 
 
 def classes_of(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -402,7 +413,9 @@ def classes_of(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     copies = store(collapsed.withColumn("node", F.monotonically_increasing_id()), "copies")
     buckets = copies.select("node", "size", F.explode("keys").alias("key"))
     firsts = buckets.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first <> last")
-    members = store(buckets.join(firsts.drop("last").hint("merge"), "key"), "members")
+    firsts = store(firsts.drop("last"), "firsts")
+    members = store(met_by_key(buckets, firsts), "members")
+    drop(firsts)
     wanted = copies.join(members.select("node").distinct(), "node").select(F.col("rep").alias("doc_id"), "digest", "node", "keys")
     texts = store(identified(documents).join(wanted, ["doc_id", "digest"]).dropDuplicates(["doc_id", "digest"]).select("node", "keys", "text"), "texts")
 
@@ -413,7 +426,7 @@ def classes_of(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     apart = placed_in(members, classes)
     drop(members)
     for turn in range(ROUNDS):
-        more = store(pivots_of(apart, turn), "pairs")
+        more = pivots_of(apart, turn)
         if more.isEmpty():
             drop(more)
             break

@@ -6,9 +6,9 @@ k-mers with the smallest hash and keeps them in text order; texts that have the
 in another order get another sketch. Texts that share one of ``BANDS`` sketches are
 candidates. A candidate pair is a link if its words can be aligned with at most
 ``1 - SIMILAR`` edits (words put in, left out or replaced) per word of the longer text; the
-alignment looks only at that band around the diagonal. What the two have in common of runs
-of two words refuses most others first: an edit spoils two of them at most, so no pair that
-the alignment would take is lost.
+alignment looks only at that band around the diagonal. What the two have in common of words
+and of runs of two words refuses most others first: an edit spoils one and two of them at
+most, so no pair that the alignment would take is lost.
 
 How it stays linear: equal texts collapse into one node before anything is compared. In
 every bucket all members are compared with one of them only; links become classes by
@@ -52,8 +52,8 @@ BLOCK = 1024
 BLOCK_WORDS = 1_000_000
 PIVOTS = 4
 ROUNDS = 2
-#: Up to so many texts are compared one by one.
-FEW = 6
+#: Rows of the matrix of pairs that are held at a time.
+ROWS_AT_ONCE = 256
 #: Words whose hashes a worker remembers, and the longest of them in characters.
 REMEMBERED, LONGEST = 400_000, 32
 
@@ -179,12 +179,12 @@ def allowed(longer: int) -> int:
     return int((1 - SIMILAR) * longer + 1e-9)
 
 
-def pairs_of(words: np.ndarray) -> np.ndarray:
-    """Labelled runs of two words, sorted."""
-    return np.sort(labelled(kmers(words, 2)))
+def profile(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Labelled words, and labelled runs of two words, sorted."""
+    return np.sort(labelled(words)), np.sort(labelled(kmers(words, 2)))
 
 
-def alike(a: np.ndarray, b: np.ndarray, a_pairs: np.ndarray | None = None, b_pairs: np.ndarray | None = None) -> bool:
+def alike(a: np.ndarray, b: np.ndarray, a_profile: tuple | None = None, b_profile: tuple | None = None) -> bool:
     """Whether two word sequences are near-duplicates (see the module's text)."""
     if not len(a) or not len(b):
         return len(a) == len(b)
@@ -195,32 +195,44 @@ def alike(a: np.ndarray, b: np.ndarray, a_pairs: np.ndarray | None = None, b_pai
     if len(a) == len(b) and (a == b).all():
         return True
     if min(len(a), len(b)) > 1:
-        x, y = pairs_of(a) if a_pairs is None else a_pairs, pairs_of(b) if b_pairs is None else b_pairs
-        if len(np.intersect1d(x, y, assume_unique=True)) < longer - 1 - 2 * most:
-            return False
+        x, y = a_profile or profile(a), b_profile or profile(b)
+        for k in (1, 2):
+            if len(np.intersect1d(x[k - 1], y[k - 1], assume_unique=True)) < longer + 1 - k - k * most:
+                return False
     return edits(a, b, most) is not None
 
 
-def shared(found: list[np.ndarray], columns: int = 4096) -> np.ndarray:
-    """How many numbers each two of ``found`` have in common; none repeats within one."""
-    sizes = [len(x) for x in found]
-    _, place, count = np.unique(np.concatenate(found), return_inverse=True, return_counts=True)
-    use = np.flatnonzero(count[place] > 1)
-    number = np.cumsum(count > 1) - 1
-    row, column = np.repeat(np.arange(len(found)), sizes)[use], number[place[use]]
-    out = np.zeros((len(found), len(found)), np.float32)
-    for at in range(0, int(number[-1]) + 1 if len(number) else 0, columns):
-        part = (column >= at) & (column < at + columns)
-        dense = np.zeros((len(found), columns), np.float32)
-        dense[row[part], column[part] - at] = 1
-        out += dense @ dense.T
+def shared(few: list[np.ndarray], many: list[np.ndarray], columns: int = 4096) -> np.ndarray:
+    """How many numbers each of ``few`` has in common with each of ``many``; none repeats
+    within one."""
+    known, counts = np.unique(np.concatenate(many), return_counts=True)
+    known = known[counts > 1]  # ``few`` are some of ``many``
+    out = np.zeros((len(few), len(many)), np.float32)
+
+    def cells(found: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        every = np.concatenate(found)
+        column = np.minimum(np.searchsorted(known, every), len(known) - 1)
+        use = np.flatnonzero(known[column] == every)
+        return np.repeat(np.arange(len(found)), [len(x) for x in found])[use], column[use]
+
+    if not len(known):
+        return out
+    (few_row, few_column), (many_row, many_column) = cells(few), cells(many)
+    for at in range(0, len(known), columns):
+        a, b = np.zeros((len(few), columns), np.float32), np.zeros((len(many), columns), np.float32)
+        part = (few_column >= at) & (few_column < at + columns)
+        a[few_row[part], few_column[part] - at] = 1
+        part = (many_column >= at) & (many_column < at + columns)
+        b[many_row[part], many_column[part] - at] = 1
+        out += a @ b.T
     return out
 
 
 def links_within(words: list[np.ndarray], roots: list[int], sides: list[int], keys: list[np.ndarray], key: int) -> list[tuple[int, int]]:
     """Index pairs of links that join what isn't yet of one root; if there are two
-    ``sides``, between them only; of pairs that share several ``keys``, those whose first
-    is ``key``. Links that would join nothing new are left out."""
+    ``sides``, between them only; of pairs that share several ``keys`` (a row of them each,
+    by band), those whose first is ``key``. Links that would join nothing new are left out.
+    Those of the commonest root aren't compared with each other."""
     up = {r: r for r in roots}
 
     def top(r: int) -> int:
@@ -231,25 +243,34 @@ def links_within(words: list[np.ndarray], roots: list[int], sides: list[int], ke
 
     def join(i: int, j: int) -> bool:
         x, y = top(roots[i]), top(roots[j])
-        if x == y or np.intersect1d(keys[i], keys[j])[0] != key or not alike(words[i], words[j], runs[i], runs[j]):
+        if x == y or not alike(words[i], words[j], profiles[i], profiles[j]):
             return False
         up[max(x, y)] = min(x, y)
         return True
 
-    runs = [pairs_of(w) for w in words]
-    one_side = len(set(sides)) < 2
-    if len(words) <= FEW:
-        return [(i, j) for i in range(len(words)) for j in range(i + 1, len(words)) if (one_side or sides[i] != sides[j]) and join(i, j)]
+    root, side, held = np.array(roots), np.array(sides), np.array(keys)
+    names, counts = np.unique(root, return_counts=True)
+    few = np.flatnonzero(root != names[counts.argmax()])
+    if not len(few):
+        return []
+    profiles = [profile(w) for w in words]
+    runs = [x[1] for x in profiles]
     sizes = np.array([len(w) for w in words])
-    longer = np.maximum(sizes[:, None], sizes[None])
-    spare = shared(runs) - (longer - 1 - 2 * ((1 - SIMILAR) * longer + 1e-9).astype(int))
-    root, side = np.array(roots), np.array(sides)
-    able = np.triu(spare >= 0, 1) & (root[:, None] != root[None])
-    if not one_side:
-        able &= side[:, None] != side[None]
-    a, b = np.nonzero(able)
-    order = np.argsort(-spare[a, b], kind="stable")
-    return [(i, j) for i, j in zip(a[order].tolist(), b[order].tolist(), strict=True) if join(i, j)]
+    found: list[tuple[float, int, int]] = []
+    for at in range(0, len(few), ROWS_AT_ONCE):
+        part = few[at : at + ROWS_AT_ONCE]
+        longer = np.maximum(sizes[part, None], sizes[None])
+        spare = shared([runs[i] for i in part], runs) - (longer - 1 - 2 * ((1 - SIMILAR) * longer + 1e-9).astype(int))
+        able = (spare >= 0) & (root[part, None] != root[None])
+        if side.any() and not side.all():
+            able &= side[part, None] != side[None]
+        for row, i in enumerate(part.tolist()):
+            able[row, few[: at + row + 1]] = False  # each two of the few once
+            near = np.flatnonzero(able[row])
+            equal = held[near] == held[i]
+            near = near[held[i][equal.argmax(axis=1)] == key] if len(near) else near
+            found += [(-x, i, j) for x, j in zip(spare[row, near].tolist(), near.tolist(), strict=True)]
+    return [(i, j) for _, i, j in sorted(found) if join(i, j)]
 
 
 def linked_blocks(apart: DataFrame, texts: DataFrame) -> DataFrame:
@@ -290,7 +311,7 @@ def linked_blocks(apart: DataFrame, texts: DataFrame) -> DataFrame:
                 ids.append(node)
                 words.append(hashes(text.as_py().split()))
                 roots.append(root)
-                sides.append(own)
+                sides.append(int(own != lo))
                 keys.append(shares.values.to_numpy())
             yield taken()
         close()
@@ -333,12 +354,12 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         hashes = Hashes()
         for batch in batches:
             good = []
-            last, words, runs = None, np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+            last, words, known = None, np.zeros(0, np.uint64), None
             for left, node, right in zip(batch.column("ta"), batch.column("b").to_pylist(), batch.column("tb"), strict=True):
                 if node != last:
                     last, words = node, hashes(right.as_py().split())
-                    runs = pairs_of(words)
-                good.append(alike(hashes(left.as_py().split()), words, None, runs))
+                    known = profile(words)
+                good.append(alike(hashes(left.as_py().split()), words, None, known))
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     with_a = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")

@@ -33,7 +33,6 @@ empty table gives none; extra columns are left out.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -394,6 +393,21 @@ def components(edges: DataFrame) -> DataFrame:
     return named
 
 
+def merged(classes: DataFrame, links: DataFrame) -> DataFrame:
+    """``classes`` (node, root) after more ``links`` (a, b): only roots are joined anew."""
+    if links.isEmpty():
+        return classes
+    edges = links
+    for side in ("a", "b"):
+        rooted = classes.select(F.col("node").alias(side), "root")
+        edges = edges.join(rooted, side, "left").withColumn(side, F.coalesce("root", side)).drop("root")
+    joined = components(edges)
+    moved = classes.join(joined.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left")
+    fresh = store(moved.select("node", F.coalesce("to", "root").alias("root")).unionByName(joined), "classes")
+    drop(classes, joined)
+    return fresh
+
+
 def met_by_key(rows: DataFrame, by_key: DataFrame) -> DataFrame:
     """``rows`` joined with a row per key. That table is stored first and the join is one of
     sorted sides, so that nothing but shuffles feeds it: then Spark splits a hot key."""
@@ -442,8 +456,9 @@ def classes_of(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     # Everybody against the first of each bucket.
     pairs = members.where("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b")).distinct()
-    links = [store(verified(pairs, texts), "links")]
-    classes = components(links[0])
+    links = store(verified(pairs, texts), "links")
+    classes = components(links)
+    drop(links)
     apart = placed_in(members, classes)
     drop(members)
     for turn in range(ROUNDS):
@@ -451,20 +466,18 @@ def classes_of(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
         if more.isEmpty():
             drop(more)
             break
-        links.append(store(verified(more, texts), "links"))
-        drop(more, classes)
-        classes = components(reduce(DataFrame.unionByName, links))
+        links = store(verified(more, texts), "links")
+        classes = merged(classes, links)
+        drop(more, links)
         narrowed = placed_in(apart, classes)
         drop(apart)
         apart = narrowed
 
     # Members of one bucket that are still apart, all with all.
-    links.append(store(linked_blocks(apart, texts), "links"))
+    links = store(linked_blocks(apart, texts), "links")
     drop(apart, texts)
-    if not links[-1].isEmpty():
-        drop(classes)
-        classes = components(reduce(DataFrame.unionByName, links))
-    drop(*links)
+    classes = merged(classes, links)
+    drop(links)
 
     own = copies.select("digest", "node", "rep")
     rooted = own.join(classes.unionByName(classes.select(F.col("root").alias("node"), "root").distinct()), "node")

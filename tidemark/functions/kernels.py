@@ -7,6 +7,7 @@ length of the series unless stated.
 from __future__ import annotations
 
 import math
+from bisect import bisect_right, insort
 
 import numpy as np
 
@@ -164,6 +165,39 @@ def dtw(a: np.ndarray, b: np.ndarray, band: int | None = None) -> tuple[float, l
     return float(total[n, m]), path[::-1]
 
 
+def inversions(y: np.ndarray) -> int:
+    """Pairs in which a larger value comes before a smaller one, by halves."""
+    if len(y) < 2:
+        return 0
+    a, b = y[: len(y) // 2], y[len(y) // 2 :]
+    return inversions(a) + inversions(b) + int((len(a) - np.searchsorted(np.sort(a), b, side="right")).sum())
+
+
+def kendall(x: np.ndarray, y: np.ndarray) -> float | None:
+    """Kendall's tau-b by counting inversions; None where a side has no two values."""
+
+    def tied(*columns: np.ndarray) -> int:
+        counts = np.unique(np.stack(columns), axis=1, return_counts=True)[1]
+        return int((counts * (counts - 1) // 2).sum())
+
+    n = len(x) * (len(x) - 1) // 2
+    in_x, in_y, in_both = tied(x), tied(y), tied(x, y)
+    if n == in_x or n == in_y:
+        return None
+    balance = n - in_x - in_y + in_both - 2 * inversions(y[np.lexsort((y, x))])
+    return balance / math.sqrt(n - in_x) / math.sqrt(n - in_y)
+
+
+def shares_so_far(x: np.ndarray) -> np.ndarray:
+    """Of each value, the share of values up to it that are no larger."""
+    held: list[float] = []
+    out = np.empty(len(x))
+    for i, v in enumerate(x.tolist()):
+        insort(held, v)
+        out[i] = bisect_right(held, v) / len(held)
+    return out
+
+
 def surrogate(x: np.ndarray, seed: int) -> np.ndarray:
     """A series with the same amplitude spectrum and mean, and random phases."""
     n = len(x)

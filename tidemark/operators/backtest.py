@@ -118,6 +118,17 @@ def verified(chain: DataFrame) -> DataFrame:
     return found.withColumn("error", F.when(~F.col("is_valid"), F.lit("LN003")))
 
 
+def recomputed(chain: DataFrame, steps: DataFrame, source: str) -> DataFrame:
+    """As ``verified``, with every output hash computed anew from the recorded step (name,
+    version, parameters) and its input, and the first input held against the source."""
+    before = F.coalesce(F.lag("output_hash").over(Window.partitionBy("signal_id").orderBy("step")), F.lit(source))
+    known = chain.join(steps.select("signal_id", "step", F.col("name").alias("_name"), "version", "parameters"), ["signal_id", "step"], "left")
+    again = F.sha2(F.concat_ws("|", "_name", "version", "parameters", "input_hash"), 256)
+    good = known.withColumn("_ok", F.coalesce((before == F.col("input_hash")) & (again == F.col("output_hash")), F.lit(False)))
+    found = good.groupBy("signal_id").agg(F.bool_and("_ok").alias("is_valid"), F.count("*").alias("steps"))
+    return found.withColumn("error", F.when(~F.col("is_valid"), F.lit("LN003")))
+
+
 def audited(before: DataFrame, after: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """One row per changed value: key, column, old and new, as text."""
 

@@ -46,13 +46,26 @@ def rank_correlations(rows: DataFrame, x: str, y: str) -> DataFrame:
 
 
 def kendall(rows: DataFrame, x: str, y: str) -> DataFrame:
-    """Kendall's tau-b per series; pairs of one series only, for short series."""
-    a = rows.select("series_id", F.col("t").alias("t1"), F.col(x).alias("x1"), F.col(y).alias("y1"))
-    b = rows.select("series_id", F.col("t").alias("t2"), F.col(x).alias("x2"), F.col(y).alias("y2"))
-    pairs = a.join(b, "series_id").where("t1 < t2")
-    dx, dy = F.signum(F.col("x2") - F.col("x1")), F.signum(F.col("y2") - F.col("y1"))
-    tau = divided(F.sum(dx * dy), F.sqrt(F.sum(F.abs(dx)) * F.sum(F.abs(dy))))
-    return pairs.groupBy("series_id").agg(tau.alias("tau"))
+    """Kendall's tau-b per series, over rows that have both values; null where one of them
+    never changes. A kernel sorts and counts each series, so no pairs are made."""
+    kind = rows.schema["series_id"].dataType.simpleString()
+
+    def tau(part: pd.DataFrame) -> pd.DataFrame:
+        found = kernels.kendall(part["x"].to_numpy(float), part["y"].to_numpy(float))
+        return pd.DataFrame({"series_id": part["series_id"].iloc[:1], "tau": pd.Series([found], dtype="float64", index=part.index[:1])})
+
+    both = rows.select("series_id", F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).dropna(subset=["x", "y"])
+    return both.groupBy("series_id").applyInPandas(tau, f"series_id {kind}, tau double")
+
+
+def tail_aligned(forecast: DataFrame, actual: DataFrame, predicted: str = "predicted", value: str = "close") -> DataFrame:
+    """Forecast and actual of unlike length, row by row from their ends (``back`` is 0 for
+    the last): as many rows per series as the shorter of the two has."""
+
+    def numbered(df: DataFrame, column: str) -> DataFrame:
+        return df.select("series_id", (F.row_number().over(Window.partitionBy("series_id").orderBy(F.desc("t"))) - 1).cast("long").alias("back"), column)
+
+    return numbered(forecast, predicted).join(numbered(actual, value), ["series_id", "back"])
 
 
 def p_values(rows: DataFrame, r: str = "pearson", n: str = "n") -> DataFrame:

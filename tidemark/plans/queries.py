@@ -413,9 +413,18 @@ register("lin01_source_hash", lambda s, d: backtest.source_hash(table(s, d, "ord
     SELECT o_orderstatus, sha256(o_orderkey || '|' || coalesce(o_orderpriority, '\\N')) AS h FROM orders) GROUP BY 1, 2) GROUP BY 1""", "o_orderstatus:s hash:s row_count:i")
 
 
+def _steps(s: SparkSession) -> DataFrame:
+    return s.createDataFrame([(i, n, x, "1", "{}") for i in (1, 2) for n, x in enumerate(("detrend", "normalize", "validate"), 1)], "signal_id long, step long, name string, version string, parameters string")
+
+
 def _chain(s: SparkSession) -> DataFrame:
-    steps = s.createDataFrame([(i, n, x, "1", "{}") for i in (1, 2) for n, x in enumerate(("detrend", "normalize", "validate"), 1)], "signal_id long, step long, name string, version string, parameters string")
-    return backtest.chained(steps, "source")
+    return backtest.chained(_steps(s), "source")
+
+
+def _forged(s: SparkSession) -> DataFrame:
+    """A chain whose second signal has its first output altered, and the next input with it."""
+    forged = F.when((F.col("signal_id") == 2) & (F.col("step") == 1), "x").otherwise(F.col("output_hash"))
+    return _chain(s).withColumns({"output_hash": forged, "input_hash": F.when((F.col("signal_id") == 2) & (F.col("step") == 2), "x").otherwise(F.col("input_hash"))})
 
 
 register("lin01_chain", lambda s, d: _chain(s), "",
@@ -424,6 +433,20 @@ register("lin01_chain", lambda s, d: _chain(s), "",
     SELECT * FROM c WHERE step > 0""", "signal_id:i step:i name:s input_hash:s output_hash:s")
 register("lin02_verified", lambda s, d: backtest.verified(_chain(s).withColumn("input_hash", F.when((F.col("signal_id") == 2) & (F.col("step") == 3), "x").otherwise(F.col("input_hash")))), "",
     "SELECT * FROM (VALUES (1, true, 3, NULL), (2, false, 3, 'LN003')) v(signal_id, is_valid, steps, error)", "signal_id:i is_valid:b steps:i error:s")
+register("lin02_recomputed", lambda s, d: backtest.recomputed(_forged(s), _steps(s), "source"), "",
+    """WITH RECURSIVE c AS (SELECT unnest([1, 2]) AS signal_id, 0 AS step, '' AS name, '' AS input_hash, 'source' AS output_hash
+    UNION ALL SELECT signal_id, step + 1, ['detrend', 'normalize', 'validate'][step + 1], output_hash, sha256(['detrend', 'normalize', 'validate'][step + 1] || '|1|{}|' || output_hash) FROM c WHERE step < 3),
+    f AS (SELECT signal_id, step, name, CASE WHEN signal_id = 2 AND step = 2 THEN 'x' ELSE input_hash END AS input_hash, CASE WHEN signal_id = 2 AND step = 1 THEN 'x' ELSE output_hash END AS output_hash FROM c WHERE step > 0),
+    k AS (SELECT *, input_hash = coalesce(lag(output_hash) OVER (PARTITION BY signal_id ORDER BY step), 'source') AND output_hash = sha256(name || '|1|{}|' || input_hash) AS ok FROM f)
+    SELECT signal_id, bool_and(ok) AS is_valid, count(*) AS steps, CASE WHEN NOT bool_and(ok) THEN 'LN003' END AS error FROM k GROUP BY 1""", "signal_id:i is_valid:b steps:i error:s")
+register("jn08_tail_aligned", on_weekly(lambda b: fte.tail_aligned(_predicted(b).where("predicted IS NOT NULL"), b)), "weekly",
+    """SELECT f.series_id, f.back, f.predicted, a.close FROM (SELECT series_id, predicted, row_number() OVER (PARTITION BY series_id ORDER BY t DESC) - 1 AS back FROM (
+      SELECT *, avg(close) OVER (PARTITION BY series_id ORDER BY t ROWS BETWEEN 21 PRECEDING AND 1 PRECEDING) AS predicted FROM weekly) WHERE predicted IS NOT NULL) f
+    JOIN (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY t DESC) - 1 AS back FROM weekly) a ON f.series_id = a.series_id AND f.back = a.back""", "series_id:s back:i predicted:d close:d")
+register("agg13_mad", on_daily(lambda b: b.withColumn("m", F.median("close").over(Window.partitionBy("series_id"))).groupBy("series_id").agg(F.median(F.abs(F.col("close") - F.col("m"))).alias("mad"))), "daily", "SELECT series_id, mad(close) AS mad FROM bars GROUP BY 1", "series_id:s mad:d")
+register("agg26_cube", lambda s, d: table(s, d, "orders").cube("o_orderstatus", "o_orderpriority").agg(F.count("*").alias("n"), F.grouping_id().alias("level")), "",
+    "SELECT o_orderstatus, o_orderpriority, count(*) AS n, grouping_id(o_orderstatus, o_orderpriority) AS level FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)", "o_orderstatus:s o_orderpriority:s n:i level:i")
+register("sc02_iso_times", lambda s, d: table(s, d, "events").select("event_id", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("iso")), "", "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS iso FROM events", "event_id:i iso:s")
 register("lin03_audit", lambda s, d: backtest.audited(table(s, d, "nation"), table(s, d, "nation").withColumn("n_name", F.when(F.col("n_nationkey") < 5, F.lower("n_name")).otherwise(F.col("n_name"))), "n_nationkey", ["n_name", "n_regionkey"]), "",
     "SELECT n_nationkey, 'n_name' AS \"column\", n_name AS old, lower(n_name) AS new FROM nation WHERE n_nationkey < 5 AND lower(n_name) <> n_name", "n_nationkey:i column:s old:s new:s")
 

@@ -5,8 +5,9 @@ import statistics
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.errors import AnalysisError
 from tidemark.functions.columns import clip, correlation, percentile_rank
-from tidemark.operators import backtest, bars, cycles, detrend, fte, normalize, positioning, seasonality, windows
+from tidemark.operators import analogies, backtest, bars, cycles, detrend, fte, normalize, positioning, seasonality, windows
 from tidemark.plans import queries
 from tidemark.sources import readers
 from tidemark.streaming import views
@@ -156,3 +157,47 @@ def test_freshness_keeps_state(spark, tmp_path):
     got = {r["series_id"]: (str(r["last_time"])[:19], r["n"]) for r in spark.table("fresh").collect()}
     want = {r["event_type"]: (str(r["t"])[:19], r["n"]) for r in events.groupBy("event_type").agg(F.max("ts").alias("t"), F.count("*").alias("n")).collect()}
     assert got == want
+
+
+def test_row_changes_need_rows(spark):
+    rows = spark.createDataFrame([(1, "a"), (2, "b")], "k long, v string")
+    other = spark.createDataFrame([(3, "c")], "k long, v string")
+    assert bars.inserted(rows, other, ["k"]).count() == 3
+    with pytest.raises(AnalysisError, match="MD001"):
+        bars.inserted(rows, rows, ["k"])
+    with pytest.raises(AnalysisError, match="MD002"):
+        bars.updated(rows, other, ["k"])
+    with pytest.raises(AnalysisError, match="MD002"):
+        bars.removed(rows, other, ["k"])
+    with pytest.raises(ValueError, match="unknown area"):
+        AnalysisError("ZZ1", "x")
+
+
+def test_lineage_exports_in_order(spark):
+    steps = spark.createDataFrame([(1, 2, "b", "1", "{}"), (1, 1, "a", "1", "{}")], "signal_id long, step long, name string, version string, parameters string")
+    row = backtest.exported(backtest.chained(steps, "source")).first()
+    found = json.loads(row["json"])
+    assert [x["name"] for x in found["steps"]] == ["a", "b"]
+    assert found["steps"][0]["output_hash"] == found["steps"][1]["input_hash"]
+
+
+def test_projection_and_quality_of_matches(spark):
+    rows = [("s", i, 0.9 - 0.1 * i, 0.8 - 0.1 * i, 10.0 * i, [float(i), 2.0 * i], i + 1) for i in range(12)]
+    kind = "series_id string, start long, r double, confidence double, distance double, projection array<double>, rank int"
+    found = spark.createDataFrame(rows, kind)
+    steps = {x["step"]: x for x in analogies.projected(found).collect()}
+    assert {k: x["value"] for k, x in steps.items()} == {0: 4.5, 1: 9.0}
+    assert steps[0]["matches"] == 10 and steps[0]["spread"] == pytest.approx(statistics.pstdev(range(10)))
+    good = analogies.quality(found, 0.3).first()
+    assert (good["r"], good["distance"], good["issues"]) == (0.9, 0.0, "") and good["avg_r"] == pytest.approx(0.45)
+    assert analogies.quality(found, 0.95).first()["issues"] == "low correlation; low average"
+    poor = spark.createDataFrame([("s", 0, 0.1, 0.05, 200.0, [1.0], 1)], kind)
+    assert analogies.quality(poor).first()["issues"] == "low correlation; low confidence; large distance; low average"
+
+
+def test_combination_skips_missing_votes(spark):
+    a = spark.createDataFrame([("x", 1, 0.5), ("y", -1, None)], "series_id string, direction int, strength double")
+    b = spark.createDataFrame([("x", -1, 1.0)], "series_id string, direction int, strength double")
+    found = {r["series_id"]: r for r in positioning.combined({"a": a, "b": b}, {"a": 4.0}).collect()}
+    assert found["x"]["score"] == pytest.approx(0.2) and found["x"]["direction"] == 1
+    assert found["y"]["votes"] == 0 and found["y"]["score"] is None

@@ -84,3 +84,16 @@ def euclidean(history: DataFrame, target: DataFrame, length: int) -> DataFrame:
     joined = cut.join(target.select(F.col("t").alias("k"), F.col("x").alias("y")), "k")
     d = F.sqrt(F.sum((F.col("x") - F.col("y")) * (F.col("x") - F.col("y"))))
     return joined.groupBy("series_id", "start").agg(d.alias("distance"), divided(F.sum(F.abs(F.col("x") - F.col("y"))), F.count("*").cast("double")).alias("mean_gap"))
+
+
+def training(history: DataFrame, digit: int | None = None, since: int | None = None, until: int | None = None) -> DataFrame:
+    """``history`` (time) of years that end in ``digit``, from ``since`` to ``until``."""
+    year, kept = F.year("time"), history
+    for condition in (digit is not None and F.pmod(year, F.lit(10)) == digit, since is not None and year >= since, until is not None and year <= until):
+        kept = kept if condition is False else kept.where(condition)
+    return kept
+
+
+def comparable(windows_: DataFrame, length: int, least: float = 0.5, most: float = 2.0) -> DataFrame:
+    """Windows (n rows each) whose length is within these multiples of the target's."""
+    return windows_.where(F.col("n").between(least * length, most * length))

@@ -138,3 +138,9 @@ def audited(before: DataFrame, after: DataFrame, key: str, columns: list[str]) -
 
     both = long(before, "old").join(long(after, "new"), [key, "column"], "full")
     return both.where(~F.col("old").eqNullSafe(F.col("new")))
+
+
+def exported(chain: DataFrame) -> DataFrame:
+    """Per signal its lineage as one JSON text, steps in order."""
+    steps = F.sort_array(F.collect_list(F.struct("step", "name", "input_hash", "output_hash")))
+    return chain.groupBy("signal_id").agg(steps.alias("steps")).select("signal_id", F.to_json(F.struct("signal_id", "steps")).alias("json"))

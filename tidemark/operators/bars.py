@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..errors import AnalysisError
+
 from ..functions.columns import by_time, year_digit
 
 
@@ -116,3 +118,33 @@ def daily_aggregate(bars: DataFrame) -> DataFrame:
     """Mean and spread of closes and total volume by series and day."""
     day = F.to_date("time").alias("day")
     return bars.groupBy("series_id", day).agg(F.avg("close").alias("avg_close"), F.stddev_samp("close").alias("std_close"), F.sum("volume").alias("volume"))
+
+
+def inserted(table: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
+    """``table`` and ``rows``, whose keys must be new. Keys are never null."""
+    if rows.join(table.select(*keys), keys, "left_semi").isEmpty():
+        return table.unionByName(rows)
+    raise AnalysisError("MD001", "a row with this key exists")
+
+
+def updated(table: DataFrame, changes: DataFrame, keys: list[str]) -> DataFrame:
+    """``table`` with rows of ``changes`` in place of those of equal keys; changes without
+    one are left out, and it is an error if that leaves none."""
+    known = changes.join(table.select(*keys).distinct(), keys, "left_semi")
+    if known.isEmpty():
+        raise AnalysisError("MD002", "no row has this key")
+    return upserted(table, known, keys)
+
+
+def removed(table: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
+    """``table`` without rows of the keys in ``gone``; it is an error if there are none."""
+    if table.join(gone.select(*keys), keys, "left_semi").isEmpty():
+        raise AnalysisError("MD002", "no row has this key")
+    return table.join(gone.select(*keys), keys, "left_anti")
+
+
+def renormalized(bars: DataFrame, values: DataFrame, column: str = "normalized") -> DataFrame:
+    """``bars`` with ``column`` set from ``values`` (series_id, time, ``column``; a row per
+    bar at most) where those have one, kept elsewhere."""
+    given = values.select("series_id", "time", F.col(column).alias("_given"))
+    return bars.join(given, ["series_id", "time"], "left").withColumn(column, F.coalesce("_given", column)).drop("_given")

@@ -137,3 +137,31 @@ def proxied(instruments: DataFrame) -> DataFrame:
 def decayed_best(signals: DataFrame, top: int = 5) -> DataFrame:
     order = Window.partitionBy("series_id").orderBy(F.desc("strength"), "time")
     return signals.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+
+
+def recent(instruments: DataFrame, signals: DataFrame, now: Column, days: int = 30) -> DataFrame:
+    """Signals (series_id, time, direction, strength) of the last ``days`` days, with the
+    symbol of their instrument (series_id, symbol); the filter precedes the join."""
+    fresh = signals.where(F.col("time") >= F.date_sub(now, days)).select("series_id", "direction", "strength")
+    return instruments.select("series_id", "symbol").join(fresh, "series_id").select("symbol", "direction", "strength")
+
+
+def with_status(signals: DataFrame, statuses: list[str], limit: int) -> DataFrame:
+    """The newest ``limit`` signals (id, time, status) of these statuses, ties by id."""
+    return signals.where(F.col("status").isin(statuses)).orderBy(F.desc("time"), "id").limit(limit)
+
+
+def navigated(signals: DataFrame, lineage: DataFrame, tests: DataFrame) -> DataFrame:
+    """Every signal (signal_id) with its lineage and its backtest, null where it has none."""
+    return signals.join(lineage, "signal_id", "left").join(tests, "signal_id", "left")
+
+
+def combined(directions: dict[str, DataFrame], weights: dict[str, float]) -> DataFrame:
+    """Weighted mean direction of named frames (series_id, direction, strength) over those
+    that a series is in, and its sign; a frame without a weight counts 1."""
+    votes = None
+    for name, frame in directions.items():
+        vote = frame.select("series_id", F.lit(float(weights.get(name, 1.0))).alias("w"), (F.col("direction") * F.col("strength")).cast("double").alias("x"))
+        votes = vote if votes is None else votes.unionByName(vote)
+    score = divided(F.sum(F.col("w") * F.col("x")), F.sum(F.when(F.col("x").isNotNull(), F.col("w"))))
+    return votes.groupBy("series_id").agg(F.count("x").alias("votes"), score.alias("score")).withColumn("direction", F.signum("score").cast("long"))

@@ -86,3 +86,15 @@ def summary(results: DataFrame) -> DataFrame:
     names = results.sparkSession.createDataFrame([(x,) for x in REGIMES], "regime string")
     counts = results.groupBy("regime").agg(F.count("*").alias("n"), F.avg("threshold").alias("mean_threshold"))
     return names.join(counts, "regime", "left").select("regime", F.coalesce("n", F.lit(0).cast("long")).alias("n"), "mean_threshold")
+
+
+def merged(results: DataFrame, found: DataFrame, score: str = "pearson") -> DataFrame:
+    """``results`` of a forecast's validation (series_id, ``score``; null counts 0) with the
+    fields of ``regimes``: verdict and strength against the regime's threshold."""
+    ratio = F.coalesce(divided(F.col("current_vol"), F.col("baseline_vol")), F.lit(1.0))
+    fields = found.select(
+        "series_id", "regime", F.col("confidence").alias("regime_confidence"), (F.col("threshold") / factor(F.col("regime"))).alias("adaptive_threshold"),
+        F.col("threshold").alias("regime_adjusted_threshold"), ratio.alias("volatility_ratio"),
+    )
+    joined = results.join(fields, "series_id", "left").withColumn("_score", F.coalesce(score, F.lit(0.0)))
+    return validity(joined, "regime_adjusted_threshold", "_score").drop("_score").withColumnsRenamed({"is_valid": "regime_validated", "strength": "signal_strength"})

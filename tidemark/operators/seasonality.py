@@ -119,3 +119,29 @@ def pattern_correlation(bars: DataFrame, year: int) -> DataFrame:
     past = day_pattern(bars.where(F.year("time") != year)).where(F.col("digit") == year % 10)
     current = bars.where(F.year("time") == year).select("series_id", F.dayofyear("time").cast("long").alias("day"), "close")
     return current.join(past, ["series_id", "day"]).groupBy("series_id").agg(correlation(F.col("close"), F.col("value")).alias("r"), F.count("*").alias("days"))
+
+
+def extremes(profile: DataFrame, value: str = "avg_return") -> DataFrame:
+    """Per series of a daily profile: the day of its peak and of its trough (the earlier of
+    equal ones), and the distance between the two."""
+    high, low = F.max(F.struct(value, (-F.col("day")).alias("d"))), F.min(F.struct(value, "day"))
+    found = profile.where(F.col(value).isNotNull()).groupBy("series_id").agg(high.alias("h"), low.alias("l"))
+    return found.select("series_id", (-F.col("h.d")).alias("peak_day"), F.col("l.day").alias("trough_day"), (F.col(f"h.{value}") - F.col(f"l.{value}")).alias("amplitude"))
+
+
+def current_signal(cycle: DataFrame, dates: DataFrame, ahead: int = 7) -> DataFrame:
+    """Per row of ``dates`` (series_id, time): BUY, SELL or NEUTRAL as the annual cycle's
+    mean of the next ``ahead`` days is above, below or at (or lacks) its value of that day;
+    the gap weighed by confidence as strength; expiry. After day 365 follows day 1, and day
+    366 counts as day 1."""
+    days = dates.select("series_id", "time", F.explode(F.sequence(F.lit(0), F.lit(ahead))).alias("step"))
+    placed = days.withColumn("day", (F.pmod(F.dayofyear("time") - 1 + F.col("step"), F.lit(365)) + 1).cast("long"))
+    joined = placed.join(cycle.select("series_id", "day", "value", "confidence"), ["series_id", "day"], "left")
+    now, later = F.max(F.when(F.col("step") == 0, F.col("value"))), F.avg(F.when(F.col("step") > 0, F.col("value")))
+    found = joined.groupBy("series_id", "time").agg((later - now).alias("gap"), F.avg("confidence").alias("confidence"))
+    strength = clip(F.coalesce(F.abs("gap") * F.col("confidence"), F.lit(0.0)), 0.0, 1.0)
+    kind = F.when(F.col("gap") > 0, "BUY").when(F.col("gap") < 0, "SELL").otherwise("NEUTRAL")
+    return found.select(
+        F.concat_ws("_", F.lit("sig"), "series_id", F.date_format("time", "yyyyMMdd")).alias("id"), "series_id", "time", kind.alias("signal_type"),
+        strength.alias("strength"), strength.alias("initial_strength"), F.date_add("time", ahead).alias("expiry_date"), F.lit("annual_cycle").alias("source"),
+    )

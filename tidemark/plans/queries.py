@@ -216,10 +216,11 @@ register("cyc07_analysis", on_weekly(lambda b: cycles.analysis(detrend.preproces
 register("bst07_cycle_significance", on_weekly(lambda b: cycles.significance(detrend.preprocessed(b), 13, 50)))
 
 # -- Seasonality --------------------------------------------------------------------------
-register("sea01_annual_cycle", on_daily(lambda b: seasonality.annual_cycle(b).select("series_id", "day", "value", "years", "confidence")), "daily",
-    """SELECT series_id, day, avg(x) AS value, count(DISTINCT year) AS years, least(1, greatest(0, 1 - stddev_pop(x) / nullif(avg(x), 0))) AS confidence FROM (SELECT *, (d - min(d) OVER v) / nullif(max(d) OVER v - min(d) OVER v, 0) AS x FROM (
+ANNUAL = """SELECT series_id, day, avg(x) AS value, count(DISTINCT year) AS years, least(1, greatest(0, 1 - stddev_pop(x) / nullif(avg(x), 0))) AS confidence FROM (SELECT *, (d - min(d) OVER v) / nullif(max(d) OVER v - min(d) OVER v, 0) AS x FROM (
     SELECT series_id, year(time) AS year, dayofyear(time) AS day, close - coalesce(regr_intercept(close, dayofyear(time)) OVER y + regr_slope(close, dayofyear(time)) OVER y * dayofyear(time), avg(close) OVER y) AS d FROM bars WINDOW y AS (PARTITION BY series_id, year(time)))
-    WINDOW v AS (PARTITION BY series_id, year)) GROUP BY 1, 2 HAVING count(DISTINCT year) >= 3""", "series_id:s day:i value:d years:i confidence:d")
+    WINDOW v AS (PARTITION BY series_id, year)) GROUP BY 1, 2 HAVING count(DISTINCT year) >= 3"""
+register("sea01_annual_cycle", on_daily(lambda b: seasonality.annual_cycle(b).select("series_id", "day", "value", "years", "confidence")), "daily",
+    ANNUAL, "series_id:s day:i value:d years:i confidence:d")
 register("sea02_daily_profile", on_daily(lambda b: seasonality.daily_profile(b).select("series_id", "day", "avg_return", "std_dev", "win_rate", "sample_size")), "daily rets",
     "SELECT series_id, dayofyear(time) AS day, avg(ret) AS avg_return, stddev_pop(ret) AS std_dev, avg(CASE WHEN ret > 0 THEN 1.0 ELSE 0.0 END) AS win_rate, count(*) AS sample_size FROM rets WHERE ret IS NOT NULL GROUP BY 1, 2", "series_id:s day:i avg_return:d std_dev:d win_rate:d sample_size:i")
 register("sea03_monthly", on_daily(seasonality.monthly), "daily",
@@ -522,3 +523,106 @@ register("dec03_forecast", on_daily(lambda b: seasonality.forecast(seasonality.d
 register("cyc12_slots", on_daily(lambda b: cycles.slots(cycles.dominant(cycles.correlations(detrend.preprocessed(b).select("series_id", "t", "x"), 10, 40))).select("series_id", "slot", "period")), "daily flat",
     f"SELECT series_id, ['short', 'medium', 'long'][row_number() OVER (PARTITION BY series_id ORDER BY period)] AS slot, period FROM (SELECT series_id, period, row_number() OVER (PARTITION BY series_id ORDER BY energy DESC, period) AS rank FROM ({CORR_ROWS})) WHERE rank <= 3", "series_id:s slot:s period:i")
 register("wfl01_workflow", on_daily(lambda b: workflow.analyze(b, 2001)))
+
+# -- Changes, signals, merged results -----------------------------------------------------
+
+
+def _changed(s: SparkSession, d: str) -> DataFrame:
+    nation = table(s, d, "nation").select("n_nationkey", "n_name", "n_regionkey")
+    more = bars.inserted(nation, nation.where("n_nationkey < 3").withColumns({"n_nationkey": F.col("n_nationkey") + 100, "n_name": F.lower("n_name")}), ["n_nationkey"])
+    renamed = bars.updated(more, more.where("n_regionkey = 1").withColumn("n_name", F.concat("n_name", F.lit("*"))), ["n_nationkey"])
+    return bars.removed(renamed, renamed.where("n_regionkey = 2"), ["n_nationkey"])
+
+
+register("src13_changes", _changed, "",
+    """SELECT n_nationkey, CASE WHEN n_regionkey = 1 THEN n_name || '*' ELSE n_name END AS n_name, n_regionkey FROM (
+    SELECT n_nationkey, n_name, n_regionkey FROM nation UNION ALL SELECT n_nationkey + 100, lower(n_name), n_regionkey FROM nation WHERE n_nationkey < 3) WHERE n_regionkey <> 2""", "n_nationkey:i n_name:s n_regionkey:i")
+register("src17_renormalized", on_daily(lambda b: bars.renormalized(b.withColumn("normalized", F.col("low")), b.where("dayofweek(time) = 2").withColumn("normalized", F.col("high"))).select("series_id", "t", "normalized")), "daily",
+    "SELECT series_id, t, CASE WHEN dayofweek(time) = 1 THEN high ELSE low END AS normalized FROM bars", "series_id:s t:i normalized:d")
+register("src21_exported", lambda s, d: backtest.exported(_chain(s)))
+register("jn02_recent", lambda s, d: positioning.recent(
+        table(s, d, "customer").select(F.col("c_custkey").alias("series_id"), F.col("c_name").alias("symbol")),
+        table(s, d, "orders").select(F.col("o_custkey").alias("series_id"), F.col("o_orderdate").alias("time"), F.col("o_orderstatus").alias("direction"), F.col("o_totalprice").alias("strength")),
+        F.lit("1998-07-15").cast("date")), "",
+    "WITH recent AS (SELECT o_custkey, o_orderstatus, o_totalprice FROM orders WHERE CAST(o_orderdate AS DATE) >= DATE '1998-07-15' - 30) SELECT c_name AS symbol, o_orderstatus AS direction, o_totalprice AS strength FROM customer JOIN recent ON c_custkey = o_custkey", "symbol:s direction:s strength:d")
+register("flt09_with_status", lambda s, d: positioning.with_status(table(s, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("time"), F.col("o_orderstatus").alias("status")), ["O", "P"], 50).select("id", "status"), "",
+    "SELECT o_orderkey AS id, o_orderstatus AS status FROM orders WHERE o_orderstatus IN ('O', 'P') ORDER BY o_orderdate DESC, o_orderkey LIMIT 50", "id:i status:s")
+register("jn09_navigated", lambda s, d: positioning.navigated(
+        table(s, d, "orders").select(F.col("o_orderkey").alias("signal_id"), "o_custkey"),
+        table(s, d, "lineitem").where("l_returnflag = 'R'").groupBy(F.col("l_orderkey").alias("signal_id")).agg(F.count("*").alias("steps")),
+        table(s, d, "lineitem").where("l_returnflag = 'A'").groupBy(F.col("l_orderkey").alias("signal_id")).agg(F.max("l_quantity").alias("score"))), "",
+    """SELECT o_orderkey AS signal_id, o_custkey, steps, score FROM orders LEFT JOIN (SELECT l_orderkey AS k, count(*) AS steps FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1) a ON o_orderkey = a.k
+    LEFT JOIN (SELECT l_orderkey AS k, max(l_quantity) AS score FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1) b ON o_orderkey = b.k""", "signal_id:i o_custkey:i steps:i score:d")
+
+
+def _strong(b: DataFrame) -> dict[str, DataFrame]:
+    return {n: f.withColumn("strength", F.lit(x)) for n, f, x in zip("abc", _directions(b), (0.5, 1.0, 0.25), strict=True)}
+
+
+register("sig01_combined", on_weekly(lambda b: positioning.combined(_strong(b), {"a": 2.0, "c": 3.0})), "weekly",
+    """SELECT series_id, 3 AS votes, (a * 1.0 + b * 1.0 + c * 0.75) / 6 AS score, sign(a * 1.0 + b * 1.0 + c * 0.75) AS direction FROM (SELECT series_id, sign(regr_slope(close, t)) AS a, sign(arg_max(close, t) - arg_min(close, t)) AS b, sign(arg_max(close, t) - avg(close)) AS c FROM weekly GROUP BY 1)""", "series_id:s votes:i score:d direction:i")
+DAYS = "SELECT series_id, dayofyear(time) AS day, avg(ret) AS avg_return FROM rets WHERE ret IS NOT NULL GROUP BY 1, 2"
+register("sea02_extremes", on_daily(lambda b: seasonality.extremes(seasonality.daily_profile(b))), "daily rets",
+    f"SELECT series_id, (list(day ORDER BY avg_return DESC, day))[1] AS peak_day, (list(day ORDER BY avg_return, day))[1] AS trough_day, max(avg_return) - min(avg_return) AS amplitude FROM ({DAYS}) GROUP BY 1", "series_id:s peak_day:i trough_day:i amplitude:d")
+register("sea02_percentile", on_daily(lambda b: seasonality.daily_profile(b).select("series_id", "day", "percentile")), "daily rets",
+    f"SELECT series_id, day, percent_rank() OVER (PARTITION BY series_id ORDER BY avg_return) AS percentile FROM ({DAYS})", "series_id:s day:i percentile:d")
+register("sea05_current_signal", on_daily(lambda b: seasonality.current_signal(seasonality.annual_cycle(b), b.select("series_id", F.col("time").cast("date").alias("time")))), "daily",
+    f"""WITH c AS ({ANNUAL}), x AS (SELECT series_id, CAST(time AS DATE) AS time, unnest(range(8)) AS step FROM bars),
+    j AS (SELECT x.*, value, confidence FROM x LEFT JOIN c ON c.series_id = x.series_id AND c.day = (dayofyear(time) - 1 + step) % 365 + 1),
+    g AS (SELECT series_id, time, avg(CASE WHEN step > 0 THEN value END) - max(CASE WHEN step = 0 THEN value END) AS gap, avg(confidence) AS confidence FROM j GROUP BY 1, 2)
+    SELECT 'sig_' || series_id || '_' || strftime(time, '%Y%m%d') AS id, series_id, time, CASE WHEN gap > 0 THEN 'BUY' WHEN gap < 0 THEN 'SELL' ELSE 'NEUTRAL' END AS signal_type,
+      least(1, coalesce(abs(gap) * confidence, 0)) AS strength, least(1, coalesce(abs(gap) * confidence, 0)) AS initial_strength, time + 7 AS expiry_date, 'annual_cycle' AS source FROM g""",
+    "id:s series_id:s time:t signal_type:s strength:d initial_strength:d expiry_date:t source:s")
+register("reg06_merged", on_daily(lambda b: regime.merged(fte.rank_correlations(_predicted(b), "close", "predicted").select("series_id", "pearson"), regime.regimes(b))), "daily rets vols",
+    f"""WITH {PREDICTED}, p AS (SELECT series_id, corr(close, predicted) AS pearson FROM pred GROUP BY 1), g AS ({REGIME})
+    SELECT p.series_id, pearson, regime, confidence AS regime_confidence, greatest(0.04, 0.08 * (1 + 0.5 * (current_vol / baseline_vol - 1))) AS adaptive_threshold, threshold AS regime_adjusted_threshold,
+      current_vol / baseline_vol AS volatility_ratio, pearson >= threshold AS regime_validated, least(1, pearson / threshold) AS signal_strength FROM p JOIN g USING (series_id)""",
+    "series_id:s pearson:d regime:s regime_confidence:d adaptive_threshold:d regime_adjusted_threshold:d volatility_ratio:d regime_validated:b signal_strength:d")
+
+
+def _dated(b: DataFrame) -> DataFrame:
+    return b.where("series_id <> 'BUILDING'").select("series_id", "t", "time", F.col("close").alias("x"))
+
+
+register("phe07_training", on_weekly(lambda b: analogies.training(_dated(b), 5, 1993, 1997).select("series_id", "t", "x")), "weekly",
+    "SELECT series_id, t, close AS x FROM weekly WHERE series_id <> 'BUILDING' AND year(time) BETWEEN 1993 AND 1997 AND year(time) % 10 = 5", "series_id:s t:i x:d")
+register("flt07_comparable", on_daily(lambda b: analogies.comparable(b.groupBy("series_id", F.year("time").alias("year")).agg(F.count("*").alias("n")), 400)), "daily",
+    "SELECT series_id, year(time) AS year, count(*) AS n FROM bars GROUP BY 1, 2 HAVING count(*) BETWEEN 200 AND 800", "series_id:s year:i n:i")
+register("phe05_projected", on_weekly(lambda b: analogies.projected(analogies.matched(_history(b), _target(b, 26), 26, least=0.1))))
+register("phe06_quality", on_weekly(lambda b: analogies.quality(analogies.matched(_history(b), _target(b, 26), 26, least=0.1))))
+
+
+def _decades(b: DataFrame) -> DataFrame:
+    """Each month as a year of its own, so that every last digit has several."""
+    year = 1900 + (F.year("time") - 1992) * 12 + F.month("time")
+    return b.withColumn("time", F.make_date(year, F.lit(1), F.dayofmonth("time")))
+
+
+def _in_decades(sql: str) -> str:
+    return f"WITH decades AS (SELECT * REPLACE (make_date(1900 + (year(time) - 1992) * 12 + month(time), 1, day(time)) AS time) FROM bars) {sql.replace('bars', 'decades')}"
+
+
+register("dec03_decades", on_daily(lambda b: seasonality.forecast(seasonality.digits(seasonality.annual_returns(_decades(b))), 1)), "daily",
+    _in_decades(f"""SELECT series_id, avg(avg_return) AS forecast, count(*) AS patterns FROM (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY gap, digit) AS place FROM (
+    SELECT o.*, abs(o.avg_return - c.avg_return) AS gap FROM ({DIGITS}) o JOIN ({DIGITS}) c ON o.series_id = c.series_id AND c.digit = 1 AND o.confidence > 0.3)) WHERE place <= 3 GROUP BY 1"""), "series_id:s forecast:d patterns:i")
+register("dec05_decades", on_daily(lambda b: seasonality.pattern_correlation(_decades(b), 1941)), "daily",
+    _in_decades(f"SELECT c.series_id, corr(c.close, p.value) AS r, count(*) AS days FROM (SELECT series_id, dayofyear(time) AS day, close FROM bars WHERE year(time) = 1941) c JOIN ({PATTERN.format('year(time) <> 1941')}) p ON c.series_id = p.series_id AND c.day = p.day AND p.digit = 1 GROUP BY 1"), "series_id:s r:d days:i")
+
+
+def _faulty(b: DataFrame) -> DataFrame:
+    """Scaled closes, of which some are lost, some out of range and some turned round."""
+    x = F.col("scaled")
+    spoilt = F.when((F.col("series_id") == "A") & (F.col("t") % 7 == 0), F.lit(None)).when((F.col("series_id") == "N") & (F.col("t") % 5 == 0), x + 1).when(F.col("series_id") == "R", 1 - x).otherwise(x)
+    return normalize.scaled(b, "close").withColumn("scaled", spoilt)
+
+
+FAULTY = """f0 AS (SELECT *, (close - min(close) OVER s) / (max(close) OVER s - min(close) OVER s) AS x FROM bars WINDOW s AS (PARTITION BY series_id)),
+f1 AS (SELECT series_id, t, close, CASE WHEN series_id = 'A' AND t % 7 = 0 THEN NULL WHEN series_id = 'N' AND t % 5 = 0 THEN x + 1 WHEN series_id = 'R' THEN 1 - x ELSE x END AS scaled FROM f0)"""
+register("nrm11_faulty", on_daily(lambda b: normalize.validation(_faulty(b), "close", "scaled")), "daily",
+    f"""WITH {FAULTY}, f2 AS (SELECT *, sign(close - lag(close) OVER w) * sign(scaled - lag(scaled) OVER w) AS s FROM f1 WINDOW w AS (PARTITION BY series_id ORDER BY t))
+    SELECT series_id, bool_and((close IS NULL) = (scaled IS NULL)) AS nulls_agree, bool_and(coalesce(scaled BETWEEN -1e-6 AND 1 + 1e-6, true)) AS in_range, bool_and(coalesce(s >= 0, true)) AS monotonic FROM f2 GROUP BY 1""", "series_id:s nulls_agree:b in_range:b monotonic:b")
+register("dtr10_faulty", on_daily(lambda b: detrend.validation(_faulty(b), "close", "scaled")), "daily",
+    f"WITH {FAULTY} SELECT series_id, count(*) FILTER (close IS NOT NULL AND scaled IS NULL) AS lost, var_pop(scaled) / nullif(var_pop(close), 0) AS variance_ratio, avg(scaled) - avg(close) AS mean_shift, count(*) FILTER (close IS NOT NULL AND scaled IS NULL) = 0 AS ok FROM f1 GROUP BY 1", "series_id:s lost:i variance_ratio:d mean_shift:d ok:b")
+register("bt02_drawdown_duration", on_daily(lambda b: backtest.metrics(_simulated(b)).select("series_id", "max_drawdown_duration")), "daily",
+    f"""WITH {SIM}, u AS (SELECT *, count(*) FILTER (drawdown <= 0) OVER (PARTITION BY series_id ORDER BY t) AS peak FROM sim),
+    k AS (SELECT series_id, peak, count(*) FILTER (drawdown > 0) AS n FROM u GROUP BY 1, 2) SELECT series_id, max(n) AS max_drawdown_duration FROM k GROUP BY 1""", "series_id:s max_drawdown_duration:i")

@@ -14,13 +14,19 @@ from ..functions.columns import clip, correlation, divided
 from . import windows
 
 
+def _against(history: DataFrame, target: DataFrame, length: int) -> DataFrame:
+    """Every window's rows beside the target's at the same position. The target is one map
+    of at most ``length`` numbers, so no join has positions as its few keys."""
+    spots = target.where(F.col("t").between(0, length - 1)).agg(F.map_from_entries(F.collect_list(F.struct("t", "x"))).alias("_target"))
+    cut = windows.sliding(history, length, max(1, length // 2)).withColumn("k", (F.col("t") - F.col("start")).cast("long"))
+    beside = cut.join(F.broadcast(spots))
+    return beside.where(F.map_contains_key("_target", F.col("k"))).withColumn("target_x", F.element_at("_target", F.col("k"))).drop("_target")
+
+
 def candidates(history: DataFrame, target: DataFrame, length: int, least: float = 0.6, most: int = 100) -> DataFrame:
     """Windows of ``length`` rows at half-window steps whose correlation with ``target``
-    (t, x; t from 0) is at least ``least``; of each series the ``most`` best. The target is
-    joined on position, so windows spread over tasks."""
-    cut = windows.sliding(history, length, max(1, length // 2)).withColumn("k", F.col("t") - F.col("start"))
-    joined = cut.join(target.select(F.col("t").alias("k"), F.col("x").alias("target_x")), "k")
-    r = joined.groupBy("series_id", "start").agg(correlation(F.col("x"), F.col("target_x")).alias("r"), F.count("*").alias("n"))
+    (t, x; t from 0, once each) is at least ``least``; of each series the ``most`` best."""
+    r = _against(history, target, length).groupBy("series_id", "start").agg(correlation(F.col("x"), F.col("target_x")).alias("r"), F.count("*").alias("n"))
     order = Window.partitionBy("series_id").orderBy(F.desc("r"), "start")
     return r.where((F.col("r") >= least) & (F.col("n") == length)).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most).drop("rank")
 
@@ -80,10 +86,9 @@ def quality(matches: DataFrame, least: float = 0.6) -> DataFrame:
 
 def euclidean(history: DataFrame, target: DataFrame, length: int) -> DataFrame:
     """Plain distance of every window from ``target``."""
-    cut = windows.sliding(history, length, max(1, length // 2)).withColumn("k", F.col("t") - F.col("start"))
-    joined = cut.join(target.select(F.col("t").alias("k"), F.col("x").alias("y")), "k")
-    d = F.sqrt(F.sum((F.col("x") - F.col("y")) * (F.col("x") - F.col("y"))))
-    return joined.groupBy("series_id", "start").agg(d.alias("distance"), divided(F.sum(F.abs(F.col("x") - F.col("y"))), F.count("*").cast("double")).alias("mean_gap"))
+    gap = F.col("x") - F.col("target_x")
+    rows = _against(history, target, length)
+    return rows.groupBy("series_id", "start").agg(F.sqrt(F.sum(gap * gap)).alias("distance"), divided(F.sum(F.abs(gap)), F.count("*").cast("double")).alias("mean_gap"))
 
 
 def training(history: DataFrame, digit: int | None = None, since: int | None = None, until: int | None = None) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import kernels
-from ..functions.columns import average_rank, by_time, correlation, divided
+from ..functions.columns import TRADING_DAYS, average_rank, by_time, correlation, divided, log_return, pair, whole
 from . import windows
 
 #: Forecasts of a row from earlier rows only, as columns.
@@ -33,9 +33,12 @@ def adaptive_threshold(bars: DataFrame, base: float = 0.08, weight: float = 0.5,
     """base * (1 + weight * (short vol / long vol - 1)), half of base at least; base where
     a volatility is missing or the long one is 0."""
     both = windows.terminal_volatility(bars, short, "short_vol").join(windows.terminal_volatility(bars, long, "long_vol"), "series_id")
-    ratio = divided(F.col("short_vol"), F.col("long_vol"))
-    adapted = F.greatest(F.lit(base * 0.5), F.lit(base) * (1 + F.lit(weight) * (ratio - 1)))
-    return both.withColumn("threshold", F.coalesce(adapted, F.lit(base)))
+    return both.withColumn("threshold", _adapted(F.col("short_vol"), F.col("long_vol"), base, weight))
+
+
+def _adapted(short: Column, long: Column, base: float, weight: float) -> Column:
+    ratio = divided(short, long)
+    return F.coalesce(F.when(ratio.isNotNull(), F.greatest(F.lit(base * 0.5), F.lit(base) * (1 + F.lit(weight) * (ratio - 1)))), F.lit(base))
 
 
 def rank_correlations(rows: DataFrame, x: str, y: str) -> DataFrame:
@@ -87,7 +90,11 @@ def direction_accuracy(rows: DataFrame, actual: str, predicted: str) -> DataFram
     return moves.groupBy("series_id").agg(F.coalesce(divided(F.count_if(both & (F.col("a") == F.col("p"))).cast("double"), F.count_if(both).cast("double")), F.lit(0.0)).alias("direction_accuracy"))
 
 
-def broken(rows: DataFrame, limit: float = -0.1, least: int = 3) -> DataFrame:
+#: A seasonality is broken once its rolling correlation was at most this for so many rows.
+BROKEN = (-0.1, 3)
+
+
+def broken(rows: DataFrame, limit: float = BROKEN[0], least: int = BROKEN[1]) -> DataFrame:
     """Whether rolling correlation ``r`` stayed at or below ``limit`` for ``least`` rows."""
     counted = windows.runs(rows, F.col("r") <= limit, least)
     return counted.groupBy("series_id").agg(F.bool_or("triggered").alias("is_broken"), F.max("run").alias("longest"))
@@ -95,19 +102,43 @@ def broken(rows: DataFrame, limit: float = -0.1, least: int = 3) -> DataFrame:
 
 def validate(rows: DataFrame, base: float = 0.08, window: int = 63, least: int = 100) -> DataFrame:
     """One row per series (close, predicted): correlations, direction, rolling mean,
-    threshold, whether its seasonality broke, and a verdict."""
-    known = rows.where("predicted IS NOT NULL")
-    rolled = windows.rolling_correlation(known.withColumn("t", (F.row_number().over(by_time()) - 1).cast("long")), "close", "predicted", window)
-    means = rolled.groupBy("series_id").agg(F.avg("r").alias("rolling_mean"), F.stddev_pop("r").alias("rolling_std"))
-    joined = (
-        p_values(rank_correlations(known, "close", "predicted"))
-        .join(direction_accuracy(known, "close", "predicted"), "series_id")
-        .join(means, "series_id")
-        .join(broken(rolled), "series_id")
-        .join(adaptive_threshold(rows, base).select("series_id", "threshold"), "series_id")
+    threshold, whether its seasonality broke, a verdict and what it rests on. Series of
+    fewer than ``least`` known rows, or fewer than ``window``, are INSUFFICIENT_DATA;
+    series without a forecast have no row.
+
+    All windows keep to a series, so its rows are exchanged once for all of them, and once
+    more for Kendall's tau."""
+    newest = Window.partitionBy("series_id").orderBy(F.desc("t"))
+    priced = rows.select("series_id", "t", "close", "predicted").withColumn("_log", log_return(F.col("close"), by_time())).withColumn("_n", F.row_number().over(newest))
+
+    def volatility(width: int) -> Column:
+        spread = F.stddev_samp(F.when(F.col("_n") <= width - 1, F.col("_log"))).over(whole())
+        return F.when(F.count("*").over(whole()) >= width + 1, spread * F.sqrt(F.lit(float(TRADING_DAYS))))
+
+    known = priced.withColumn("threshold", _adapted(volatility(30), volatility(252), base, 0.5)).where("predicted IS NOT NULL")
+    known = known.withColumn("t", (F.row_number().over(by_time()) - 1).cast("long"))
+    ran = windows.runs(windows.rolling_correlation(known, "close", "predicted", window), F.col("r") <= BROKEN[0], BROKEN[1])
+    x, y = pair(F.col("close"), F.col("predicted"))
+    w = by_time()
+    every = ran.withColumns({
+        "_x": average_rank(x, ["series_id"]), "_y": average_rank(y, ["series_id"]),
+        "_a": F.signum(F.col("close") - F.lag("close").over(w)), "_p": F.signum(F.col("predicted") - F.lag("predicted").over(w)),
+    })
+    both = (F.col("_a") != 0) & (F.col("_p") != 0)
+    hits = divided(F.count_if(both & (F.col("_a") == F.col("_p"))).cast("double"), F.count_if(both).cast("double"))
+    found = every.groupBy("series_id").agg(
+        F.count(x).alias("n"), correlation(x, y).alias("pearson"), correlation(F.col("_x"), F.col("_y")).alias("spearman"), F.coalesce(hits, F.lit(0.0)).alias("direction_accuracy"),
+        F.avg("r").alias("rolling_mean"), F.stddev_pop("r").alias("rolling_std"), F.bool_or("triggered").alias("is_broken"), F.max("run").alias("longest"), F.max("threshold").alias("threshold"),
+    )
+    joined = p_values(found).join(kendall(rows, "close", "predicted").withColumnRenamed("tau", "kendall"), "series_id", "left")
+    few = F.col("n") < max(least, window)
+    valid = F.coalesce(F.col("pearson") >= F.col("threshold"), F.lit(False))
+    verdict = F.when(few, "INSUFFICIENT_DATA").when(F.col("is_broken"), "BROKEN").when(valid, "VALID").otherwise("INVALID")
+    shown = F.coalesce(F.format_number("pearson", 4), F.lit("none"))
+    message = F.when(few, F.concat(F.lit("rows: "), F.col("n"), F.lit(f", needed: {max(least, window)}"))).otherwise(
+        F.concat(F.lit("correlation "), shown, F.lit(", threshold "), F.format_number("threshold", 4), F.when(F.col("is_broken"), F.lit(", turned for some time")).otherwise(F.lit("")))
     )
-    verdict = F.when(F.col("n") < least, "INSUFFICIENT_DATA").when(F.col("is_broken"), "BROKEN").when(F.col("pearson") >= F.col("threshold"), "VALID").otherwise("INVALID")
-    return joined.withColumn("verdict", verdict)
+    return joined.withColumns({"train_size": F.floor(F.col("n") * 0.7), "verdict": verdict, "message": message})
 
 
 def splits(n: int, steps: int, window: int) -> list[tuple[int, int, int]]:

@@ -1,3 +1,4 @@
+import io
 import json
 import math
 import statistics
@@ -5,6 +6,7 @@ import statistics
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark import cli
 from tidemark.errors import AnalysisError
 from tidemark.functions.columns import clip, correlation, percentile_rank
 from tidemark.operators import analogies, backtest, bars, cycles, detrend, fte, normalize, positioning, seasonality, windows
@@ -127,12 +129,6 @@ def test_readers(spark, tmp_path):
     assert readers.read(spark, "csv", str(tmp_path / "out")).count() == 50
 
 
-def test_circuit(spark):
-    calls = [("a", 0, False), ("a", 1, False), ("a", 2, False), ("b", 0, False), ("b", 1, True), ("c", 0, False), ("c", 1, False), ("c", 2, False), ("c", 70, True)]
-    found = {r["source"]: r["state"] for r in readers.circuit(spark.createDataFrame(calls, "source string, at long, ok boolean")).collect()}
-    assert found == {"a": "OPEN", "b": "CLOSED", "c": "CLOSED"}
-
-
 def test_streams_equal_batches(spark, tmp_path, same):
     events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
     schema = ", ".join(f"{n} {t}" for n, t in events.dtypes)
@@ -201,3 +197,88 @@ def test_combination_skips_missing_votes(spark):
     found = {r["series_id"]: r for r in positioning.combined({"a": a, "b": b}, {"a": 4.0}).collect()}
     assert found["x"]["score"] == pytest.approx(0.2) and found["x"]["direction"] == 1
     assert found["y"]["votes"] == 0 and found["y"]["score"] is None
+
+
+def test_a_users_forecaster_and_its_failures(spark):
+    lengths = {"a": 500, "b": 90}
+    rows = spark.createDataFrame([(k, i, float(i * 7 % 11)) for k, n in lengths.items() for i in range(n)], "series_id string, t long, close double")
+
+    def forecaster(train, n):
+        if len(train) < 250:
+            raise ValueError("too little")
+        return [float((len(train) + i) * 7 % 11) for i in range(n)] if len(train) < 400 else [1.0]
+
+    got = {r["step"]: r for r in fte.walked(rows, forecaster, 5, 20).where("series_id = 'a'").collect()}
+    want = fte.splits(500, 5, 20)
+    assert [(k, got[k]["train_end"], got[k]["test_end"]) for k in sorted(got)] == want
+    for step, train_end, _ in want:
+        row = got[step]
+        if train_end < 250:
+            assert (row["status"], row["message"], row["pearson"]) == ("INSUFFICIENT_DATA", "ValueError: too little", None)
+        elif train_end < 400:
+            assert (row["status"], row["n"]) == ("OK", 40) and row["pearson"] == pytest.approx(1) and row["direction_accuracy"] == 1
+        else:
+            assert row["message"] == "ValueError: 1 values for 40 rows"
+
+
+def test_validation_of_forecasts_against_plain_figures(spark):
+    n = 300
+    rows = [("a", i, float(i * i % 37), float(i * i % 37 + i % 3) if i >= 20 else None) for i in range(n)] + [("b", i, float(i), float(i)) for i in range(50)] + [("c", i, 1.0, None) for i in range(5)]
+    frame = spark.createDataFrame(rows, "series_id string, t long, close double, predicted double")
+    got = {r["series_id"]: r for r in fte.validate(frame).collect()}
+    assert set(got) == {"a", "b"}
+    assert (got["b"]["verdict"], got["b"]["message"]) == ("INSUFFICIENT_DATA", "rows: 50, needed: 100")
+    known = [(x, y) for s, _, x, y in rows if s == "a" and y is not None]
+    pearson = statistics.correlation(*zip(*known, strict=True))
+    assert got["a"]["pearson"] == pytest.approx(pearson) and got["a"]["spearman"] == pytest.approx(statistics.correlation(*zip(*known, strict=True), method="ranked"))
+    signs = [(x > u) - (x < u) == (y > v) - (y < v) for (u, v), (x, y) in zip(known, known[1:], strict=False) if x != u and y != v]
+    assert got["a"]["direction_accuracy"] == pytest.approx(sum(signs) / len(signs))
+    pairs = [((x > u) - (x < u)) * ((y > v) - (y < v)) for i, (x, y) in enumerate(known) for u, v in known[:i]]
+    same_x, same_y = (sum(a[k] == b[k] for i, a in enumerate(known) for b in known[:i]) for k in (0, 1))
+    assert got["a"]["kendall"] == pytest.approx(sum(pairs) / math.sqrt((len(pairs) - same_x) * (len(pairs) - same_y)))
+    rolled = [statistics.correlation(*zip(*known[i - 62 : i + 1], strict=True)) for i in range(62, len(known))]
+    assert got["a"]["rolling_mean"] == pytest.approx(statistics.fmean(rolled)) and got["a"]["rolling_std"] == pytest.approx(statistics.pstdev(rolled))
+    assert (got["a"]["verdict"], got["a"]["train_size"], got["a"]["is_broken"]) == ("VALID", 196, False)
+    over = fte.aggregated(fte.validate(frame)).first()
+    assert (over["n"], over["broken_count"]) == (2, 0) and over["mean_spearman"] == pytest.approx((got["a"]["spearman"] + got["b"]["spearman"]) / 2)
+
+
+def test_extensions(spark):
+    x = series(spark, [1.0, 3.0]).unionByName(series(spark, [5.0], "b"))
+    assert column(windows.extended(x, 2, "extrapolate"), "close") == [1.0, 3.0, 5.0, 7.0, 5.0, 5.0, 5.0]
+    assert column(windows.extended(x, 1), "close") == [1.0, 3.0, 3.0, 5.0, 5.0]
+    assert windows.extended(x, 0).count() == 3
+    with pytest.raises(ValueError, match="unknown kind"):
+        windows.extended(x, 1, "no")
+
+
+def test_signals_of_a_series(spark):
+    days = [("a", f"2020-01-0{d} 0{h}:00:00", d * 1.0, "BUY" if d == 1 else "SELL") for d in (1, 2) for h in range(3 * d - 2)]
+    x = spark.createDataFrame(days, "series_id string, time string, strength double, signal string").withColumn("time", F.to_timestamp("time"))
+    assert [(str(r["day"]), r["n"]) for r in positioning.activity_alert(x).collect()] == [("2020-01-02", 4)]
+    assert [r["previous"] for r in positioning.lagged_signals(x).orderBy("time").collect()] == [None, "BUY", "SELL", "SELL", "SELL"]
+    best = positioning.decayed_best(x, 2).orderBy("rank").collect()
+    assert [(r["strength"], str(r["time"])) for r in best] == [(2.0, "2020-01-02 00:00:00"), (2.0, "2020-01-02 01:00:00")]
+
+
+def test_sources_by_priority_and_partitioned_files(spark, tmp_path):
+    a = spark.createDataFrame([(1, "a")], "k long, v string")
+    b = spark.createDataFrame([(1, "b", 0.5), (2, "b", 0.5)], "k long, v string, more double")
+    assert sorted((r["k"], r["v"], r["more"]) for r in readers.prioritized([a, b], ["k"]).collect()) == [(1, "a", None), (2, "b", 0.5)]
+    bars_ = series(spark, [1.0, 2.0]).unionByName(series(spark, [3.0], "b")).withColumn("timeframe", F.lit("1d"))
+    readers.write_partitioned(bars_, str(tmp_path / "bars"))
+    found = spark.read.parquet(str(tmp_path / "bars")).where("series_id = 'b'")
+    assert [r["close"] for r in found.collect()] == [3.0]
+    assert "PartitionFilters: [isnotnull(series_id" in found._jdf.queryExecution().toString()
+
+
+def test_command_line_answers(spark, monkeypatch, capsys):
+    monkeypatch.setattr(cli, "session", lambda *_: spark)
+    dates = [f"{y}-{m:02d}-15" for y in range(1990, 2022) for m in (1, 6, 12)]
+    request = {"dates": dates, "prices": [100 + i for i in range(len(dates))], "current_year": 2022}
+    monkeypatch.setattr("sys.stdin", io.StringIO(json.dumps(request)))
+    assert cli.main() == 0
+    found = json.loads(capsys.readouterr().out)
+    assert (found["years"], found["digit"], found["status"]) == (32, 2, "valid")
+    monkeypatch.setattr("sys.stdin", io.StringIO(json.dumps({"dates": dates, "prices": [1.0], "current_year": 2022})))
+    assert cli.main() == 1 and "ValueError" in json.loads(capsys.readouterr().out)["error"]

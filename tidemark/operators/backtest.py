@@ -56,6 +56,18 @@ def metrics(simulation: DataFrame, extra: list[str] | None = None, risk_free: fl
     return bars.join(by_trade, keys, "left").join(spells, keys, "left").fillna(none)
 
 
+def progress(simulation: DataFrame, batch: int) -> DataFrame:
+    """State of each series' backtest after every ``batch`` bars and after its last: share
+    done, total return, deepest drawdown and trades so far."""
+    so_far = by_time((Window.unboundedPreceding, 0))
+    rows = simulation.select(
+        "series_id", "t", F.row_number().over(by_time()).cast("long").alias("bars"), F.count("*").over(Window.partitionBy("series_id")).alias("_n"),
+        (F.col("equity") - 1).alias("total_return"), F.max("drawdown").over(so_far).alias("max_drawdown"), F.col("trade").alias("trades"),
+    )
+    kept = rows.where((F.col("bars") % batch == 0) | (F.col("bars") == F.col("_n")))
+    return kept.withColumn("share", F.col("bars") / F.col("_n")).drop("_n")
+
+
 def split(rows: DataFrame, share: float = 0.7) -> DataFrame:
     """``sample``: in for the first ``share`` of each series, out for the rest."""
     n = F.count("*").over(Window.partitionBy("series_id"))

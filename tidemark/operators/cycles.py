@@ -70,7 +70,21 @@ def slots(top3: DataFrame) -> DataFrame:
 def composite(cycles: DataFrame, length: int, start: int = 0) -> DataFrame:
     """Sum of the cycles' sinusoids at t = start..start+length-1, scaled to 1, with its
     slope's sign and whether all waves rise (BUY) or fall (SELL) at once."""
-    points = cycles.select("series_id", "period", "amplitude", "phase", F.explode(F.sequence(F.lit(start), F.lit(start + length - 1))).alias("t"))
+    return _summed(cycles.select("series_id", "period", "amplitude", "phase", F.explode(F.sequence(F.lit(start), F.lit(start + length - 1))).alias("t")))
+
+
+def projected(cycles: DataFrame, bars: DataFrame, days: int) -> DataFrame:
+    """``composite`` over the ``days`` steps after the end of each series, with the calendar
+    date of each (``time``: the last bar's, and so many days on). Cycles of series without
+    bars have no row."""
+    last = bars.groupBy("series_id").agg((F.max("t") + 1).alias("_first"), F.to_date(F.max("time")).alias("_last"))
+    steps = F.sequence(F.col("_first"), F.col("_first") + (days - 1))
+    points = cycles.join(last, "series_id").select("series_id", "period", "amplitude", "phase", F.explode(steps).alias("t"))
+    ahead = _summed(points).join(last, "series_id")
+    return ahead.withColumn("time", F.date_add("_last", (F.col("t") - F.col("_first") + 1).cast("int"))).drop("_first", "_last")
+
+
+def _summed(points: DataFrame) -> DataFrame:
     turn = F.lit(2 * math.pi) / F.col("period")
     angle = turn * F.col("t") - F.col("phase")
     waves = points.select("series_id", "t", (F.col("amplitude") * F.cos(angle)).alias("y"), (-F.col("amplitude") * turn * F.sin(angle)).alias("dy"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -179,10 +180,47 @@ def walk_forward(rows: DataFrame, n: int | None = None, steps: int = 5, window:
     return moved.groupBy("series_id", "step", "train_end", "test_end").agg(F.count("*").alias("n"), correlation(F.col("close"), F.col("predicted")).alias("pearson"), hits.alias("direction_accuracy"))
 
 
+SCORES = "series_id string, step long, train_end long, test_end long, n long, pearson double, direction_accuracy double, status string, message string"
+
+
+def walked(rows: DataFrame, forecaster: Callable[[np.ndarray, int], np.ndarray], steps: int = 5, window: int = 63) -> DataFrame:
+    """``walk_forward`` with a forecaster of the user's: it gets the closes before a test in
+    order and the number of rows asked for, and returns as many numbers. A step whose
+    forecaster raises, or returns another number of values, is an INSUFFICIENT_DATA row
+    with the error's name and text. A task holds one step's history."""
+    stepped = rows.select("series_id", "t", F.col("close").cast("double").alias("close")).dropna(subset=["close"])
+    tests = stepped.join(splits_by_length(rows, steps, window), "series_id").where(F.col("t") < F.col("test_end"))
+
+    def score(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("t")
+        first = part.iloc[0]
+        before = part["t"] < first["train_end"]
+        train, actual = part.loc[before, "close"].to_numpy(float), part.loc[~before, "close"].to_numpy(float)
+        r, hits, status, message = None, None, "OK", ""
+        try:
+            guess = np.asarray(forecaster(train, len(actual)), dtype=float)
+            if guess.shape != actual.shape:
+                raise ValueError(f"{guess.size} values for {len(actual)} rows")
+            if len(actual) >= 3 and actual.std() * guess.std() > 1e-12:
+                r = float(np.corrcoef(actual, guess)[0, 1])
+            a, p = np.sign(np.diff(actual)), np.sign(np.diff(guess))
+            moved = (a != 0) & (p != 0)
+            hits = float((a == p)[moved].mean()) if moved.any() else 0.0
+        except Exception as error:  # any failure of the user's function is that step's result
+            status, message = "INSUFFICIENT_DATA", f"{type(error).__name__}: {error}"
+        row = (first["series_id"], first["step"], first["train_end"], first["test_end"], len(actual), r, hits, status, message)
+        return pd.DataFrame([row], columns=[c.split()[0] for c in SCORES.split(", ")]).astype({"pearson": "float64", "direction_accuracy": "float64"})
+
+    return tests.groupBy("series_id", "step").applyInPandas(score, SCORES)
+
+
 def aggregated(results: DataFrame, threshold: float = 0.08) -> DataFrame:
-    """Counts, spread of correlations and mean direction accuracy over all results."""
+    """Counts, spread of correlations and mean direction accuracy over all results; with
+    ``validate``'s results also the mean of Spearman's rho and how many are broken."""
     valid = F.coalesce(F.col("pearson") >= threshold, F.lit(False))
+    more = [F.avg("spearman").alias("mean_spearman")] if "spearman" in results.columns else []
+    more += [F.count_if("is_broken").alias("broken_count")] if "is_broken" in results.columns else []
     return results.agg(
         F.count("*").alias("n"), F.count_if(valid).alias("valid_count"), F.avg("pearson").alias("mean_r"), F.stddev_pop("pearson").alias("std_r"), F.min("pearson").alias("min_r"),
-        F.max("pearson").alias("max_r"), F.avg(valid.cast("double")).alias("valid_ratio"), F.avg("direction_accuracy").alias("direction_accuracy"),
+        F.max("pearson").alias("max_r"), F.avg(valid.cast("double")).alias("valid_ratio"), F.avg("direction_accuracy").alias("direction_accuracy"), *more,
     )

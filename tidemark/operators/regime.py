@@ -88,6 +88,15 @@ def summary(results: DataFrame) -> DataFrame:
     return names.join(counts, "regime", "left").select("regime", F.coalesce("n", F.lit(0).cast("long")).alias("n"), "mean_threshold")
 
 
+def totals(results: DataFrame, signals: DataFrame) -> DataFrame:
+    """One row over ``results`` (regime, threshold, is_valid) and ``signals`` (triggered):
+    series, valid ones, a count of each regime, mean threshold, signal rows triggered."""
+    counts = [F.count_if(F.col("regime") == x).alias(x.lower()) for x in REGIMES]
+    found = results.agg(F.count("*").alias("total"), F.count_if("is_valid").alias("valid"), *counts, F.avg("threshold").alias("mean_threshold"))
+    fired = signals.agg(F.count_if("triggered").alias("triggered"))
+    return found.join(F.broadcast(fired))  # one row each
+
+
 def merged(results: DataFrame, found: DataFrame, score: str = "pearson") -> DataFrame:
     """``results`` of a forecast's validation (series_id, ``score``; null counts 0) with the
     fields of ``regimes``: verdict and strength against the regime's threshold."""

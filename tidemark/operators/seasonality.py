@@ -9,6 +9,16 @@ from ..functions.columns import by_time, clip, correlation, divided, simple_retu
 from . import detrend
 
 
+def best_months(months: DataFrame, count: int = 3) -> DataFrame:
+    """Of ``monthly``: each series' ``count`` best and worst months with their places, ties
+    to the earlier month; a month may be among both."""
+    of = Window.partitionBy("series_id")
+    best = F.row_number().over(of.orderBy(F.desc("avg_return"), "month"))
+    worst = F.row_number().over(of.orderBy("avg_return", "month"))
+    placed = months.where(F.col("avg_return").isNotNull()).withColumns({"best": best, "worst": worst})
+    return placed.where((F.col("best") <= count) | (F.col("worst") <= count)).select("series_id", "month", "avg_return", "best", "worst")
+
+
 def annual_cycle(bars: DataFrame, least_years: int = 3) -> DataFrame:
     """Per day of the year: mean position within the year (trend off, range to 0..1),
     spread and confidence (1 - spread / mean, within 0..1)."""

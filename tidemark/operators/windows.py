@@ -75,6 +75,31 @@ def runs(rows: DataFrame, holds: Column, least: int) -> DataFrame:
     return marked.withColumn("run", F.sum("_step").over(inside)).withColumn("triggered", F.col("run") >= least).drop("_island", "_step")
 
 
+def extended(rows: DataFrame, steps: int, kind: str = "pad", value: str = "close") -> DataFrame:
+    """``rows`` (series_id, t, ``value``) and ``steps`` more of each series: the last value
+    again (pad), or on with the last difference (extrapolate; a series of one row is
+    padded). ``added`` tells them apart."""
+    if kind not in ("pad", "extrapolate"):
+        raise ValueError(f"unknown kind of extension: {kind}")
+    kept = rows.select("series_id", F.col("t").cast("long").alias("t"), value, F.lit(False).alias("added"))
+    slope = F.col(value) - F.lag(value).over(by_time())
+    ends = rows.withColumn("_slope", slope).groupBy("series_id").agg(F.max("t").cast("long").alias("_t"), F.max_by(value, "t").alias("_x"), F.max_by("_slope", "t").alias("_slope"))
+    by = F.coalesce("_slope", F.lit(0.0)) if kind == "extrapolate" else F.lit(0.0)
+    more = ends.withColumn("_k", F.explode(F.sequence(F.lit(1), F.lit(steps)) if steps > 0 else F.array().cast("array<int>")))
+    return kept.unionByName(more.select("series_id", (F.col("_t") + F.col("_k")).alias("t"), (F.col("_x") + F.col("_k") * by).alias(value), F.lit(True).alias("added")))
+
+
+#: Rows that an analysis needs at least.
+GUARDS = {"spectrum": 50, "forecast": 100, "rolling": 21, "regime": 60, "analogies": 20}
+
+
+def guarded(rows: DataFrame) -> DataFrame:
+    """Per series and analysis: its rows, the rows needed, and OK or INSUFFICIENT_DATA."""
+    asked = F.explode(F.create_map(*[F.lit(x) for item in GUARDS.items() for x in item])).alias("analysis", "least")
+    sized = rows.groupBy("series_id").agg(F.count("*").alias("n")).select("series_id", "n", asked)
+    return sized.withColumn("status", F.when(F.col("n") < F.col("least"), "INSUFFICIENT_DATA").otherwise("OK"))
+
+
 def blocks(rows: DataFrame, count: int = 5) -> DataFrame:
     """``block`` 0..count-1: equal blocks by position; the tail is left out."""
     sized = rows.withColumn("_size", F.floor(F.count("*").over(Window.partitionBy("series_id")) / count))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -293,6 +294,13 @@ SELECT series_id, step, train_end, test_end, count(*) AS n, corr(close, predicte
 register("fte04_walk_forward_whole", on_daily(lambda b: fte.walk_forward(_predicted(b))), "daily", WALK_WHOLE, "series_id:s step:i train_end:i test_end:i n:i pearson:d direction_accuracy:d")
 register("fte05_aggregated_whole", on_daily(lambda b: fte.aggregated(fte.walk_forward(_predicted(b)))), "daily",
     f"SELECT count(*) AS n, count(*) FILTER (pearson >= 0.08) AS valid_count, avg(pearson) AS mean_r, stddev_pop(pearson) AS std_r, min(pearson) AS min_r, max(pearson) AS max_r, avg(CASE WHEN pearson >= 0.08 THEN 1.0 ELSE 0.0 END) AS valid_ratio, avg(direction_accuracy) AS direction_accuracy FROM ({WALK_WHOLE})", "n:i valid_count:i mean_r:d std_r:d min_r:d max_r:d valid_ratio:d direction_accuracy:d")
+
+
+def _drift(train: np.ndarray, n: int) -> np.ndarray:
+    """On from the last close by the mean step of the last 21."""
+    return train[-1] + np.arange(1, n + 1) * np.diff(train[-22:]).mean()
+
+
 register("fte02_validate", on_daily(lambda b: fte.validate(_predicted(b))))
 
 # -- Analogies, bootstrap, breaks ---------------------------------------------------------
@@ -626,3 +634,37 @@ register("dtr10_faulty", on_daily(lambda b: detrend.validation(_faulty(b), "clos
 register("bt02_drawdown_duration", on_daily(lambda b: backtest.metrics(_simulated(b)).select("series_id", "max_drawdown_duration")), "daily",
     f"""WITH {SIM}, u AS (SELECT *, count(*) FILTER (drawdown <= 0) OVER (PARTITION BY series_id ORDER BY t) AS peak FROM sim),
     k AS (SELECT series_id, peak, count(*) FILTER (drawdown > 0) AS n FROM u GROUP BY 1, 2) SELECT series_id, max(n) AS max_drawdown_duration FROM k GROUP BY 1""", "series_id:s max_drawdown_duration:i")
+register("set04_padded", on_weekly(lambda b: windows.extended(b, 10)), "weekly",
+    "SELECT series_id, t, close, false AS added FROM weekly UNION ALL SELECT series_id, max(t) + k, arg_max(close, t), true FROM weekly, (SELECT unnest(range(1, 11)) AS k) GROUP BY series_id, k", "series_id:s t:i close:d added:b")
+register("set04_extrapolated", on_weekly(lambda b: windows.extended(b, 10, "extrapolate")), "weekly",
+    f"""SELECT series_id, t, close, false AS added FROM weekly UNION ALL SELECT series_id, max(t) + k, arg_max(close, t) + k * arg_max(s, t), true
+    FROM (SELECT *, close - lag(close) OVER w AS s FROM weekly {W}), (SELECT unnest(range(1, 11)) AS k) GROUP BY series_id, k""", "series_id:s t:i close:d added:b")
+register("flt11_guards", on_daily(windows.guarded), "daily",
+    """SELECT series_id, n, analysis, least, CASE WHEN n < least THEN 'INSUFFICIENT_DATA' ELSE 'OK' END AS status FROM (SELECT series_id, count(*) AS n FROM bars GROUP BY 1),
+    (VALUES ('spectrum', 50), ('forecast', 100), ('rolling', 21), ('regime', 60), ('analogies', 20)) g(analysis, least)""", "series_id:s n:i analysis:s least:i status:s")
+register("str07_backtest_progress", on_daily(lambda b: backtest.progress(_simulated(b), 250)), "daily",
+    f"""WITH {SIM} SELECT * EXCLUDE (n), bars / n AS share FROM (SELECT series_id, t, t + 1 AS bars, count(*) OVER (PARTITION BY series_id) AS n, equity - 1 AS total_return, max(drawdown) OVER w AS max_drawdown, trade AS trades FROM sim {W})
+    WHERE bars % 250 = 0 OR bars = n""", "series_id:s t:i bars:i total_return:d max_drawdown:d trades:i share:d")
+register("agg19_totals", on_daily(lambda b: regime.totals(regime.validity(regime.regimes(b).withColumn("score", F.col("confidence") / 8)), windows.runs(windows.realized_volatility(b), F.col("vol") > 0.5, 3))), "daily rets vols",
+    f"""WITH g AS ({REGIME}), i AS (SELECT series_id, t, vol, sum(CASE WHEN vol > 0.5 THEN 0 ELSE 1 END) OVER (PARTITION BY series_id ORDER BY t) AS island FROM vols),
+    k AS (SELECT sum(CASE WHEN vol > 0.5 THEN 1 ELSE 0 END) OVER (PARTITION BY series_id, island ORDER BY t) AS run FROM i)
+    SELECT count(*) AS total, count(*) FILTER (confidence / 8 >= threshold) AS valid, count(*) FILTER (regime = 'LOW') AS low, count(*) FILTER (regime = 'NORMAL') AS normal, count(*) FILTER (regime = 'HIGH') AS high,
+      count(*) FILTER (regime = 'EXTREME') AS extreme, avg(threshold) AS mean_threshold, (SELECT count(*) FILTER (run >= 3) FROM k) AS triggered FROM g""",
+    "total:i valid:i low:i normal:i high:i extreme:i mean_threshold:d triggered:i")
+register("win18_alert", on_daily(lambda b: windows.runs(windows.rolling_correlation(b, "close", "volume", 21), F.col("r") < 0.5, 5).select("series_id", "t", "run", "triggered")), "daily",
+    """WITH r AS (SELECT series_id, t, CASE WHEN count(*) OVER w = 21 AND stddev_pop(close) OVER w * stddev_pop(volume) OVER w > 1e-12 THEN covar_pop(close, volume) OVER w / (stddev_pop(close) OVER w * stddev_pop(volume) OVER w) END AS r FROM bars WINDOW w AS (PARTITION BY series_id ORDER BY t ROWS 20 PRECEDING)),
+    g AS (SELECT *, sum(CASE WHEN r < 0.5 THEN 0 ELSE 1 END) OVER (PARTITION BY series_id ORDER BY t) AS i FROM r),
+    k AS (SELECT series_id, t, sum(CASE WHEN r < 0.5 THEN 1 ELSE 0 END) OVER (PARTITION BY series_id, i ORDER BY t) AS run FROM g) SELECT series_id, t, run, run >= 5 AS triggered FROM k""", "series_id:s t:i run:i triggered:b")
+register("top07_five_cycles", on_daily(lambda b: cycles.dominant(cycles.correlations(detrend.preprocessed(b).select("series_id", "t", "x"), 10, 40), 5).select("series_id", "rank", "period", "energy")), "daily flat",
+    f"SELECT * FROM (SELECT series_id, row_number() OVER (PARTITION BY series_id ORDER BY energy DESC, period) AS rank, period, energy FROM ({CORR_ROWS})) WHERE rank <= 5", "series_id:s rank:i period:i energy:d")
+MONTHS = "SELECT series_id, month, avg(l / f - 1) AS r FROM (SELECT series_id, year(time) AS y, month(time) AS month, arg_min(close, time) AS f, arg_max(close, time) AS l FROM bars GROUP BY 1, 2, 3) GROUP BY 1, 2"
+register("top10_best_months", on_daily(lambda b: seasonality.best_months(seasonality.monthly(b))), "daily",
+    f"SELECT * FROM (SELECT series_id, month, r AS avg_return, row_number() OVER (PARTITION BY series_id ORDER BY r DESC, month) AS best, row_number() OVER (PARTITION BY series_id ORDER BY r, month) AS worst FROM ({MONTHS})) WHERE best <= 3 OR worst <= 3", "series_id:s month:i avg_return:d best:i worst:i")
+register("cyc11_projected", on_daily(lambda b: cycles.projected(cycles.fourier(detrend.preprocessed(b).select("series_id", "t", "x"), 10, 40).where(F.col("period").isin(14, 21, 34)), b, 30)), "daily flat",
+    """WITH f AS (SELECT series_id, period, 2 * sum(x * cos(2 * pi() * t / period)) / count(*) AS a, 2 * sum(x * sin(2 * pi() * t / period)) / count(*) AS b, max(t) AS n, max(time) AS last FROM flat, (SELECT unnest([14, 21, 34]) AS period) GROUP BY 1, 2),
+    p AS (SELECT *, n + k AS t, last + CAST(k AS INTEGER) AS time, sqrt(a*a+b*b) AS m, atan2(b, a) AS ph FROM f, (SELECT unnest(range(1, 31)) AS k)),
+    w AS (SELECT series_id, t, time, m * cos(2 * pi() / period * t - ph) AS y, -m * 2 * pi() / period * sin(2 * pi() / period * t - ph) AS dy FROM p),
+    l AS (SELECT series_id, t, time, sum(y) AS y, sum(dy) AS dy, bool_and(dy > 0) AS up, bool_and(dy < 0) AS down FROM w GROUP BY 1, 2, 3)
+    SELECT series_id, t, y / max(abs(y)) OVER (PARTITION BY series_id) AS value, sign(dy) AS direction, CASE WHEN up THEN 'BUY' WHEN down THEN 'SELL' ELSE 'NONE' END AS resonance, time FROM l""", "series_id:s t:i value:d direction:i resonance:s time:t")
+register("agg18_validated", on_daily(lambda b: fte.aggregated(fte.validate(_predicted(b)))))
+register("udf02_walked", on_daily(lambda b: fte.walked(b, _drift)))

@@ -84,22 +84,6 @@ def prioritized(frames: list[DataFrame], keys: list[str]) -> DataFrame:
     return every.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n", "_priority")
 
 
-def circuit(events: DataFrame, threshold: int = 3, timeout: int = 60) -> DataFrame:
-    """State of each source after its calls (source, at seconds, ok): CLOSED, OPEN after
-    ``threshold`` failures in a row, HALF_OPEN once ``timeout`` seconds have passed."""
-    calls = events.groupBy("source").agg(F.sort_array(F.collect_list(F.struct("at", "ok"))).alias("calls"), F.max("at").alias("now"))
-    begin = F.struct(F.lit("CLOSED").alias("state"), F.lit(0).alias("failures"), F.lit(0).cast("long").alias("since"))
-
-    def step(s, c):
-        ready = F.when((s["state"] == "OPEN") & (c["at"] - s["since"] >= timeout), F.lit("HALF_OPEN")).otherwise(s["state"])
-        failures = F.when(ready == "OPEN", s["failures"]).when(c["ok"], F.lit(0)).otherwise(s["failures"] + 1)
-        state = F.when(ready == "OPEN", "OPEN").when(c["ok"], "CLOSED").when((ready == "HALF_OPEN") | (failures >= threshold), "OPEN").otherwise(ready)
-        since = F.when((state == "OPEN") & (ready != "OPEN"), c["at"]).otherwise(s["since"])
-        return F.struct(state.alias("state"), failures.alias("failures"), since.alias("since"))
-
-    return calls.select("source", F.aggregate("calls", begin, step).alias("s")).select("source", "s.*")
-
-
 def synthetic(spark: SparkSession, days: int, base: float = 100.0, growth: float = 0.08, volatility: float = 0.01, cycles: dict[int, float] | None = None, seed: int = 1, start: str = "2010-01-01") -> DataFrame:
     """Daily bars of trend, cycles, a yearly wave and noise, floored at a tenth of base."""
     t = F.col("id")

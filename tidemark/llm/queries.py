@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, gif, hnsw, html_extract, order_minhash, packing, quality, secrets, sharding, warc
+from . import bpe, gif, hnsw, html_extract, order_minhash, packing, quality, secrets, sharding, vector_codes, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -77,3 +77,11 @@ def op9_bounded_space_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_two_tier_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return bpe.digest_documents(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+
+
+@query
+def op13_filtered_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.report(table(spark, sf_dir, "embeddings"))
+
+
+ORACLES["op13_filtered_vector_codes"] = vector_codes.oracle()

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, gif, hnsw, html_extract, order_minhash, packing, quality, secrets, sharding, vector_codes, warc
+from . import bpe, gif, hnsw, html_extract, order_minhash, packing, quality, secrets, sharding, tput, vector_codes, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -79,6 +79,14 @@ def op10_two_tier_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest_documents(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
+@query
+def op11_threshold_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tput.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+ORACLES["op11_threshold_search"] = tput.ORACLE
+
+
 @query
 def op13_filtered_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.report(table(spark, sf_dir, "embeddings"))

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, gif, hnsw, html_extract, order_minhash, packing, quality, secrets, sharding, tput, vector_codes, warc
+from . import bpe, gif, hnsw, html_extract, order_minhash, packing, quality, secrets, sharding, toxicity, tput, vector_codes, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -87,6 +87,11 @@ def op11_threshold_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLES["op11_threshold_search"] = tput.ORACLE
 
 
+@query
+def op12_counterfactual_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query
 def op13_filtered_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.report(table(spark, sf_dir, "embeddings"))

@@ -147,19 +147,45 @@ def squashed(odds: float) -> float:
     return 1 / (1 + math.exp(-odds)) if odds >= 0 else math.exp(odds) / (1 + math.exp(odds))
 
 
-def fit(x: np.ndarray, y: np.ndarray, changes: np.ndarray, penalty: float = PENALTY, fairness: float = FAIRNESS, rounds: int = 400) -> tuple[np.ndarray, float]:
+@dataclass(frozen=True)
+class Rows:
+    """Rows of few non-zero values each: where each row starts, and columns and values."""
+
+    starts: np.ndarray
+    columns: np.ndarray
+    values: np.ndarray
+    width: int
+
+    @property
+    def of(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.starts) - 1), np.diff(self.starts))
+
+    def times(self, v: np.ndarray) -> np.ndarray:
+        return np.diff(np.append(0.0, np.cumsum(self.values * v[self.columns]))[self.starts])
+
+    def transposed_times(self, of: np.ndarray, r: np.ndarray) -> np.ndarray:
+        return np.bincount(self.columns, self.values * r[of], self.width)
+
+
+def fit(x: Rows, y: np.ndarray, changes: np.ndarray, penalty: float = PENALTY, fairness: float = FAIRNESS, rounds: int = 400) -> tuple[np.ndarray, float]:
     """Weights and bias by proximal gradients with momentum. ``changes`` is the mean outer
     product of what the swaps change."""
     prior = float(np.log(y.mean() / (1 - y.mean())))
-    w, bias = np.zeros(x.shape[1]), prior
-    if not x.shape[1]:
+    w, bias = np.zeros(x.width), prior
+    if not x.width:
         return w, bias
-    step = 1 / (np.linalg.norm(x, 2) ** 2 / (4 * len(y)) + 2 * fairness * np.linalg.norm(changes, 2) + 1e-12)
+    of = x.of
+    v = np.full(x.width, x.width**-0.5)
+    for _ in range(30):  # the largest eigenvalue, from below, of what bounds the curvature
+        v = x.transposed_times(of, x.times(v)) / (4 * len(y)) + 2 * fairness * changes @ v
+        curve = float(np.linalg.norm(v)) + 1e-12
+        v = v / curve
+    step = 0.9 / curve
     v, t = w, 1.0
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ v + bias, -500, 500)))
+        p = 1 / (1 + np.exp(-np.clip(x.times(v) + bias, -500, 500)))
         bias -= float(np.clip((p - y).mean() * 4, -1, 1))
-        fresh = v - step * (x.T @ (p - y) / len(y) + 2 * fairness * changes @ v)
+        fresh = v - step * (x.transposed_times(of, p - y) / len(y) + 2 * fairness * changes @ v)
         fresh = np.sign(fresh) * np.maximum(np.abs(fresh) - step * penalty, 0)
         s = (1 + math.sqrt(1 + 4 * t * t)) / 2
         w, v, t = fresh, fresh + (t - 1) / s * (fresh - w), s
@@ -208,23 +234,22 @@ def chosen_features(rows: DataFrame, most: int = FEATURES) -> list[str]:
     return names
 
 
-def sparse(rows: DataFrame, names: list[str]) -> tuple[np.ndarray, np.ndarray]:
+def sparse(rows: DataFrame, names: list[str]) -> tuple[Rows, np.ndarray]:
     """The rows' values of the features and their labels."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features(names)
         for batch in batches:
             found = [features.values(words_of(text.as_py())) for text in batch.column("text")]
-            numbers = pa.array([list(x) for x in found], pa.list_(pa.int32()))
-            values = pa.array([list(x.values()) for x in found], pa.list_(pa.float64()))
+            numbers = pa.array([sorted(x) for x in found], pa.list_(pa.int32()))
+            values = pa.array([[x[k] for k in sorted(x)] for x in found], pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), numbers, values], ["doc_id", "toxic", "numbers", "values"])
 
-    frame = rows.mapInArrow(run, "doc_id bigint, toxic int, numbers array<int>, values array<double>").toPandas()  # `sample` rows
-    x = np.zeros((len(frame), len(names)))
-    for i, (numbers, values) in enumerate(zip(frame["numbers"], frame["values"], strict=True)):
-        x[i, numbers] = values
-    order = sorted(range(len(frame)), key=lambda i: (frame["doc_id"].iloc[i], frame["toxic"].iloc[i], x[i].tobytes()))
-    return x[order], frame["toxic"].to_numpy(float)[order]
+    found = rows.mapInArrow(run, "doc_id bigint, toxic int, numbers array<int>, values array<double>").orderBy("doc_id", "toxic", "numbers", "values").toArrow()  # `sample` rows
+    numbers, values = found.column("numbers").combine_chunks(), found.column("values").combine_chunks()
+    starts = np.append(0, np.cumsum(numbers.value_lengths().to_numpy(zero_copy_only=False))).astype(np.int64)
+    x = Rows(starts, numbers.flatten().to_numpy(zero_copy_only=False), values.flatten().to_numpy(zero_copy_only=False), len(names))
+    return x, found.column("toxic").to_numpy().astype(float)
 
 
 def counterfactual(rows: DataFrame, names: list[str], identities: tuple[tuple[str, ...], ...] = IDENTITIES) -> np.ndarray:

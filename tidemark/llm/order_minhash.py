@@ -10,17 +10,28 @@ alignment looks only at that band around the diagonal. What the two have in comm
 and of runs of two words refuses most others first: an edit spoils one and two of them at
 most, so no pair that the alignment would take is lost.
 
+Sketches are of runs short enough for edits scattered over a text: at a similarity of just
+0.8 a third of the runs of five words is left, but half of those of three. Short texts have
+too few runs for sampling, so those of fewer than ``EXACT`` words have exact keys besides:
+two texts that the alignment takes share so many labelled runs of two words that they must
+share one of the rarest of each (0.4 per word and one more, by one order of all runs, the
+rarest first).
+
 How it stays linear: equal texts collapse into one node before anything is compared. In
 every bucket all members are compared with one of them only; links become classes by
 joins, each round written to the shared folder. Buckets of over ``BLOCK`` members that
 still are of several classes are compared with ``PIVOTS`` more members, chosen anew in
 each of ``ROUNDS`` rounds, and those who join a class thereby need no more comparing with
-it. What then is still apart is compared all with all, a block of members against another
-at a time: runs in common by one matrix product, alignments only for pairs that may reach
-the threshold, that nothing has joined yet, and only in the first of the buckets that a
-pair shares. Pairs stay inside the task and only links leave it; no link is lost to the
-choice of members. A block has at most about ``BLOCK`` members and ``BLOCK_WORDS`` words,
-so that a task's memory is bounded.
+it. Members of such buckets that are still apart have a core in common and little else: they
+are bucketed anew by their rarest runs of two words, the exact keys above, so that only
+those meet which share more than the core. What then is in one bucket and still apart is
+compared all with all, a block of members against another at a time: runs in common by one
+matrix product, alignments only for pairs that may reach the threshold, that nothing has
+joined yet, and only in the first of the buckets that a pair shares. Pairs stay inside the
+task and only links leave it; no link is lost to the choice of members. A block has at most
+about ``BLOCK`` members and ``BLOCK_WORDS`` words, so that a task's memory is bounded.
+Tables of a row per key are stored before they are joined, by sorted sides, so that Spark
+splits a hot key.
 
 Defined results: texts that are equal word for word (white space apart) are alike; texts
 of fewer than K words form one k-mer; a text without words is in a class with texts equal
@@ -42,10 +53,12 @@ from pyspark.sql import functions as F
 
 from .common import drop, store
 
-K = 5
+K = 3
 MINIMA = 3
-BANDS = 48
+BANDS = 64
 SIMILAR = 0.8
+#: Texts of fewer words have exact keys too: so every pair with a text of under 64 words.
+EXACT = 80
 #: Bounds of a block of members that are compared all with all.
 BLOCK = 1024
 BLOCK_WORDS = 1_000_000
@@ -137,30 +150,67 @@ def band_keys(words: np.ndarray, bands: int = BANDS) -> np.ndarray:
 
 def edits(a: np.ndarray, b: np.ndarray, most: int) -> int | None:
     """The fewest words put in, left out or replaced that turn ``a`` into ``b``, or None if
-    there are more than ``most``. The alignment looks at ``most`` diagonals to each side of
-    the main one; a column of that band is held as two bit vectors of its differences down
-    the column (+1 and -1), so a word of ``b`` costs a few operations on long integers."""
+    there are more than ``most``. What both begin and end with is set aside; the band is
+    widened from a few diagonals until it holds the alignment or reaches ``most``."""
     if len(a) < len(b):
         a, b = b, a
+    if len(a) - len(b) > most:
+        return None
+    same = np.flatnonzero(a[: len(b)] != b)
+    first = int(same[0]) if len(same) else len(b)
+    a, b = a[first:], b[first:]
+    same = np.flatnonzero(a[len(a) - len(b) :][::-1] != b[::-1])
+    last = int(same[0]) if len(same) else len(b)
+    a, b = a[: len(a) - last], b[: len(b) - last]
+    if not len(b):
+        return len(a)
+    band = max(16, len(a) - len(b))
+    while band < most:
+        if (found := _banded(a, b, band)) is not None:
+            return found
+        band *= 4
+    return _banded(a, b, most)
+
+
+def _banded(a: np.ndarray, b: np.ndarray, most: int) -> int | None:
+    """The edits between ``a`` and the shorter ``b`` if they are at most ``most``. The
+    alignment looks at ``most`` diagonals to each side of the main one; a column of that band
+    is held as two bit vectors of its differences down the column (+1 and -1), so a word of
+    ``b`` costs a few operations on long integers. Where the word stands in the band is made
+    from a list of its places, so that memory is that of the texts and of a few bands."""
     n, m = len(a), len(b)
     if n - m > most:
         return None
-    if most == 0 or m == 0:
-        return (0 if bool((a == b).all()) else None) if n == m else n
+    if most == 0:
+        return 0 if bool((a == b).all()) else None
     if most > m:  # what both begin with costs nothing; the band needs so many words
         a, b = (np.concatenate([np.zeros(most, np.uint64), x]) for x in (a, b))
         n, m = len(a), len(b)
     width = 2 * most + 1
     full, top = (1 << width) - 1, 1 << (width - 1)
-    places: dict[int, int] = {}
-    for i, w in enumerate(a.tolist()):
-        places[w] = places.get(w, 0) | 1 << i
+    _, both = np.unique(np.concatenate([a, b]), return_inverse=True)
+    order = np.argsort(both[:n], kind="stable")
+    held = both[:n][order]
+    words = both[n:]
+    begins, ends = np.searchsorted(held, words).tolist(), np.searchsorted(held, words, side="right").tolist()
+    bits = np.zeros(width, np.uint8)
     up, down = full ^ ((1 << most) - 1), 0
     last, cost = top >> 1, most
-    for j, w in enumerate(b.tolist()):
+    for j in range(m):
         at = j - most  # the row of the band's lowest bit
-        equal = places.get(w, 0)
-        equal = (equal >> at if at >= 0 else equal << -at) & full
+        equal = 0
+        begin, end = begins[j], ends[j]
+        if end - begin <= 4:
+            for i in order[begin:end].tolist():
+                if 0 <= i - at < width:
+                    equal |= 1 << (i - at)
+        else:
+            places = order[begin:end]
+            x, y = np.searchsorted(places, (at, at + width))
+            if y > x:
+                bits[places[x:y] - at] = 1
+                equal = int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little")
+                bits[places[x:y] - at] = 0
         diagonal = ((((equal & up) + up) ^ up) | equal | down) & full
         right_up, right_down = down | (full & ~(diagonal | up)), diagonal & up
         if j < n - most:  # the band's lowest diagonal is followed
@@ -229,8 +279,8 @@ def shared(few: list[np.ndarray], many: list[np.ndarray], columns: int = 4096) -
 
 def links_within(words: list[np.ndarray], roots: list[int], sides: list[int], keys: list[np.ndarray], key: int) -> list[tuple[int, int]]:
     """Index pairs of links that join what isn't yet of one root; if there are two
-    ``sides``, between them only; of pairs that share several ``keys`` (a row of them each,
-    by band), those whose first is ``key``. Links that would join nothing new are left out.
+    ``sides``, between them only; of pairs that share several ``keys``, those whose least is
+    ``key``. Links that would join nothing new are left out.
     Those of the commonest root aren't compared with each other."""
     up = {r: r for r in roots}
 
@@ -247,7 +297,7 @@ def links_within(words: list[np.ndarray], roots: list[int], sides: list[int], ke
         up[max(x, y)] = min(x, y)
         return True
 
-    root, side, held = np.array(roots), np.array(sides), np.array(keys)
+    root, side = np.array(roots), np.array(sides)
     names, counts = np.unique(root, return_counts=True)
     few = np.flatnonzero(root != names[counts.argmax()])
     if not len(few):
@@ -266,9 +316,9 @@ def links_within(words: list[np.ndarray], roots: list[int], sides: list[int], ke
         for row, i in enumerate(part.tolist()):
             able[row, few[: at + row + 1]] = False  # each two of the few once
             near = np.flatnonzero(able[row])
-            equal = held[near] == held[i]
-            near = near[held[i][equal.argmax(axis=1)] == key] if len(near) else near
-            found += [(-x, i, j) for x, j in zip(spare[row, near].tolist(), near.tolist(), strict=True)]
+            for x, j in zip(spare[row, near].tolist(), near.tolist(), strict=True):
+                if np.intersect1d(keys[i], keys[j])[0] == key:
+                    found.append((-x, i, j))
     return [(i, j) for _, i, j in sorted(found) if join(i, j)]
 
 
@@ -321,24 +371,54 @@ def linked_blocks(apart: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def signatures(documents: DataFrame) -> DataFrame:
-    """doc_id, digest of the text, its number of words and its band keys (null without
-    words), of rows with both."""
+    """doc_id, digest of the text, its number of words, its band keys (null without words)
+    and, of texts under ``EXACT`` words, its labelled runs of two words, of rows with both."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = Hashes()
         for batch in batches:
-            keys, sizes = [], []
+            keys, sizes, runs = [], [], []
             for text in batch.column("text"):
                 words = hashes(text.as_py().split())
                 sizes.append(len(words))
                 keys.append(band_keys(words) if len(words) else None)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("digest"), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
-                ["doc_id", "digest", "size", "keys"],
-            )
+                runs.append(pairs_of_words(words) if 0 < len(words) < EXACT else None)
+            columns = [pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(runs, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("digest"), *columns], ["doc_id", "digest", "size", "keys", "runs"])
+
+    return identified(documents).mapInArrow(run, "doc_id bigint, digest binary, size bigint, keys array<bigint>, runs array<bigint>")
+
+
+def pairs_of_words(words: np.ndarray) -> np.ndarray:
+    """Labelled runs of two words."""
+    return labelled(kmers(words, 2)).view(np.int64)
+
+
+def rarest(runs: DataFrame) -> DataFrame:
+    """node, keys from stored ``runs`` (node, size, runs): of the labelled runs of two words
+    of every node the rarest, so many that two nodes which ``alike`` takes share one.
+
+    They share (longer - 1 - 2 * edits) runs or more, that is (2 * SIMILAR - 1) * size - 1 of
+    either's size - 1; whoever leaves out fewer than that keeps one of them, if both order
+    the runs alike."""
+    each = runs.select("node", "size", F.explode("runs").alias("key"))
+    counts = store(each.groupBy("key").agg(F.count("*").alias("n")), "counts")
+    known = met_by_key(each, counts).groupBy("node").agg(F.first("size").alias("size"), F.array_sort(F.collect_list(F.struct("n", "key"))).alias("ordered"))
+    take = F.floor(2 * (1 - SIMILAR) * F.col("size") + 1e-9) + 1
+    return known.select("node", F.slice("ordered", F.lit(1), take.cast("int"))["key"].alias("keys"))
 
-    return identified(documents).mapInArrow(run, "doc_id bigint, digest binary, size bigint, keys array<bigint>")
 
+def runs_of(nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """Stored node, size and labelled runs of two words of ``nodes``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = Hashes()
+        for batch in batches:
+            found = [hashes(text.as_py().split()) for text in batch.column("text")]
+            columns = [pa.array([len(w) for w in found], pa.int64()), pa.array([pairs_of_words(w) for w in found], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), *columns], ["node", "size", "runs"])
+
+    return store(texts.join(nodes, "node", "left_semi").select("node", "text").mapInArrow(run, "node bigint, size bigint, runs array<bigint>"), "runs")
 
 def identified(documents: DataFrame, *more: Column) -> DataFrame:
     """doc_id, a strong digest of the text, text and ``more``, of rows with both."""
@@ -377,13 +457,13 @@ def components(edges: DataFrame) -> DataFrame:
     before = state(stars)
     while before[0]:
         both = stars.unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min(F.least("u", "v")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        lowest = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(lowest, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = store(both.groupBy("u").agg(F.min(F.least("u", "v")).alias("m")), "least")
+        large = store(both.where("v > u").join(least.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
+        lowest = store(large.groupBy("u").agg(F.min("v").alias("m")), "lowest")
+        small = large.join(lowest.hint("merge"), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         fresh = store(small.unionByName(lowest.select("u", F.col("m").alias("v"))).distinct(), "stars")
         after = state(fresh)
-        drop(stars)
+        drop(stars, least, large, lowest)
         stars = fresh
         if after == before:
             break
@@ -444,8 +524,14 @@ def classes_of(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Stored tables: doc_id and digest of every document with a text; and of every digest
     its class_id, and whether its text stands for the class (``leads``)."""
     found = store(signatures(documents), "signatures")
-    collapsed = found.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("size").alias("size"), F.first("keys").alias("keys"))
+    collapsed = found.groupBy("digest").agg(F.min("doc_id").alias("rep"), *(F.first(x).alias(x) for x in ("size", "keys", "runs")))
     copies = store(collapsed.withColumn("node", F.monotonically_increasing_id()), "copies")
+    short = store(copies.where("runs IS NOT NULL").select("node", "size", "runs"), "short")
+    exact = store(rarest(short), "exact")
+    keyed = copies.join(exact.select("node", F.col("keys").alias("more")), "node", "left")
+    keyed = store(keyed.select("node", "size", "digest", "rep", F.when(F.col("more").isNull(), F.col("keys")).otherwise(F.array_union("keys", "more")).alias("keys")), "keyed")
+    drop(copies, short, exact)
+    copies = keyed
     buckets = copies.select("node", "size", F.explode("keys").alias("key"))
     firsts = buckets.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first <> last")
     firsts = store(firsts.drop("last"), "firsts")
@@ -473,6 +559,19 @@ def classes_of(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
         drop(apart)
         apart = narrowed
 
+    # Members of large buckets that are still apart, bucketed anew by their rarest runs.
+    large = store(apart.where(F.col("n") > BLOCK).select("node").distinct(), "large")
+    if not large.isEmpty():
+        runs = runs_of(large, texts)
+        again = store(rarest(runs).join(runs.select("node", "size"), "node"), "again")
+        keyed = placed_in(again.select("node", "size", F.explode("keys").alias("key")), classes)
+        links = store(linked_blocks(keyed, texts.drop("keys").join(again.select("node", "keys"), "node")), "links")
+        classes = merged(classes, links)
+        narrowed = placed_in(apart.where(F.col("n") <= BLOCK), classes)
+        drop(runs, again, keyed, links, apart)
+        apart = narrowed
+    drop(large)
+
     # Members of one bucket that are still apart, all with all.
     links = store(linked_blocks(apart, texts), "links")
     drop(apart, texts)
@@ -480,12 +579,12 @@ def classes_of(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     drop(links)
 
     own = copies.select("digest", "node", "rep")
-    rooted = own.join(classes.unionByName(classes.select(F.col("root").alias("node"), "root").distinct()), "node")
-    named = rooted.groupBy("root").agg(F.min(F.struct("rep", "node")).alias("lead"))
-    linked = rooted.join(named, "root").select("node", F.col("lead.rep").alias("class_id"), (F.col("node") == F.col("lead.node")).alias("leads"))
+    rooted = store(own.join(classes.unionByName(classes.select(F.col("root").alias("node"), "root").distinct()), "node"), "rooted")
+    named = store(rooted.groupBy("root").agg(F.min(F.struct("rep", "node")).alias("lead")), "named")
+    linked = rooted.join(named.hint("merge"), "root").select("node", F.col("lead.rep").alias("class_id"), (F.col("node") == F.col("lead.node")).alias("leads"))
     result = own.join(linked, "node", "left").select("digest", F.coalesce("class_id", "rep").alias("class_id"), F.coalesce("leads", F.lit(True)).alias("leads"))
     result = store(result, "classes")
-    drop(classes, copies)
+    drop(classes, copies, rooted, named)
     return found, result
 
 

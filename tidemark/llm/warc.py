@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch_path
+from .common import drop, scratch_path, store
 
 LEAST = 1000
 CRLF = "\r\n"
@@ -61,22 +61,28 @@ def header(kind: Column, page: Column, url: Column, sha1: Column, length: Column
     return F.concat(lines, F.lit(CRLF * 2)).cast("binary")
 
 
+def with_keeper(narrow: DataFrame, keeper: DataFrame) -> DataFrame:
+    """``narrow`` rows with the keeper of their address, of a stored table."""
+    return narrow.join(keeper.hint("merge"), "address")
+
+
 def write_archive(pages: DataFrame, path: str) -> None:
     """Write ``pages`` as an archive under ``path`` (folders ``headers`` and ``payloads``).
 
-    The keeper of every address is settled on narrow rows, aggregated before the shuffle
-    and joined back; AQE splits that join where one address is hot, as its other side has
-    one row per address. Copies of one payload meet in their own task first, so at most
+    The keeper of every address is settled on narrow rows, aggregated before the shuffle,
+    stored and only then joined back by sorted sides: with nothing but shuffles below the
+    join, AQE splits it where one address is hot. Copies of one payload meet in their own task first, so at most
     one of them per task is shuffled.
     """
     rows = described(pages)
     narrow = rows.drop("payload")
-    keeper = narrow.groupBy("address").agg(F.max("page_id").alias("keeper"))
-    joined = narrow.join(keeper, "address")
+    keeper = store(narrow.groupBy("address").agg(F.max("page_id").alias("keeper")), "keepers")
+    joined = with_keeper(narrow, keeper)
     first = F.col("page_id").eqNullSafe(F.col("keeper"))
     kind = F.when((F.col("length") >= LEAST) & ~first, F.lit("revisit")).otherwise(F.lit("response"))
     head = header(kind, F.col("page_id"), F.col("url"), F.col("sha1"), F.col("length"), F.col("keeper"))
     joined.select("page_id", head.alias("header"), "address").write.option("compression", "zstd").parquet(f"{path}/headers")
+    drop(keeper)
     once = rows.groupBy("address").agg(F.first("payload").alias("payload"))
     once.write.option("compression", "zstd").parquet(f"{path}/payloads")
 

@@ -84,13 +84,6 @@ def test_hourly_distances_count_every_event_of_every_user(spark):
     assert [got[2][k] for k in ("euclidean", "manhattan", "cosine")] == pytest.approx([math.sqrt(23**2 + 23), 46, 1 - 1 / math.sqrt(24)])
 
 
-def test_smallest_values_are_limited_before_they_are_gathered(spark):
-    events = spark.createDataFrame([(1, float(i)) for i in range(100)] + [(2, 5.0), (2, None)], "user_id long, value double")
-    made = queries._smallest(events, 8)
-    assert {r["user_id"]: r["a"] for r in made.collect()} == {1: [float(i) for i in range(8)], 2: [5.0]}
-    assert "WindowGroupLimit" in made._jdf.queryExecution().toString()
-
-
 def test_validation_strict_and_quarantine(spark):
     rows = spark.createDataFrame([(1.0, 2.0, 0.5, 1.5, 10), (1.0, 0.5, 2.0, 1.5, 10)], "open double, high double, low double, close double, volume long")
     good, bad = bars.validated(rows)

@@ -6,8 +6,11 @@ modulo n. Every engine and every retry of a task draws alike.
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Callable, Iterator
 from statistics import NormalDist
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -85,11 +88,44 @@ def corrected(rows: DataFrame, iterations: int = 1000, level: float = 0.95, valu
 
 
 def progress(drawn: DataFrame, batch: int, level: float = 0.95) -> DataFrame:
-    """State after every ``batch`` iterations: mean and spread so far, interval from 30 on."""
-    w = Window.partitionBy("series_id").orderBy("iteration").rowsBetween(Window.unboundedPreceding, 0)
+    """State after every ``batch`` iterations: mean and spread so far, interval from 30 on.
+    A draw counts for its own batch and those after it; nothing is computed in between."""
     tail = (1 - level) / 2
-    rows = drawn.select(
-        "series_id", "iteration", F.avg("b").over(w).alias("mean"), F.stddev_pop("b").over(w).alias("std"),
-        F.when(F.col("iteration") >= 30, F.percentile("b", F.lit(tail)).over(w)).alias("lower"), F.when(F.col("iteration") >= 30, F.percentile("b", F.lit(1 - tail)).over(w)).alias("upper"),
-    )
-    return rows.where(F.col("iteration") % batch == 0)
+    last = F.max("iteration").over(Window.partitionBy("series_id"))
+    own = F.ceil(F.col("iteration") / batch) * batch
+    numbered = drawn.withColumn("_last", F.floor(last / batch) * batch).withColumn("_own", own).where("_own <= _last")
+    reached = numbered.withColumn("_at", F.explode(F.sequence("_own", "_last", F.lit(batch).cast("bigint"))))
+    enough = F.col("_at") >= 30
+    return (
+        reached.groupBy("series_id", "_at")
+        .agg(F.avg("b").alias("mean"), F.stddev_pop("b").alias("std"), F.percentile("b", F.lit(tail)).alias("_low"), F.percentile("b", F.lit(1 - tail)).alias("_high"))
+        .select("series_id", F.col("_at").alias("iteration"), "mean", "std", F.when(enough, F.col("_low")).alias("lower"), F.when(enough, F.col("_high")).alias("upper"))
+    )
+
+
+def resampled(rows: DataFrame, statistic: Callable[[np.ndarray], float], iterations: int = 1000, value: str = "ret", block: int = 50) -> DataFrame:
+    """(series_id, iteration, b) as ``resamples``, of any function from an array of values to
+    a number. Draws are a function of iteration and position, so a resample is made where
+    it is used: a task gets a series' values and ``block`` iterations, and neither draws nor
+    resamples are joined or shuffled. A statistic that fails or isn't finite gives null."""
+    known = rows.where(F.col(value).isNotNull()).groupBy("series_id").agg(F.array_sort(F.collect_list(F.struct("t", F.col(value).cast("double").alias("x"))))["x"].alias("values"))
+    blocks = known.withColumn("first", F.explode(F.sequence(F.lit(1), F.lit(iterations), F.lit(block))))
+    kind = rows.schema["series_id"].dataType.simpleString()
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for series, values, first in part.itertuples(index=False):
+                x = np.asarray(values, float)
+                numbers = range(first, min(first + block, iterations + 1))
+                found = []
+                for i in numbers:
+                    picks = np.fromiter((int(hashlib.md5(b"%d-%d" % (i, p)).hexdigest()[:8], 16) for p in range(len(x))), np.int64, len(x)) % len(x)
+                    try:
+                        b = float(statistic(x[picks]))
+                    except (ArithmeticError, ValueError):
+                        b = None
+                    found.append(b if b is not None and np.isfinite(b) else None)
+                yield pd.DataFrame({"series_id": [series] * len(found), "iteration": list(numbers), "b": pd.Series(found, dtype="float64")})
+
+    spread = blocks.repartition("series_id", "first")
+    return spread.mapInPandas(run, f"series_id {kind}, iteration int, b double")

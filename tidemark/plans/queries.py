@@ -72,15 +72,19 @@ register(
     SELECT series_id, signal, time, time + 22 AS next_valid FROM kept WHERE time IS NOT NULL""",
     "series_id:s signal:s time:t next_valid:t",
 )
-register("flt12_gaps", on_weekly(lambda b: bars.gaps(b.where("t % 5 <> 3"), 7)), "weekly", "SELECT * FROM (SELECT series_id, lag(time) OVER w AS from_time, time AS to_time, date_diff('day', lag(time) OVER w, time) AS days FROM weekly WHERE t % 5 <> 3 WINDOW w AS (PARTITION BY series_id ORDER BY time)) WHERE days > 7", "series_id:s from_time:t to_time:t days:i")
-#: As flt12_gaps, which makes gaps by leaving out bars, but the gaps of the tables themselves.
-register("flt12_gaps_whole", on_weekly(lambda b: bars.gaps(b, 7)), "weekly", "SELECT * FROM (SELECT series_id, lag(time) OVER w AS from_time, time AS to_time, date_diff('day', lag(time) OVER w, time) AS days FROM weekly WINDOW w AS (PARTITION BY series_id ORDER BY time)) WHERE days > 7", "series_id:s from_time:t to_time:t days:i")
 register(
     "flt12_filled", on_daily(bars.filled), "daily",
     """SELECT series_id, time, last_value(close IGNORE NULLS) OVER (PARTITION BY series_id ORDER BY time) AS close, coalesce(volume, 0) AS volume, close IS NULL AS is_filled
     FROM (SELECT series_id, CAST(unnest(range(min(time), max(time) + 1, INTERVAL 1 DAY)) AS DATE) AS time FROM bars GROUP BY 1) c LEFT JOIN (SELECT series_id, time, close, volume FROM bars) b USING (series_id, time)""",
     "series_id:s time:t close:d volume:i is_filled:b",
 )
+def _orders_of(s: SparkSession, d: str) -> DataFrame:
+    """Days on which a customer ordered: series with gaps."""
+    return table(s, d, "orders").select(F.col("o_custkey").alias("series_id"), F.to_date("o_orderdate").alias("time")).distinct()
+
+
+register("flt12_gaps", lambda s, d: bars.gaps(_orders_of(s, d), 180), "",
+    "SELECT * FROM (SELECT series_id, lag(time) OVER w AS from_time, time AS to_time, date_diff('day', lag(time) OVER w, time) AS days FROM (SELECT DISTINCT o_custkey AS series_id, CAST(o_orderdate AS DATE) AS time FROM orders) WINDOW w AS (PARTITION BY series_id ORDER BY time)) WHERE days > 180", "series_id:i from_time:t to_time:t days:i")
 register("flt13_deduplicated", lambda s, d: bars.deduplicated(table(s, d, "lineitem").select("l_orderkey", "l_linenumber", F.struct("l_shipdate", "l_partkey", "l_suppkey", "l_extendedprice").alias("v")), ["l_orderkey", "l_linenumber"], "v").select("l_orderkey", "l_linenumber", "v.l_partkey", "v.l_extendedprice"),
     "", "SELECT l_orderkey, l_linenumber, l_partkey, l_extendedprice FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_shipdate DESC, l_partkey DESC, l_suppkey DESC, l_extendedprice DESC) = 1", "l_orderkey:i l_linenumber:i l_partkey:i l_extendedprice:d")
 
@@ -126,10 +130,8 @@ register("agg10_kendall", on_weekly(lambda b: fte.kendall(b, "close", "volume"))
     FROM weekly a JOIN weekly b ON a.series_id = b.series_id AND a.t < b.t GROUP BY 1""", "series_id:s tau:d")
 register("agg13_quantiles", on_daily(lambda b: b.groupBy("series_id").agg(F.percentile("close", F.lit(0.25)).alias("q1"), F.median("close").alias("q2"), F.percentile("close", F.lit(0.75)).alias("q3"), F.skewness("close").alias("skew"))), "daily",
     "SELECT series_id, quantile_cont(close, 0.25) AS q1, quantile_cont(close, 0.5) AS q2, quantile_cont(close, 0.75) AS q3, avg(z * z * z) AS skew FROM (SELECT *, (close - avg(close) OVER v) / stddev_pop(close) OVER v AS z FROM bars WINDOW v AS (PARTITION BY series_id)) GROUP BY 1", "series_id:s q1:d q2:d q3:d skew:d")
-register("agg15_compounded", on_weekly(lambda b: windows.returns(b.where("t < 60")).groupBy("series_id").agg((F.product(1 + F.col("ret") * 0.1) - 1).alias("total"), (F.avg("logret") / F.stddev_pop("logret") * F.sqrt(F.lit(252.0))).alias("sharpe"))), "weekly",
-    "SELECT series_id, product(1 + (close / p - 1) * 0.1) - 1 AS total, avg(ln(close / p)) / stddev_pop(ln(close / p)) * sqrt(252.0) AS sharpe FROM (SELECT *, lag(close) OVER (PARTITION BY series_id ORDER BY t) AS p FROM weekly WHERE t < 60) WHERE p IS NOT NULL GROUP BY 1", "series_id:s total:d sharpe:d")
-#: As agg15, which takes the first 60 bars, but over all bars; a hundredth of each return keeps the product within doubles.
-register("agg15_compounded_whole", on_weekly(lambda b: windows.compounded(b, 0.01)), "weekly",
+#: A hundredth of each return keeps the product within doubles.
+register("agg15_compounded", on_weekly(lambda b: windows.compounded(b, 0.01)), "weekly",
     "SELECT series_id, exp(sum(ln(1 + (close / nullif(p, 0) - 1) * 0.01))) - 1 AS total, avg(ln(close / nullif(p, 0))) / nullif(stddev_pop(ln(close / nullif(p, 0))), 0) * sqrt(252.0) AS sharpe FROM (SELECT *, lag(close) OVER (PARTITION BY series_id ORDER BY t) AS p FROM weekly) GROUP BY 1", "series_id:s total:d sharpe:d")
 register("agg20_completeness", on_daily(lambda b: bars.completeness(b, 7)), "daily", "SELECT series_id, least(1.0, count(*) / (7 * 252.0)) AS completeness FROM bars GROUP BY 1", "series_id:s completeness:d")
 register("agg26_rollup", lambda s, d: table(s, d, "lineitem").rollup("l_returnflag", "l_linestatus").agg(F.sum("l_quantity").alias("qty"), F.count("*").alias("n"), F.grouping_id().alias("level")), "",
@@ -214,7 +216,7 @@ register("cyc10_turns", on_daily(lambda b: cycles.turns(_line(b)).select("series
 register("cyc05_reflection", on_daily(lambda b: cycles.reflection(detrend.preprocessed(b))), "daily flat", f"SELECT series_id, greatest(-0.99, least(0.99, -2 * sum(x * p) / sum(CASE WHEN p IS NOT NULL THEN x * x + p * p END))) AS k1 FROM (SELECT *, lag(x) OVER w AS p FROM flat {W}) GROUP BY 1", "series_id:s k1:d")
 register("cyc05_entropy_spectrum", on_weekly(lambda b: cycles.entropy_spectrum(detrend.preprocessed(b))))
 register("cyc07_analysis", on_weekly(lambda b: cycles.analysis(detrend.preprocessed(b).select("series_id", "t", "x"), 5, 50).select("series_id", "n", "energy", "entropy", "message", "valid", F.size("cycles").alias("n_cycles"))))
-register("bst07_cycle_significance", on_weekly(lambda b: cycles.significance(detrend.preprocessed(b), 13, 50)))
+register("bst07_cycle_significance", on_weekly(lambda b: cycles.significance(detrend.preprocessed(b), 13)))
 
 # -- Seasonality --------------------------------------------------------------------------
 ANNUAL = """SELECT series_id, day, avg(x) AS value, count(DISTINCT year) AS years, least(1, greatest(0, 1 - stddev_pop(x) / nullif(avg(x), 0))) AS confidence FROM (SELECT *, (d - min(d) OVER v) / nullif(max(d) OVER v - min(d) OVER v, 0) AS x FROM (
@@ -280,20 +282,13 @@ register("fte03_broken", on_daily(lambda b: fte.broken(windows.rolling_correlati
     g AS (SELECT *, sum(CASE WHEN r <= -0.1 THEN 0 ELSE 1 END) OVER (PARTITION BY series_id ORDER BY t) AS i FROM r),
     k AS (SELECT series_id, i, sum(CASE WHEN r <= -0.1 THEN 1 ELSE 0 END) AS n FROM g GROUP BY 1, 2)
     SELECT series_id, bool_or(n >= 3) AS is_broken, max(n) AS longest FROM k GROUP BY 1""", "series_id:s is_broken:b longest:i")
-SPLITS = fte.splits(2000, 5, 63)
-WALK = f"""WITH {PREDICTED}, tests AS (SELECT pred.*, step, train_end, test_end FROM pred JOIN (VALUES {", ".join(map(str, SPLITS))}) s(step, train_end, test_end) ON t >= train_end AND t < test_end), {MOVES}
-SELECT series_id, step, train_end, test_end, count(*) AS n, corr(close, predicted) AS pearson, coalesce(count(*) FILTER (a <> 0 AND p <> 0 AND a = p) / nullif(count(*) FILTER (a <> 0 AND p <> 0), 0), 0) AS direction_accuracy FROM moves GROUP BY 1, 2, 3, 4"""
-register("fte04_walk_forward", on_daily(lambda b: fte.walk_forward(_predicted(b), 2000)), "daily", WALK, "series_id:s step:i train_end:i test_end:i n:i pearson:d direction_accuracy:d")
-register("fte05_aggregated", on_daily(lambda b: fte.aggregated(fte.walk_forward(_predicted(b), 2000))), "daily",
-    f"SELECT count(*) AS n, count(*) FILTER (pearson >= 0.08) AS valid_count, avg(pearson) AS mean_r, stddev_pop(pearson) AS std_r, min(pearson) AS min_r, max(pearson) AS max_r, avg(CASE WHEN pearson >= 0.08 THEN 1.0 ELSE 0.0 END) AS valid_ratio, avg(direction_accuracy) AS direction_accuracy FROM ({WALK})", "n:i valid_count:i mean_r:d std_r:d min_r:d max_r:d valid_ratio:d direction_accuracy:d")
-#: As fte04 and fte05, which walk over the first 2,000 rows, but over the whole of each series.
-WALK_WHOLE = f"""WITH {PREDICTED}, sized AS (SELECT series_id, count(*) AS n, greatest(100, CAST(floor(0.3::DOUBLE * count(*)) AS BIGINT)) AS first FROM bars GROUP BY 1),
+WALK = f"""WITH {PREDICTED}, sized AS (SELECT series_id, count(*) AS n, greatest(100, CAST(floor(0.3::DOUBLE * count(*)) AS BIGINT)) AS first FROM bars GROUP BY 1),
 ended AS (SELECT series_id, n, step, first + CAST(floor((n - first) * (step + 1) / 5::DOUBLE) AS BIGINT) AS train_end FROM sized, (SELECT unnest(range(5)) AS step)),
 tests AS (SELECT pred.*, step, train_end, train_end + 126 AS test_end FROM pred JOIN ended USING (series_id) WHERE train_end + 126 < n AND t >= train_end AND t < train_end + 126), {MOVES}
 SELECT series_id, step, train_end, test_end, count(*) AS n, corr(close, predicted) AS pearson, coalesce(count(*) FILTER (a <> 0 AND p <> 0 AND a = p) / nullif(count(*) FILTER (a <> 0 AND p <> 0), 0), 0) AS direction_accuracy FROM moves GROUP BY 1, 2, 3, 4"""
-register("fte04_walk_forward_whole", on_daily(lambda b: fte.walk_forward(_predicted(b))), "daily", WALK_WHOLE, "series_id:s step:i train_end:i test_end:i n:i pearson:d direction_accuracy:d")
-register("fte05_aggregated_whole", on_daily(lambda b: fte.aggregated(fte.walk_forward(_predicted(b)))), "daily",
-    f"SELECT count(*) AS n, count(*) FILTER (pearson >= 0.08) AS valid_count, avg(pearson) AS mean_r, stddev_pop(pearson) AS std_r, min(pearson) AS min_r, max(pearson) AS max_r, avg(CASE WHEN pearson >= 0.08 THEN 1.0 ELSE 0.0 END) AS valid_ratio, avg(direction_accuracy) AS direction_accuracy FROM ({WALK_WHOLE})", "n:i valid_count:i mean_r:d std_r:d min_r:d max_r:d valid_ratio:d direction_accuracy:d")
+register("fte04_walk_forward", on_daily(lambda b: fte.walk_forward(_predicted(b))), "daily", WALK, "series_id:s step:i train_end:i test_end:i n:i pearson:d direction_accuracy:d")
+register("fte05_aggregated", on_daily(lambda b: fte.aggregated(fte.walk_forward(_predicted(b)))), "daily",
+    f"SELECT count(*) AS n, count(*) FILTER (pearson >= 0.08) AS valid_count, avg(pearson) AS mean_r, stddev_pop(pearson) AS std_r, min(pearson) AS min_r, max(pearson) AS max_r, avg(CASE WHEN pearson >= 0.08 THEN 1.0 ELSE 0.0 END) AS valid_ratio, avg(direction_accuracy) AS direction_accuracy FROM ({WALK})", "n:i valid_count:i mean_r:d std_r:d min_r:d max_r:d valid_ratio:d direction_accuracy:d")
 
 
 def _drift(train: np.ndarray, n: int) -> np.ndarray:
@@ -328,15 +323,15 @@ register("phe02_euclidean", on_weekly(lambda b: analogies.euclidean(_history(b),
     SELECT s.series_id, s.start, sqrt(sum((w.close - g.y) * (w.close - g.y))) AS distance, avg(abs(w.close - g.y)) AS mean_gap FROM s JOIN weekly w ON w.series_id = s.series_id AND w.t >= s.start AND w.t < s.start + 26 JOIN g ON g.k = w.t - s.start GROUP BY 1, 2""", "series_id:s start:i distance:d mean_gap:d")
 DRAWS = """known AS (SELECT series_id, close / lag(close) OVER w - 1 AS x, t - 1 AS p FROM weekly WINDOW w AS (PARTITION BY series_id ORDER BY t) QUALIFY t > 0),
 sizes AS (SELECT series_id, count(*) AS n, avg(x) AS estimate FROM known GROUP BY 1),
-draws AS (SELECT k.series_id, i, CAST('0x' || substr(md5(i || '-' || p), 1, 8) AS BIGINT) % n AS p FROM known k JOIN sizes USING (series_id), (SELECT unnest(range(1, 101)) AS i)),
+draws AS (SELECT k.series_id, i, CAST('0x' || substr(md5(i || '-' || p), 1, 8) AS BIGINT) % n AS p FROM known k JOIN sizes USING (series_id), (SELECT unnest(range(1, 1001)) AS i)),
 boot AS (SELECT d.series_id, i AS iteration, avg(x) AS b FROM draws d JOIN known k ON k.series_id = d.series_id AND k.p = d.p GROUP BY 1, 2)"""
-register("bst01_interval", on_weekly(lambda b: bootstrap.interval(windows.returns(b), 100)), "weekly",
+register("bst01_interval", on_weekly(lambda b: bootstrap.interval(windows.returns(b), 1000)), "weekly",
     f"WITH {DRAWS} SELECT series_id, estimate, quantile_cont(b, 0.025) AS lower, quantile_cont(b, 0.975) AS upper, stddev_pop(b) AS std_error, avg(CASE WHEN abs(b - estimate) >= abs(estimate) THEN 1.0 ELSE 0.0 END) AS p_value FROM boot JOIN sizes USING (series_id) GROUP BY 1, 2", "series_id:s estimate:d lower:d upper:d std_error:d p_value:d")
-register("str01_bootstrap_progress", on_weekly(lambda b: bootstrap.progress(bootstrap.resamples(windows.returns(b), 100), 20)), "weekly",
+register("str01_bootstrap_progress", on_weekly(lambda b: bootstrap.progress(bootstrap.resamples(windows.returns(b), 1000), 100)), "weekly",
     f"""WITH {DRAWS} SELECT series_id, iteration, mean, std, lower, upper FROM (SELECT *, avg(b) OVER w AS mean, stddev_pop(b) OVER w AS std, CASE WHEN iteration >= 30 THEN quantile_cont(b, 0.025) OVER w END AS lower, CASE WHEN iteration >= 30 THEN quantile_cont(b, 0.975) OVER w END AS upper
-    FROM boot WINDOW w AS (PARTITION BY series_id ORDER BY iteration ROWS UNBOUNDED PRECEDING)) WHERE iteration % 20 = 0""", "series_id:s iteration:i mean:d std:d lower:d upper:d")
-register("bst02_corrected", on_weekly(lambda b: bootstrap.corrected(windows.returns(b), 100)))
-register("bst04_metrics", on_weekly(lambda b: bootstrap.interval(windows.returns(b).withColumn("ret", F.col("ret") * 0.01), 50, name="total_return")))
+    FROM boot WINDOW w AS (PARTITION BY series_id ORDER BY iteration ROWS UNBOUNDED PRECEDING)) WHERE iteration % 100 = 0""", "series_id:s iteration:i mean:d std:d lower:d upper:d")
+register("bst02_corrected", on_weekly(lambda b: bootstrap.corrected(windows.returns(b), 1000)))
+register("bst04_metrics", on_weekly(lambda b: bootstrap.interval(windows.returns(b).withColumn("ret", F.col("ret") * 0.01), 1000, name="total_return")))
 register("chw01_chow", on_daily(structural.chow), "daily",
     """WITH s AS (SELECT *, t < floor(count(*) OVER (PARTITION BY series_id) * 0.5) AS l FROM bars),
     f AS (SELECT series_id, count(*) AS n, regr_syy(close, t) - regr_sxy(close, t) * regr_sxy(close, t) / regr_sxx(close, t) AS a,
@@ -368,8 +363,8 @@ def _signals(b: DataFrame) -> DataFrame:
 
 
 SIGNALS = f"sig AS (SELECT * FROM (SELECT series_id, time, t, 0.9 AS s, (close < lag(close) OVER w AND close < lead(close) OVER w) OR (close > lag(close) OVER w AND close > lead(close) OVER w) AS k FROM bars {W}) WHERE k)"
-register("sig02_decay", on_daily(lambda b: positioning.aged(_signals(b), F.lit("2001-12-01").cast("date")).where("age_days < 60").select("series_id", "t", "age_days", "strength", "is_expired")), "daily",
-    f"WITH {SIGNALS} SELECT series_id, t, date_diff('day', time, DATE '2001-12-01') AS age_days, s * pow(0.5, date_diff('day', time, DATE '2001-12-01') / 14.0) AS strength, date_diff('day', time, DATE '2001-12-01') > 42 AS is_expired FROM sig WHERE date_diff('day', time, DATE '2001-12-01') < 60", "series_id:s t:i age_days:i strength:d is_expired:b")
+register("sig02_decay", on_daily(lambda b: positioning.aged(_signals(b), F.lit("2001-12-01").cast("date")).select("series_id", "t", "age_days", "strength", "is_expired")), "daily",
+    f"WITH {SIGNALS} SELECT series_id, t, date_diff('day', time, DATE '2001-12-01') AS age_days, s * pow(0.5, date_diff('day', time, DATE '2001-12-01') / 14.0) AS strength, date_diff('day', time, DATE '2001-12-01') > 42 AS is_expired FROM sig", "series_id:s t:i age_days:i strength:d is_expired:b")
 
 
 def _moved(s: SparkSession, d: str) -> DataFrame:
@@ -422,31 +417,33 @@ register("lin01_source_hash", lambda s, d: backtest.source_hash(table(s, d, "ord
     SELECT o_orderstatus, sha256(o_orderkey || '|' || coalesce(o_orderpriority, '\\N')) AS h FROM orders) GROUP BY 1, 2) GROUP BY 1""", "o_orderstatus:s hash:s row_count:i")
 
 
-def _steps(s: SparkSession) -> DataFrame:
-    return s.createDataFrame([(i, n, x, "1", "{}") for i in (1, 2) for n, x in enumerate(("detrend", "normalize", "validate"), 1)], "signal_id long, step long, name string, version string, parameters string")
+def _steps(s: SparkSession, d: str) -> DataFrame:
+    """Three recorded steps of every order's signal."""
+    names = F.array(*[F.struct(F.lit(i).cast("long").alias("step"), F.lit(x).alias("name")) for i, x in enumerate(("detrend", "normalize", "validate"), 1)])
+    return table(s, d, "orders").select(F.col("o_orderkey").alias("signal_id"), F.explode(names).alias("s"), F.col("o_orderstatus").alias("version"), F.col("o_orderpriority").alias("parameters")).select("signal_id", "s.step", "s.name", "version", "parameters")
 
 
-def _chain(s: SparkSession) -> DataFrame:
-    return backtest.chained(_steps(s), "source")
+def _chain(s: SparkSession, d: str) -> DataFrame:
+    return backtest.chained(_steps(s, d), "source")
 
 
-def _forged(s: SparkSession) -> DataFrame:
-    """A chain whose second signal has its first output altered, and the next input with it."""
-    forged = F.when((F.col("signal_id") == 2) & (F.col("step") == 1), "x").otherwise(F.col("output_hash"))
-    return _chain(s).withColumns({"output_hash": forged, "input_hash": F.when((F.col("signal_id") == 2) & (F.col("step") == 2), "x").otherwise(F.col("input_hash"))})
+def _forged(s: SparkSession, d: str) -> DataFrame:
+    """Chains of which every seventh has its first output altered, and the next input with it."""
+    hit = F.col("signal_id") % 7 == 2
+    forged = F.when(hit & (F.col("step") == 1), "x").otherwise(F.col("output_hash"))
+    return _chain(s, d).withColumns({"output_hash": forged, "input_hash": F.when(hit & (F.col("step") == 2), "x").otherwise(F.col("input_hash"))})
 
 
-register("lin01_chain", lambda s, d: _chain(s), "",
-    """WITH RECURSIVE c AS (SELECT unnest([1, 2]) AS signal_id, 0 AS step, '' AS name, '' AS input_hash, 'source' AS output_hash
-    UNION ALL SELECT signal_id, step + 1, ['detrend', 'normalize', 'validate'][step + 1], output_hash, sha256(['detrend', 'normalize', 'validate'][step + 1] || '|1|{}|' || output_hash) FROM c WHERE step < 3)
-    SELECT * FROM c WHERE step > 0""", "signal_id:i step:i name:s input_hash:s output_hash:s")
-register("lin02_verified", lambda s, d: backtest.verified(_chain(s).withColumn("input_hash", F.when((F.col("signal_id") == 2) & (F.col("step") == 3), "x").otherwise(F.col("input_hash")))), "",
-    "SELECT * FROM (VALUES (1, true, 3, NULL), (2, false, 3, 'LN003')) v(signal_id, is_valid, steps, error)", "signal_id:i is_valid:b steps:i error:s")
-register("lin02_recomputed", lambda s, d: backtest.recomputed(_forged(s), _steps(s), "source"), "",
-    """WITH RECURSIVE c AS (SELECT unnest([1, 2]) AS signal_id, 0 AS step, '' AS name, '' AS input_hash, 'source' AS output_hash
-    UNION ALL SELECT signal_id, step + 1, ['detrend', 'normalize', 'validate'][step + 1], output_hash, sha256(['detrend', 'normalize', 'validate'][step + 1] || '|1|{}|' || output_hash) FROM c WHERE step < 3),
-    f AS (SELECT signal_id, step, name, CASE WHEN signal_id = 2 AND step = 2 THEN 'x' ELSE input_hash END AS input_hash, CASE WHEN signal_id = 2 AND step = 1 THEN 'x' ELSE output_hash END AS output_hash FROM c WHERE step > 0),
-    k AS (SELECT *, input_hash = coalesce(lag(output_hash) OVER (PARTITION BY signal_id ORDER BY step), 'source') AND output_hash = sha256(name || '|1|{}|' || input_hash) AS ok FROM f)
+CHAIN = """c1 AS (SELECT o_orderkey AS signal_id, o_orderstatus AS v, o_orderpriority AS p, 1 AS step, 'detrend' AS name, 'source' AS input_hash, sha256('detrend|' || o_orderstatus || '|' || o_orderpriority || '|source') AS output_hash FROM orders),
+c2 AS (SELECT signal_id, v, p, 2 AS step, 'normalize' AS name, output_hash AS input_hash, sha256('normalize|' || v || '|' || p || '|' || output_hash) AS output_hash FROM c1),
+c3 AS (SELECT signal_id, v, p, 3 AS step, 'validate' AS name, output_hash AS input_hash, sha256('validate|' || v || '|' || p || '|' || output_hash) AS output_hash FROM c2),
+c AS (SELECT * FROM c1 UNION ALL SELECT * FROM c2 UNION ALL SELECT * FROM c3)"""
+register("lin01_chain", _chain, "", f"WITH {CHAIN} SELECT * FROM c", "signal_id:i step:i name:s input_hash:s output_hash:s")
+register("lin02_verified", lambda s, d: backtest.verified(_chain(s, d).withColumn("input_hash", F.when((F.col("signal_id") % 7 == 2) & (F.col("step") == 3), "x").otherwise(F.col("input_hash")))), "",
+    "SELECT o_orderkey AS signal_id, o_orderkey % 7 <> 2 AS is_valid, 3 AS steps, CASE WHEN o_orderkey % 7 = 2 THEN 'LN003' END AS error FROM orders", "signal_id:i is_valid:b steps:i error:s")
+register("lin02_recomputed", lambda s, d: backtest.recomputed(_forged(s, d), _steps(s, d), "source"), "",
+    f"""WITH {CHAIN}, f AS (SELECT signal_id, v, p, step, name, CASE WHEN signal_id % 7 = 2 AND step = 2 THEN 'x' ELSE input_hash END AS input_hash, CASE WHEN signal_id % 7 = 2 AND step = 1 THEN 'x' ELSE output_hash END AS output_hash FROM c),
+    k AS (SELECT *, input_hash = coalesce(lag(output_hash) OVER (PARTITION BY signal_id ORDER BY step), 'source') AND output_hash = sha256(name || '|' || v || '|' || p || '|' || input_hash) AS ok FROM f)
     SELECT signal_id, bool_and(ok) AS is_valid, count(*) AS steps, CASE WHEN NOT bool_and(ok) THEN 'LN003' END AS error FROM k GROUP BY 1""", "signal_id:i is_valid:b steps:i error:s")
 register("jn08_tail_aligned", on_weekly(lambda b: fte.tail_aligned(_predicted(b).where("predicted IS NOT NULL"), b)), "weekly",
     """SELECT f.series_id, f.back, f.predicted, a.close FROM (SELECT series_id, predicted, row_number() OVER (PARTITION BY series_id ORDER BY t DESC) - 1 AS back FROM (
@@ -470,12 +467,6 @@ register("str09_sessions", lambda s, d: views.sessions(table(s, d, "events"), "u
     SELECT *, CASE WHEN ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 6 HOUR THEN 1 ELSE 0 END AS f FROM events)) GROUP BY user_id, g""", "key:i started:t ended:t n:i")
 register("set01_set_operations", lambda s, d: table(s, d, "customer").select("c_nationkey").intersect(table(s, d, "supplier").select("s_nationkey")).union(table(s, d, "nation").select("n_nationkey").exceptAll(table(s, d, "supplier").select("s_nationkey").distinct())), "",
     "(SELECT c_nationkey FROM customer INTERSECT SELECT s_nationkey FROM supplier) UNION ALL (SELECT n_nationkey FROM nation EXCEPT SELECT s_nationkey FROM supplier)", "c_nationkey:i")
-def _smallest(events: DataFrame, n: int) -> DataFrame:
-    """The ``n`` smallest values of each user in order; no row holds more."""
-    ranked = events.where("value IS NOT NULL").withColumn("_n", F.row_number().over(Window.partitionBy("user_id").orderBy("value"))).where(F.col("_n") <= n)
-    return ranked.groupBy("user_id").agg(F.sort_array(F.collect_list("value")).alias("a"))
-
-
 def hourly_distances(events: DataFrame) -> DataFrame:
     """Per user, over all events: distances of the sums of values by hour of day (0 in an
     hour without events) from the same total spread evenly over the day."""
@@ -485,11 +476,7 @@ def hourly_distances(events: DataFrame) -> DataFrame:
     return users.select("user_id", *[distance(n, F.col("a"), even).alias(n) for n in ("euclidean", "manhattan", "cosine")])
 
 
-register("sc15_distances", lambda s, d: _smallest(table(s, d, "events"), 8).where(F.size("a") == 8).select("user_id", *[distance(n, F.col("a"), F.array([F.lit(float(i)) for i in range(8)])).alias(n) for n in ("euclidean", "manhattan", "cosine")]), "",
-    """SELECT user_id, list_distance(a, l) AS euclidean, list_sum(list_transform(range(8), lambda i: abs(a[i + 1] - l[i + 1]))) AS manhattan, 1 - list_cosine_similarity(a, l) AS cosine FROM (
-    SELECT user_id, list_sort(list(value))[1:8] AS a, [0.0, 1, 2, 3, 4, 5, 6, 7]::DOUBLE[] AS l FROM events GROUP BY 1) WHERE len(a) = 8""", "user_id:i euclidean:d manhattan:d cosine:d")
-#: As sc15_distances, which compares the 8 smallest values of users with 8 events, but of all events of every user.
-register("sc15_hourly_distances", lambda s, d: hourly_distances(table(s, d, "events")), "",
+register("sc15_distances", lambda s, d: hourly_distances(table(s, d, "events")), "",
     """SELECT user_id, list_distance(a, l) AS euclidean, list_sum(list_transform(range(24), lambda i: abs(a[i + 1] - l[i + 1]))) AS manhattan, 1 - list_cosine_similarity(a, l) AS cosine FROM (
     SELECT user_id, list(x ORDER BY h) AS a, list(e) AS l FROM (
       SELECT user_id, h, coalesce(sum(value) FILTER (hour(ts) = h), 0) AS x, coalesce(sum(value), 0) / 24 AS e FROM events, (SELECT unnest(range(24)) AS h) GROUP BY 1, 2) GROUP BY 1)""", "user_id:i euclidean:d manhattan:d cosine:d")
@@ -547,7 +534,8 @@ register("src13_changes", _changed, "",
     SELECT n_nationkey, n_name, n_regionkey FROM nation UNION ALL SELECT n_nationkey + 100, lower(n_name), n_regionkey FROM nation WHERE n_nationkey < 3) WHERE n_regionkey <> 2""", "n_nationkey:i n_name:s n_regionkey:i")
 register("src17_renormalized", on_daily(lambda b: bars.renormalized(b.withColumn("normalized", F.col("low")), b.where("dayofweek(time) = 2").withColumn("normalized", F.col("high"))).select("series_id", "t", "normalized")), "daily",
     "SELECT series_id, t, CASE WHEN dayofweek(time) = 1 THEN high ELSE low END AS normalized FROM bars", "series_id:s t:i normalized:d")
-register("src21_exported", lambda s, d: backtest.exported(_chain(s)))
+register("src21_exported", lambda s, d: backtest.exported(_chain(s, d)), "",
+    f"""WITH {CHAIN} SELECT signal_id, '{{"signal_id":' || signal_id || ',"steps":[' || string_agg('{{"step":' || step || ',"name":"' || name || '","input_hash":"' || input_hash || '","output_hash":"' || output_hash || '"}}', ',' ORDER BY step) || ']}}' AS json FROM c GROUP BY 1""", "signal_id:i json:s")
 register("jn02_recent", lambda s, d: positioning.recent(
         table(s, d, "customer").select(F.col("c_custkey").alias("series_id"), F.col("c_name").alias("symbol")),
         table(s, d, "orders").select(F.col("o_custkey").alias("series_id"), F.col("o_orderdate").alias("time"), F.col("o_orderstatus").alias("direction"), F.col("o_totalprice").alias("strength")),
@@ -668,3 +656,5 @@ register("cyc11_projected", on_daily(lambda b: cycles.projected(cycles.fourier(d
     SELECT series_id, t, y / max(abs(y)) OVER (PARTITION BY series_id) AS value, sign(dy) AS direction, CASE WHEN up THEN 'BUY' WHEN down THEN 'SELL' ELSE 'NONE' END AS resonance, time FROM l""", "series_id:s t:i value:d direction:i resonance:s time:t")
 register("agg18_validated", on_daily(lambda b: fte.aggregated(fte.validate(_predicted(b)))))
 register("udf02_walked", on_daily(lambda b: fte.walked(b, _drift)))
+
+from . import structures  # noqa: E402, F401  importing registers its queries

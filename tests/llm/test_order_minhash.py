@@ -39,7 +39,7 @@ def similar_pairs(rng, size, similarity, count, hashes):
 
 
 def test_recall_on_scattered_edits(spark):
-    """All pairs with a text under 64 words are linked, and nine in ten of the others."""
+    """At any length and similarity nine in ten pairs are linked, or more."""
     rng, hashes = np.random.default_rng(8), order_minhash.Hashes()
     cases = [(n, s) for n in (8, 20, 60, 200) for s in (0.8, 0.85, 0.9, 0.95) if (1 - s) * n >= 0.5]
     pairs = {(n, s): similar_pairs(rng, n, s, 40, hashes) for n, s in cases}
@@ -51,7 +51,7 @@ def test_recall_on_scattered_edits(spark):
     for n, s in cases:
         linked = [classes[at + 2 * i] == classes[at + 2 * i + 1] for i in range(len(pairs[n, s]))]
         at += 2 * len(linked)
-        assert np.mean(linked) == 1 if n <= 60 else np.mean(linked) >= 0.9, (n, s, np.mean(linked))
+        assert np.mean(linked) >= 0.9, (n, s, np.mean(linked))
     # Members of a class are linked, by one another at least.
     members = {}
     for i, c in classes.items():
@@ -73,26 +73,6 @@ def test_sketches_at_the_threshold(size):
     assert np.mean(met) >= 0.9
 
 
-def test_rarest_runs_are_shared_by_all_that_are_alike(spark):
-    """Exact: no pair that is alike lacks a common key, whatever its words."""
-    rng, hashes = np.random.default_rng(9), order_minhash.Hashes()
-    few = VOCABULARY[:6]  # with so few words runs repeat a lot
-    texts = []
-    for _ in range(120):
-        a = rng.choice(few, int(rng.integers(1, 40))).tolist()
-        texts += [a, scattered(rng, a, int(rng.integers(0, 1 + len(a) // 5))) or ["x"]]
-    words = [hashes(t) for t in texts]
-    runs = spark.createDataFrame([(i, len(w), order_minhash.pairs_of_words(w).tolist()) for i, w in enumerate(words)], "node long, size long, runs array<long>")
-    keys = {r["node"]: set(r["keys"]) for r in order_minhash.rarest(runs).collect()}
-    seen = 0
-    for i in range(len(words)):
-        for j in range(i):
-            if order_minhash.alike(words[i], words[j]):
-                seen += 1
-                assert keys[i] & keys[j]
-    assert seen > 100
-
-
 def test_alignment_of_long_texts_takes_little_memory():
     rng = np.random.default_rng(10)
     size = 100_000
@@ -110,25 +90,16 @@ def test_alignment_of_long_texts_takes_little_memory():
 
 def test_a_common_core_links_nobody(spark, monkeypatch):
     """Texts that share half their words and no more stay apart, near copies among them are
-    found, and only texts that share rare runs meet."""
+    found."""
     monkeypatch.setattr(order_minhash, "BLOCK", 64)
     rng = np.random.default_rng(11)
     core = [f"core{i}" for i in range(60)]
     own = [[f"own{i}x{j}" for j in range(60)] for i in range(700)]
     texts = [" ".join([*o[:30], *core, *o[30:]]) for o in own]
     copies = [" ".join(scattered(rng, texts[i].split(), 12)) for i in range(0, 700, 50)]
-    met = []
-    whole = order_minhash.linked_blocks
-
-    def counted(apart, held):
-        met.append(apart.count())
-        return whole(apart, held)
-
-    monkeypatch.setattr(order_minhash, "linked_blocks", counted)
     got = order_minhash.near_duplicates(spark.createDataFrame(list(enumerate(texts + copies)), "doc_id long, text string"))
     classes = {r["doc_id"]: r["class_id"] for r in got.collect()}
     for i in range(700):
         assert classes[i] == i
     for k in range(len(copies)):
         assert classes[700 + k] == 50 * k
-    assert met and met[0] < 700  # members of buckets by rare runs that are of several classes

@@ -11,21 +11,16 @@ and of runs of two words refuses most others first: an edit spoils one and two o
 most, so no pair that the alignment would take is lost.
 
 Sketches are of runs short enough for edits scattered over a text: at a similarity of just
-0.8 a third of the runs of five words is left, but half of those of three. Short texts have
-too few runs for sampling, so those of fewer than ``EXACT`` words have exact keys besides:
-two texts that the alignment takes share so many labelled runs of two words that they must
-share one of the rarest of each (0.4 per word and one more, by one order of all runs, the
-rarest first).
+0.8 a third of the runs of five words is left, but half of those of three. Texts of fewer
+than ``SHORT`` words have too few of those and are sketched by runs of two words; texts up
+to a quarter longer by both, so that no pair falls between.
 
 How it stays linear: equal texts collapse into one node before anything is compared. In
 every bucket all members are compared with one of them only; links become classes by
 joins, each round written to the shared folder. Buckets of over ``BLOCK`` members that
 still are of several classes are compared with ``PIVOTS`` more members, chosen anew in
 each of ``ROUNDS`` rounds, and those who join a class thereby need no more comparing with
-it. Members of such buckets that are still apart have a core in common and little else: they
-are bucketed anew by their rarest runs of two words, the exact keys above, so that only
-those meet which share more than the core. What then is in one bucket and still apart is
-compared all with all, a block of members against another at a time: runs in common by one
+it. What then is still apart is compared all with all, a block of members against another at a time: runs in common by one
 matrix product, alignments only for pairs that may reach the threshold, that nothing has
 joined yet, and only in the first of the buckets that a pair shares. Pairs stay inside the
 task and only links leave it; no link is lost to the choice of members. A block has at most
@@ -57,11 +52,13 @@ K = 3
 MINIMA = 3
 BANDS = 64
 SIMILAR = 0.8
-#: Texts of fewer words have exact keys too: so every pair with a text of under 64 words.
-EXACT = 80
+#: Texts of fewer words are sketched by runs of two words.
+SHORT = 64
 #: Bounds of a block of members that are compared all with all.
 BLOCK = 1024
 BLOCK_WORDS = 1_000_000
+#: Words of texts whose words' places are held as an integer each: 4 MB at most.
+HELD = 8192
 PIVOTS = 4
 ROUNDS = 2
 #: Rows of the matrix of pairs that are held at a time.
@@ -143,9 +140,12 @@ def sketches(found: np.ndarray, count: int, minima: int = MINIMA) -> np.ndarray:
 
 
 def band_keys(words: np.ndarray, bands: int = BANDS) -> np.ndarray:
-    """The keys by which a text of these words is bucketed: a sketch each."""
+    """The keys by which a text of these words is bucketed: a sketch each, of runs of two
+    words for a short text, of ``K`` for a long one, of both in between."""
     numbers = np.arange(1, bands + 1, dtype=np.uint64)
-    return _mixed(numbers * _MIX + sketches(labelled(kmers(words)), bands)).view(np.int64)
+    runs = [k for k, holds in ((K, len(words) >= SHORT), (2, len(words) < SHORT / SIMILAR)) if holds]
+    found = [_mixed((numbers + np.uint64(k << 32)) * _MIX + sketches(labelled(kmers(words, k)), bands)) for k in runs]
+    return np.concatenate(found).view(np.int64)
 
 
 def edits(a: np.ndarray, b: np.ndarray, most: int) -> int | None:
@@ -176,8 +176,9 @@ def _banded(a: np.ndarray, b: np.ndarray, most: int) -> int | None:
     """The edits between ``a`` and the shorter ``b`` if they are at most ``most``. The
     alignment looks at ``most`` diagonals to each side of the main one; a column of that band
     is held as two bit vectors of its differences down the column (+1 and -1), so a word of
-    ``b`` costs a few operations on long integers. Where the word stands in the band is made
-    from a list of its places, so that memory is that of the texts and of a few bands."""
+    ``b`` costs a few operations on long integers. Where a word stands is held as one integer
+    for texts of up to ``HELD`` words; of longer ones the band's part is made from a list of
+    the word's places, so that memory is that of the texts and of a few bands."""
     n, m = len(a), len(b)
     if n - m > most:
         return None
@@ -188,24 +189,30 @@ def _banded(a: np.ndarray, b: np.ndarray, most: int) -> int | None:
         n, m = len(a), len(b)
     width = 2 * most + 1
     full, top = (1 << width) - 1, 1 << (width - 1)
-    _, both = np.unique(np.concatenate([a, b]), return_inverse=True)
-    order = np.argsort(both[:n], kind="stable")
-    held = both[:n][order]
-    words = both[n:]
-    begins, ends = np.searchsorted(held, words).tolist(), np.searchsorted(held, words, side="right").tolist()
+    whole: dict[int, int] = {}
+    order, begins, ends = np.zeros(0, np.int64), [], []
+    spelled = b.tolist()
+    if n <= HELD:
+        for i, w in enumerate(a.tolist()):
+            whole[w] = whole.get(w, 0) | 1 << i
+    else:
+        order = np.argsort(a, kind="stable")
+        begins, ends = np.searchsorted(a[order], b).tolist(), np.searchsorted(a[order], b, side="right").tolist()
     bits = np.zeros(width, np.uint8)
     up, down = full ^ ((1 << most) - 1), 0
     last, cost = top >> 1, most
     for j in range(m):
         at = j - most  # the row of the band's lowest bit
         equal = 0
-        begin, end = begins[j], ends[j]
-        if end - begin <= 4:
-            for i in order[begin:end].tolist():
+        if whole:
+            equal = whole.get(spelled[j], 0)
+            equal = (equal >> at if at >= 0 else equal << -at) & full
+        elif ends[j] - begins[j] <= 4:
+            for i in order[begins[j] : ends[j]].tolist():
                 if 0 <= i - at < width:
                     equal |= 1 << (i - at)
         else:
-            places = order[begin:end]
+            places = order[begins[j] : ends[j]]
             x, y = np.searchsorted(places, (at, at + width))
             if y > x:
                 bits[places[x:y] - at] = 1
@@ -371,55 +378,23 @@ def linked_blocks(apart: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def signatures(documents: DataFrame) -> DataFrame:
-    """doc_id, digest of the text, its number of words, its band keys (null without words)
-    and, of texts under ``EXACT`` words, its labelled runs of two words, of rows with both."""
+    """doc_id, digest of the text, its number of words and its band keys (null without
+    words), of rows with both."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = Hashes()
         for batch in batches:
-            keys, sizes, runs = [], [], []
+            keys, sizes = [], []
             for text in batch.column("text"):
                 words = hashes(text.as_py().split())
                 sizes.append(len(words))
                 keys.append(band_keys(words) if len(words) else None)
-                runs.append(pairs_of_words(words) if 0 < len(words) < EXACT else None)
-            columns = [pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(runs, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("digest"), *columns], ["doc_id", "digest", "size", "keys", "runs"])
+            columns = [pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("digest"), *columns], ["doc_id", "digest", "size", "keys"])
 
-    return identified(documents).mapInArrow(run, "doc_id bigint, digest binary, size bigint, keys array<bigint>, runs array<bigint>")
+    return identified(documents).mapInArrow(run, "doc_id bigint, digest binary, size bigint, keys array<bigint>")
 
 
-def pairs_of_words(words: np.ndarray) -> np.ndarray:
-    """Labelled runs of two words."""
-    return labelled(kmers(words, 2)).view(np.int64)
-
-
-def rarest(runs: DataFrame) -> DataFrame:
-    """node, keys from stored ``runs`` (node, size, runs): of the labelled runs of two words
-    of every node the rarest, so many that two nodes which ``alike`` takes share one.
-
-    They share (longer - 1 - 2 * edits) runs or more, that is (2 * SIMILAR - 1) * size - 1 of
-    either's size - 1; whoever leaves out fewer than that keeps one of them, if both order
-    the runs alike."""
-    each = runs.select("node", "size", F.explode("runs").alias("key"))
-    counts = store(each.groupBy("key").agg(F.count("*").alias("n")), "counts")
-    known = met_by_key(each, counts).groupBy("node").agg(F.first("size").alias("size"), F.array_sort(F.collect_list(F.struct("n", "key"))).alias("ordered"))
-    take = F.floor(2 * (1 - SIMILAR) * F.col("size") + 1e-9) + 1
-    return known.select("node", F.slice("ordered", F.lit(1), take.cast("int"))["key"].alias("keys"))
-
-
-def runs_of(nodes: DataFrame, texts: DataFrame) -> DataFrame:
-    """Stored node, size and labelled runs of two words of ``nodes``."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = Hashes()
-        for batch in batches:
-            found = [hashes(text.as_py().split()) for text in batch.column("text")]
-            columns = [pa.array([len(w) for w in found], pa.int64()), pa.array([pairs_of_words(w) for w in found], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column("node"), *columns], ["node", "size", "runs"])
-
-    return store(texts.join(nodes, "node", "left_semi").select("node", "text").mapInArrow(run, "node bigint, size bigint, runs array<bigint>"), "runs")
-
 def identified(documents: DataFrame, *more: Column) -> DataFrame:
     """doc_id, a strong digest of the text, text and ``more``, of rows with both."""
     texts = documents.where("text IS NOT NULL AND doc_id IS NOT NULL")
@@ -524,14 +499,8 @@ def classes_of(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Stored tables: doc_id and digest of every document with a text; and of every digest
     its class_id, and whether its text stands for the class (``leads``)."""
     found = store(signatures(documents), "signatures")
-    collapsed = found.groupBy("digest").agg(F.min("doc_id").alias("rep"), *(F.first(x).alias(x) for x in ("size", "keys", "runs")))
+    collapsed = found.groupBy("digest").agg(F.min("doc_id").alias("rep"), *(F.first(x).alias(x) for x in ("size", "keys")))
     copies = store(collapsed.withColumn("node", F.monotonically_increasing_id()), "copies")
-    short = store(copies.where("runs IS NOT NULL").select("node", "size", "runs"), "short")
-    exact = store(rarest(short), "exact")
-    keyed = copies.join(exact.select("node", F.col("keys").alias("more")), "node", "left")
-    keyed = store(keyed.select("node", "size", "digest", "rep", F.when(F.col("more").isNull(), F.col("keys")).otherwise(F.array_union("keys", "more")).alias("keys")), "keyed")
-    drop(copies, short, exact)
-    copies = keyed
     buckets = copies.select("node", "size", F.explode("keys").alias("key"))
     firsts = buckets.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first <> last")
     firsts = store(firsts.drop("last"), "firsts")
@@ -559,19 +528,6 @@ def classes_of(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
         drop(apart)
         apart = narrowed
 
-    # Members of large buckets that are still apart, bucketed anew by their rarest runs.
-    large = store(apart.where(F.col("n") > BLOCK).select("node").distinct(), "large")
-    if not large.isEmpty():
-        runs = runs_of(large, texts)
-        again = store(rarest(runs).join(runs.select("node", "size"), "node"), "again")
-        keyed = placed_in(again.select("node", "size", F.explode("keys").alias("key")), classes)
-        links = store(linked_blocks(keyed, texts.drop("keys").join(again.select("node", "keys"), "node")), "links")
-        classes = merged(classes, links)
-        narrowed = placed_in(apart.where(F.col("n") <= BLOCK), classes)
-        drop(runs, again, keyed, links, apart)
-        apart = narrowed
-    drop(large)
-
     # Members of one bucket that are still apart, all with all.
     links = store(linked_blocks(apart, texts), "links")
     drop(apart, texts)

@@ -103,3 +103,32 @@ def test_a_common_core_links_nobody(spark, monkeypatch):
         assert classes[i] == i
     for k in range(len(copies)):
         assert classes[700 + k] == 50 * k
+
+
+@pytest.mark.parametrize("trial", range(12))
+def test_rare_tokens_lose_no_link(trial, monkeypatch):
+    """Classes from one bucket equal those from aligning all pairs; both filters are used."""
+    monkeypatch.setattr(order_minhash, "FEW", 16 * (trial % 3 == 0))
+    rng = np.random.default_rng(trial)
+    base = [rng.integers(1, 40, int(rng.integers(1, 90))).astype(np.uint64) for _ in range(6)]
+    words = []
+    for _ in range(int(rng.integers(20, 60))):
+        b = base[int(rng.integers(6))].tolist()
+        for _ in range(int(rng.integers(0, len(b) // 4 + 1))):
+            at = int(rng.integers(len(b)))
+            b[at : at + int(rng.integers(2))] = [int(x) for x in rng.integers(1, 60, int(rng.integers(2)))]
+            b = b or [1]
+        words.append(np.array(b, np.uint64))
+    n = len(words)
+    sides = rng.integers(0, 2, n).tolist() if trial % 2 else [0] * n
+
+    def classes(links):
+        root = list(range(n))
+        for i, j in links:
+            x, y = sorted((root[i], root[j]))
+            root = [x if r == y else r for r in root]
+        return root
+
+    links = order_minhash.links_within(words, list(range(n)), sides, [np.array([7])] * n, 7)
+    two = len(set(sides)) == 2
+    assert classes(links) == classes([(i, j) for i in range(n) for j in range(i) if not (two and sides[i] == sides[j]) and order_minhash.alike(words[i], words[j])])

@@ -20,9 +20,11 @@ every bucket all members are compared with one of them only; links become classe
 joins, each round written to the shared folder. Buckets of over ``BLOCK`` members that
 still are of several classes are compared with ``PIVOTS`` more members, chosen anew in
 each of ``ROUNDS`` rounds, and those who join a class thereby need no more comparing with
-it. What then is still apart is compared all with all, a block of members against another at a time: runs in common by one
-matrix product, alignments only for pairs that may reach the threshold, that nothing has
-joined yet, and only in the first of the buckets that a pair shares. Pairs stay inside the
+it. What then is still apart meets a block of members against another at a time, by the words
+and runs that are rarest among them: near-duplicates have one in common of those that either
+can do without, so a passage that all of a bucket share makes no pairs. Alignments are made
+only for pairs that nothing has joined yet, and only in the first of the buckets that a pair
+shares. Pairs stay inside the
 task and only links leave it; no link is lost to the choice of members. A block has at most
 about ``BLOCK`` members and ``BLOCK_WORDS`` words, so that a task's memory is bounded.
 Tables of a row per key are stored before they are joined, by sorted sides, so that Spark
@@ -46,7 +48,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop, store
+from .common import drop, shuffle_width, store
 
 K = 3
 MINIMA = 3
@@ -61,8 +63,9 @@ BLOCK_WORDS = 1_000_000
 HELD = 8192
 PIVOTS = 4
 ROUNDS = 2
-#: Rows of the matrix of pairs that are held at a time.
-ROWS_AT_ONCE = 256
+#: Rows of the matrix of pairs that are held at a time, and the pairs a row that are aligned
+#: without a look at what runs they have in common.
+ROWS_AT_ONCE, FEW = 256, 64
 #: Words whose hashes a worker remembers, and the longest of them in characters.
 REMEMBERED, LONGEST = 400_000, 32
 
@@ -258,30 +261,45 @@ def alike(a: np.ndarray, b: np.ndarray, a_profile: tuple | None = None, b_profil
     return edits(a, b, most) is not None
 
 
-def shared(few: list[np.ndarray], many: list[np.ndarray], columns: int = 4096) -> np.ndarray:
-    """How many numbers each of ``few`` has in common with each of ``many``; none repeats
-    within one."""
-    known, counts = np.unique(np.concatenate(many), return_counts=True)
-    known = known[counts > 1]  # ``few`` are some of ``many``
-    out = np.zeros((len(few), len(many)), np.float32)
-
-    def cells(found: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        every = np.concatenate(found)
-        column = np.minimum(np.searchsorted(known, every), len(known) - 1)
-        use = np.flatnonzero(known[column] == every)
-        return np.repeat(np.arange(len(found)), [len(x) for x in found])[use], column[use]
-
-    if not len(known):
-        return out
-    (few_row, few_column), (many_row, many_column) = cells(few), cells(many)
-    for at in range(0, len(known), columns):
-        a, b = np.zeros((len(few), columns), np.float32), np.zeros((len(many), columns), np.float32)
-        part = (few_column >= at) & (few_column < at + columns)
-        a[few_row[part], few_column[part] - at] = 1
-        part = (many_column >= at) & (many_column < at + columns)
-        b[many_row[part], many_column[part] - at] = 1
-        out += a @ b.T
-    return out
+class Rarest:
+    """The rarest tokens of some members, by which near-duplicates among them meet.
+
+    Of ``found``, a member's distinct tokens of ``runs`` words, two near-duplicates have at
+    least ``share`` times the longer one's words less ``runs - 1`` in common. So if all tokens
+    are put in one order, the rarest first, and each member takes as many as it can do
+    without and ``least`` more, two near-duplicates have the smaller ``least`` of both in common
+    among those. ``least`` is ``portion`` of what they must have in common at all."""
+
+    def __init__(self, found: list[np.ndarray], share: float, runs: int, portion: float) -> None:
+        sizes = np.array([len(x) for x in found])
+        known, at, counts = np.unique(np.concatenate(found), return_inverse=True, return_counts=True)
+        place = np.empty(len(known), np.int64)
+        place[np.argsort(counts, kind="stable")] = np.arange(len(known))
+        needed = np.maximum(1, np.ceil(share * (sizes + runs - 1) - 1e-9).astype(int) - (runs - 1))
+        self.least = np.maximum(1, (portion * needed).astype(int))
+        member = np.repeat(np.arange(len(found)), sizes)
+        order = np.lexsort((place[at], member))
+        rank = np.arange(len(order)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        order = order[(rank < np.repeat(sizes - needed + self.least, sizes)) & (counts[at[order]] > 1)]
+        order = order[np.argsort(at[order], kind="stable")]
+        token, self.member = at[order], member[order]
+        self.begins, self.ends = np.searchsorted(token, token), np.searchsorted(token, token, side="right")
+        self.by_member = np.argsort(self.member, kind="stable")
+        self.cuts = np.searchsorted(self.member[self.by_member], np.arange(len(found) + 1))
+
+    def meet(self, rows: np.ndarray) -> np.ndarray:
+        """Whether members ``rows`` have enough of the rarest tokens in common with each."""
+        members = len(self.least)
+        own = np.concatenate([self.by_member[self.cuts[i] : self.cuts[i + 1]] for i in rows])
+        row = np.repeat(np.arange(len(rows)), self.cuts[rows + 1] - self.cuts[rows])
+        lengths = self.ends[own] - self.begins[own]
+        out = np.zeros(len(rows) * members, np.int64)
+        steps = np.searchsorted(np.cumsum(lengths), np.arange(CELLS, lengths.sum() + CELLS, CELLS), side="right")
+        for x, y in zip([0, *steps[:-1].tolist()], [*steps[:-1].tolist(), len(own)], strict=True):
+            n = lengths[x:y]
+            places = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - self.begins[own[x:y]], n)
+            out += np.bincount(np.repeat(row[x:y], n) * members + self.member[places], minlength=len(out))
+        return out.reshape(len(rows), members) >= np.minimum(self.least[rows, None], self.least[None])
 
 
 def links_within(words: list[np.ndarray], roots: list[int], sides: list[int], keys: list[np.ndarray], key: int) -> list[tuple[int, int]]:
@@ -310,23 +328,26 @@ def links_within(words: list[np.ndarray], roots: list[int], sides: list[int], ke
     if not len(few):
         return []
     profiles = [profile(w) for w in words]
-    runs = [x[1] for x in profiles]
     sizes = np.array([len(w) for w in words])
-    found: list[tuple[float, int, int]] = []
+    by_words, by_runs = Rarest([x[0] for x in profiles], SIMILAR, 1, 0.25), None
+    lower = [set(x[x < key].tolist()) for x in keys]
+    found: list[tuple[int, int]] = []
     for at in range(0, len(few), ROWS_AT_ONCE):
         part = few[at : at + ROWS_AT_ONCE]
-        longer = np.maximum(sizes[part, None], sizes[None])
-        spare = shared([runs[i] for i in part], runs) - (longer - 1 - 2 * ((1 - SIMILAR) * longer + 1e-9).astype(int))
-        able = (spare >= 0) & (root[part, None] != root[None])
+        able = by_words.meet(part) & (root[part, None] != root[None])
+        able &= np.abs(sizes[part, None] - sizes[None]) <= (1 - SIMILAR) * np.maximum(sizes[part, None], sizes[None]) + 1e-9
         if side.any() and not side.all():
             able &= side[part, None] != side[None]
-        for row, i in enumerate(part.tolist()):
+        for row in range(len(part)):
             able[row, few[: at + row + 1]] = False  # each two of the few once
-            near = np.flatnonzero(able[row])
-            for x, j in zip(spare[row, near].tolist(), near.tolist(), strict=True):
-                if np.intersect1d(keys[i], keys[j])[0] == key:
-                    found.append((-x, i, j))
-    return [(i, j) for _, i, j in sorted(found) if join(i, j)]
+        if able.sum() > FEW * len(part):  # the same words in other orders
+            by_runs = by_runs or Rarest([x[1] for x in profiles], 2 * SIMILAR - 1, 2, 0.1)
+            able &= by_runs.meet(part)
+        for row, j in np.argwhere(able).tolist():
+            i = int(part[row])
+            if lower[i].isdisjoint(lower[j]):
+                found.append((i, j))
+    return [(i, j) for i, j in found if join(i, j)]
 
 
 def linked_blocks(apart: DataFrame, texts: DataFrame) -> DataFrame:
@@ -373,7 +394,8 @@ def linked_blocks(apart: DataFrame, texts: DataFrame) -> DataFrame:
         close()
         yield taken()
 
-    groups = with_text.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "node")
+    # Tasks of so much work are not to be put together by their small sizes.
+    groups = with_text.repartition(shuffle_width(apart.sparkSession), "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "node")
     return groups.mapInArrow(run, "a bigint, b bigint").distinct()
 
 

@@ -7,8 +7,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import bootstrap, intervals, rolling, sketches, variants, windows
-from ..sources.tables import daily_bars, table, weekly_bars
+from ..operators import bootstrap, intervals, markets, rolling, sketches, variants, windows
+from ..sources.tables import daily_bars, hourly_bars, table, weekly_bars
 from .registry import register
 
 WIDTH = 63
@@ -81,3 +81,28 @@ def _weighed(s: SparkSession, d: str) -> DataFrame:
 
 register("sc19_variant_fields", _weighed, "", "SELECT event_id, CASE WHEN event_id % 11 <> 0 THEN CAST(regexp_extract(props, '\"k\": *([0-9]+)', 1) AS BIGINT) END AS k, NULL::DOUBLE AS absent, CASE WHEN event_id % 11 = 0 THEN 'no JSON: ' || substr('x' || props, 1, 40) END AS error FROM events", "event_id:i k:i absent:d error:s")
 register("sc18_variant_entries", lambda s, d: variants.entries(variants.parsed(table(s, d, "events").select("event_id", "props"), "props").drop("error"), "props", "$", "bigint"), "", "SELECT event_id, 'k' AS name, CAST(regexp_extract(props, '\"k\": *([0-9]+)', 1) AS BIGINT) AS value FROM events WHERE props IS NOT NULL", "event_id:i name:s value:i")
+
+
+#: Where each kind of event is traded: zone, minutes to its close, weekends.
+MARKETS = (("click", "America/New_York", 960, False), ("view", "Europe/London", 990, False), ("purchase", "Asia/Tokyo", 900, False), ("signup", "UTC", 1440, True), ("error", "UTC", 1440, True))
+_CALENDAR = "calendar AS (SELECT * FROM (VALUES " + ", ".join(f"('{i}', '{z}', {m}, {str(w).lower()})" for i, z, m, w in MARKETS) + ") v(series_id, zone, closes, weekends))"
+_SESSIONS = f"""{_CALENDAR},
+placed AS (SELECT h.*, weekends, CAST(timezone(zone, timezone('UTC', h.time)) + (1440 - closes) * INTERVAL 1 MINUTE AS DATE) AS d FROM hourly h JOIN calendar USING (series_id)),
+sessions AS (SELECT series_id, d + CASE WHEN weekends THEN 0 WHEN dayofweek(d) = 6 THEN 2 WHEN dayofweek(d) = 0 THEN 1 ELSE 0 END AS day, arg_min(open, time) AS open, max(high) AS high, min(low) AS low, arg_max(close, time) AS close, sum(volume) AS volume, count(*) AS bars FROM placed GROUP BY 1, 2)"""
+
+
+def _sessions(s: SparkSession, d: str) -> DataFrame:
+    return markets.session_bars(hourly_bars(s, d), s.createDataFrame(list(MARKETS), "series_id string, zone string, closes int, weekends boolean"))
+
+
+def _beside(s: SparkSession, d: str) -> DataFrame:
+    sessions = _sessions(s, d)
+    always = sessions.where(F.col("series_id").isin("signup", "error")).select(F.col("series_id").alias("other_id"), "day", F.col("close").alias("other_close"))
+    return markets.beside(sessions.where(~F.col("series_id").isin("signup", "error")), always)
+
+
+register("jn03_session_bars", _sessions, "hourly", f"WITH {_SESSIONS} SELECT * FROM sessions", "series_id:s day:t open:d high:d low:d close:d volume:i bars:i")
+register("jn03_markets_beside", _beside, "hourly",
+    f"""WITH {_SESSIONS}, pairs AS (SELECT a.series_id, o.series_id AS other_id, o.day, o.close AS other_close, max(a.day) AS last FROM sessions o JOIN sessions a ON a.day <= o.day
+      WHERE o.series_id IN ('signup', 'error') AND a.series_id NOT IN ('signup', 'error') AND o.day <= (SELECT max(day) FROM sessions e WHERE e.series_id = a.series_id) GROUP BY 1, 2, 3, 4)
+    SELECT p.series_id, other_id, p.day, a.close, other_close, p.day > p.last AS carried FROM pairs p JOIN sessions a ON a.series_id = p.series_id AND a.day = p.last""", "series_id:s other_id:s day:t close:d other_close:d carried:b")

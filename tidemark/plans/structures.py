@@ -3,11 +3,14 @@ variants, a user's statistic."""
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import bootstrap, intervals, markets, rolling, sketches, variants, windows
+from ..sources import pruned
 from ..sources.tables import daily_bars, hourly_bars, table, weekly_bars
 from .registry import register
 
@@ -106,3 +109,17 @@ register("jn03_markets_beside", _beside, "hourly",
     f"""WITH {_SESSIONS}, pairs AS (SELECT a.series_id, o.series_id AS other_id, o.day, o.close AS other_close, max(a.day) AS last FROM sessions o JOIN sessions a ON a.day <= o.day
       WHERE o.series_id IN ('signup', 'error') AND a.series_id NOT IN ('signup', 'error') AND o.day <= (SELECT max(day) FROM sessions e WHERE e.series_id = a.series_id) GROUP BY 1, 2, 3, 4)
     SELECT p.series_id, other_id, p.day, a.close, other_close, p.day > p.last AS carried FROM pairs p JOIN sessions a ON a.series_id = p.series_id AND a.day = p.last""", "series_id:s other_id:s day:t close:d other_close:d carried:b")
+
+
+def _stored(s: SparkSession, d: str) -> DataFrame:
+    """Closes and those before them, by a window over a stored table, without an exchange."""
+    bars = daily_bars(s, d).withColumn("timeframe", F.lit("1d")).unionByName(weekly_bars(s, d).withColumn("timeframe", F.lit("1w")))
+    shared, name = s.conf.get("spark.checkpoint.dir", None), f"bars_{uuid.uuid4().hex}"
+    table = pruned.save(bars.select("timeframe", "series_id", "time", "close"), name, "timeframe", "series_id", "time", 8, shared and f"{shared}/{name}")
+    before = F.lag("close").over(Window.partitionBy("timeframe", "series_id").orderBy("time"))
+    return table.select("timeframe", "series_id", "time", "close", before.alias("before"))
+
+
+register("src23_stored_series", _stored, "daily weekly",
+    """SELECT timeframe, series_id, time, close, lag(close) OVER (PARTITION BY timeframe, series_id ORDER BY time) AS before
+    FROM (SELECT '1d' AS timeframe, series_id, time, close FROM bars UNION ALL SELECT '1w', series_id, time, close FROM weekly)""", "timeframe:s series_id:s time:t close:d before:d")

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import bootstrap, intervals, rolling, sketches, variants
+from tidemark.operators import bootstrap, intervals, normalize, rolling, sketches, variants
 
 
 def plain_kendall(x, y):
@@ -121,3 +121,20 @@ def test_progress_is_the_state_at_each_batch(spark):
         held = [b for s, i, b in drawn if s == "a" and i <= r["iteration"]]
         assert r["mean"] == pytest.approx(np.mean(held)) and r["std"] == pytest.approx(np.std(held))
         assert r["lower"] == (pytest.approx(np.quantile(held, 0.025)) if len(held) >= 30 else None)
+
+
+def test_shapes_for_warping(spark):
+    values = {"a": [3.0, 1.0, None, 8.0, 4.0, 4.0], "flat": [2.0, 2.0, None], "one": [5.0]}
+    rows = spark.createDataFrame([(k, t, x) for k, v in values.items() for t, x in enumerate(v)], "series_id string, t int, x double")
+    for method in ("zscore", "minmax", "percentile", "none"):
+        got = {(r["series_id"], r["t"]): r["shape"] for r in normalize.for_warping(rows, "x", method).collect()}
+        for k, v in values.items():
+            held = np.array([x for x in v if x is not None])
+            low, high = np.quantile(held, (0.25, 0.75))
+            origin, scale = {"zscore": (held.mean(), held.std()), "minmax": (held.min(), np.ptp(held)), "percentile": (low, high - low), "none": (0, 1)}[method]
+            for t, x in enumerate(v):
+                want = None if x is None else pytest.approx((x - origin) / scale if scale > 1e-10 else 0.0)
+                assert got[k, t] == want, (method, k, t)
+    assert normalize.for_warping(rows.limit(0), "x").count() == 0
+    with pytest.raises(ValueError, match="unknown method"):
+        normalize.for_warping(rows, "x", "rank")

@@ -52,6 +52,32 @@ def interquartile(rows: DataFrame, value: str, name: str = "iqr") -> DataFrame:
     return rows.withColumn(name, F.when(F.col(value).isNotNull(), x))
 
 
+#: Ranges below which a series counts as constant before it is warped.
+CONSTANT = 1e-10
+
+
+def for_warping(rows: DataFrame, value: str, method: str = "zscore", name: str = "shape") -> DataFrame:
+    """``value`` of each series in the form in which shapes are compared: ``zscore`` (by the
+    population's deviation), ``minmax``, ``percentile`` (from the first quartile, by the range
+    between quartiles) or ``none``. A constant series is all 0, but as it is with ``none``;
+    nulls stay null."""
+    x = F.col(value)
+    if method == "none":
+        return rows.withColumn(name, x.cast("double"))
+    if method == "zscore":
+        origin, scale = F.avg(x).over(whole()), F.stddev_pop(x).over(whole())
+    elif method == "minmax":
+        origin = F.min(x).over(whole())
+        scale = F.max(x).over(whole()) - origin
+    elif method == "percentile":
+        origin = F.percentile(x, F.lit(0.25)).over(whole())
+        scale = F.percentile(x, F.lit(0.75)).over(whole()) - origin
+    else:
+        raise ValueError(f"unknown method: {method}")
+    shape = F.when(scale >= CONSTANT, divided(x - origin, scale)).otherwise(F.lit(0.0))
+    return rows.withColumn(name, F.when(x.isNotNull(), shape))
+
+
 METHODS: dict[str, Callable[..., DataFrame]] = {"prank": ranked, "zscore": zscored, "minmax": scaled}
 
 

@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import bootstrap, intervals, markets, rolling, sketches, variants, windows
+from ..operators import bootstrap, intervals, markets, normalize, rolling, sketches, variants, windows
 from ..sources import pruned
 from ..sources.tables import daily_bars, hourly_bars, table, weekly_bars
 from .registry import register
@@ -123,3 +123,19 @@ def _stored(s: SparkSession, d: str) -> DataFrame:
 register("src23_stored_series", _stored, "daily weekly",
     """SELECT timeframe, series_id, time, close, lag(close) OVER (PARTITION BY timeframe, series_id ORDER BY time) AS before
     FROM (SELECT '1d' AS timeframe, series_id, time, close FROM bars UNION ALL SELECT '1w', series_id, time, close FROM weekly)""", "timeframe:s series_id:s time:t close:d before:d")
+
+
+def _shapes(s: SparkSession, d: str) -> DataFrame:
+    """Every form in which series are warped, of closes and of a constant."""
+    bars = weekly_bars(s, d).withColumn("same", F.lit(7.5))
+    for method in ("zscore", "minmax", "percentile", "none"):
+        bars = normalize.for_warping(normalize.for_warping(bars, "close", method, method), "same", method, f"same_{method}")
+    return bars.select("series_id", "t", "zscore", "minmax", "percentile", "none", "same_zscore", "same_minmax", "same_percentile", "same_none")
+
+
+register("nrm13_shapes", _shapes, "weekly",
+    """SELECT series_id, t, CASE WHEN stddev_pop(close) OVER v < 1e-10 THEN 0 ELSE (close - avg(close) OVER v) / nullif(stddev_pop(close) OVER v, 0) END AS zscore,
+    CASE WHEN max(close) OVER v - min(close) OVER v < 1e-10 THEN 0 ELSE (close - min(close) OVER v) / nullif(max(close) OVER v - min(close) OVER v, 0) END AS minmax,
+    CASE WHEN quantile_cont(close, 0.75) OVER v - quantile_cont(close, 0.25) OVER v < 1e-10 THEN 0 ELSE (close - quantile_cont(close, 0.25) OVER v) / nullif(quantile_cont(close, 0.75) OVER v - quantile_cont(close, 0.25) OVER v, 0) END AS percentile,
+    close AS none, stddev_pop(7.5 + 0 * t) OVER v AS same_zscore, 0 * t AS same_minmax, 0 * t AS same_percentile, 7.5 + 0 * t AS same_none FROM weekly WINDOW v AS (PARTITION BY series_id)""",
+    "series_id:s t:i zscore:d minmax:d percentile:d none:d same_zscore:d same_minmax:d same_percentile:d same_none:d")

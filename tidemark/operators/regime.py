@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import kernels
 from ..functions.columns import clip, correlation, divided
-from . import windows
+from . import rolling, windows
 
 REGIMES = ("LOW", "NORMAL", "HIGH", "EXTREME")
 FACTORS = {"LOW": 1.0, "NORMAL": 1.0, "HIGH": 1.2, "EXTREME": 1.5}
@@ -67,15 +65,9 @@ def transitions(vols: DataFrame, current: DataFrame, points: int = 50) -> DataFr
 
 def signal_series(bars: DataFrame, base: float = 0.08, width: int = 21, least: int = 3) -> DataFrame:
     """Regime at every row from the history so far (expanding weak percentile), and runs
-    of calm rows. A kernel keeps each series' values so far in order."""
+    of calm rows. Long series are counted by blocks of times and values."""
     vols = windows.realized_volatility(bars, width).where("vol IS NOT NULL").select("series_id", "t", "vol")
-
-    def ranked(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("t")
-        return part.assign(percentile=kernels.shares_so_far(part["vol"].to_numpy()))
-
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in vols.schema.fields)
-    shares = vols.groupBy("series_id").applyInPandas(ranked, f"{kinds}, percentile double")
+    shares = rolling.percentile_so_far(vols, "vol")
     named = shares.withColumn("regime", regime_of(F.col("percentile")))
     marked = named.withColumn("threshold", F.lit(base) * factor(F.col("regime")))
     return windows.runs(marked, F.col("regime").isin("LOW", "NORMAL"), least)

@@ -1,12 +1,14 @@
-"""Rolling rank correlations over long series."""
+"""Rolling rank correlations and expanding percentiles over long series."""
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import kernels
+
 #: Rows of a series that a task computes; it reads width - 1 more before them.
 BLOCK = 65_536
 
@@ -81,3 +83,57 @@ def rank_correlation(rows: DataFrame, x: str, y: str, width: int, kind: str, blo
 
     kept = rows.schema["series_id"].dataType.simpleString()
     return placed.groupBy("series_id", "part").applyInPandas(run, f"series_id {kept}, t bigint, r double")
+
+
+#: Cut points of a long series' values; a bucket between two holds about 1/256 of its rows.
+BUCKETS = 256
+
+
+def percentile_so_far(rows: DataFrame, value: str, block: int = BLOCK, buckets: int = BUCKETS) -> DataFrame:
+    """series_id, t, ``value`` and ``percentile``: the share of a series' values up to and with
+    this row that are no larger. Rows without a value take no part; ``t`` is unique.
+
+    No task needs a whole series. Values no larger within a row's own block of ``block`` times
+    are counted by that block's task. Of earlier blocks, those in smaller buckets of values
+    come from a table of counts by block and bucket, and those in its own bucket are counted
+    by that bucket's task. A value that is itself a cut point has a bucket of its own, where
+    all are equal, so that a frequent value needs no task. Series of one block skip the table."""
+    kept = rows.schema["series_id"].dataType.simpleString()
+    own = rows.where(F.col(value).isNotNull()).select("series_id", F.col("t").cast("bigint").alias("t"), F.col(value).cast("double").alias("v"))
+    placed = own.withColumn("tb", F.floor(F.col("t") / block))
+    points = [i / buckets for i in range(1, buckets)]
+    spans = placed.groupBy("series_id").agg(F.percentile_approx("v", points, 10_000).alias("cuts"), F.min("tb").alias("first"), F.max("tb").alias("last")).where("first < last")
+    cuts = spans.select(F.col("series_id").alias("id"), F.explode(F.sequence("first", "last")).alias("tb"), F.array_sort(F.array_distinct("cuts")).alias("cuts"))
+
+    def inside(part: pd.DataFrame, cut: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("t")
+        v = part["v"].to_numpy(float)
+        vb = np.full(len(part), -1)
+        if len(cut):
+            at = np.asarray(cut["cuts"].iloc[0], float)
+            low = np.searchsorted(at, v, "left")
+            vb = low * 2 + np.isin(v, at)
+        return part.assign(vb=vb, inside=kernels.no_larger_before(v) + 1, place=np.arange(1, len(part) + 1))
+
+    columns = f"series_id {kept}, t bigint, v double, tb bigint, vb bigint, inside bigint, place bigint"
+    counted = placed.groupBy("series_id", "tb").cogroup(cuts.groupBy("id", "tb")).applyInPandas(inside, columns)
+
+    def same(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("t")
+        found = kernels.no_larger_before(part["v"].to_numpy(float), part["tb"].to_numpy()) if part["vb"].iloc[0] % 2 == 0 else 0
+        return part.assign(same=found).drop(columns="lot")
+
+    lot = F.when(F.col("vb") % 2 == 0, F.lit(-1)).otherwise(F.col("tb"))
+    beside = counted.withColumn("lot", lot).groupBy("series_id", "vb", "lot").applyInPandas(same, f"{columns}, same bigint")
+    # every cell of a long series' table, so that sums over earlier blocks know empty ones too
+    cells = counted.where("vb >= 0").groupBy("series_id", "tb", "vb").agg(F.count("*").alias("n"))
+    grid = cuts.select(F.col("id").alias("series_id"), "tb", F.explode(F.sequence(F.lit(0).cast("bigint"), (F.size("cuts") * 2).cast("bigint"))).alias("vb"))
+    earlier = F.coalesce(F.sum(F.coalesce("n", F.lit(0))).over(Window.partitionBy("series_id", "vb").orderBy("tb").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    filled = grid.join(cells, ["series_id", "tb", "vb"], "left").withColumn("earlier", earlier)
+    block_of = Window.partitionBy("series_id", "tb")
+    upto = F.sum("earlier").over(block_of.orderBy("vb").rowsBetween(Window.unboundedPreceding, 0))
+    sums = filled.withColumns({"upto": upto, "all": F.sum("earlier").over(block_of)})
+    below = sums.select("series_id", "tb", "vb", F.when(F.col("vb") % 2 == 0, F.col("upto") - F.col("earlier")).otherwise(F.col("upto")).alias("below"), "all")
+    joined = beside.join(below, ["series_id", "tb", "vb"], "left")
+    known = F.col("inside") + F.col("same") + F.coalesce("below", F.lit(0))
+    return joined.select("series_id", "t", F.col("v").alias(value), (known / (F.col("place") + F.coalesce("all", F.lit(0)))).alias("percentile"))

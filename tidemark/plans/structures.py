@@ -3,15 +3,17 @@ variants, a user's statistic."""
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import bootstrap, intervals, markets, normalize, rolling, sketches, variants, windows
-from ..sources import pruned
+from ..operators import bootstrap, intervals, lineage, markets, normalize, rolling, sketches, variants, windows
+from ..sources import provider, pruned
 from ..sources.tables import daily_bars, hourly_bars, table, weekly_bars
+from ..streaming import signals
 from .registry import register
 
 WIDTH = 63
@@ -139,3 +141,50 @@ register("nrm13_shapes", _shapes, "weekly",
     CASE WHEN quantile_cont(close, 0.75) OVER v - quantile_cont(close, 0.25) OVER v < 1e-10 THEN 0 ELSE (close - quantile_cont(close, 0.25) OVER v) / nullif(quantile_cont(close, 0.75) OVER v - quantile_cont(close, 0.25) OVER v, 0) END AS percentile,
     close AS none, stddev_pop(7.5 + 0 * t) OVER v AS same_zscore, 0 * t AS same_minmax, 0 * t AS same_percentile, 7.5 + 0 * t AS same_none FROM weekly WINDOW v AS (PARTITION BY series_id)""",
     "series_id:s t:i zscore:d minmax:d percentile:d none:d same_zscore:d same_minmax:d same_percentile:d same_none:d")
+
+
+register("win11_percentile_so_far", lambda s, d: rolling.percentile_so_far(daily_bars(s, d), "close", 500, 16), "daily",
+    "SELECT a.series_id, a.t, a.close, count(*) FILTER (b.close <= a.close) / count(*) AS percentile FROM bars a JOIN bars b ON a.series_id = b.series_id AND b.t <= a.t GROUP BY 1, 2, 3", "series_id:s t:i close:d percentile:d")
+
+
+def _altered(s: SparkSession, d: str) -> DataFrame:
+    """Orders with some left out, some changed."""
+    orders = table(s, d, "orders").where("o_orderkey % 1009 <> 5")
+    return orders.withColumn("o_orderpriority", F.when(F.col("o_orderkey") % 997 == 7, "x").otherwise(F.col("o_orderpriority")))
+
+
+def _changed(s: SparkSession, d: str) -> DataFrame:
+    """Orders that differ between two versions, found by their trees."""
+    sides, columns = (table(s, d, "orders"), _altered(s, d)), ["o_orderpriority"]
+    trees = [lineage.tree(x, "o_orderkey", columns, "v1", 64, 64, 3) for x in sides]
+    return lineage.changed_rows(*sides, lineage.changed_ranges(*trees, 64, 3), "o_orderkey", columns, 64)
+
+
+register("lin01_tree", lambda s, d: lineage.tree(table(s, d, "orders"), "o_orderkey", ["o_orderpriority"], "v1", 64, 64, 3).drop("checksum"), "",
+    """SELECT level, node, min(low) AS low, max(high) AS high, sum(n) AS n, lpad(printf('%x', bit_xor(b0)), 15, '0') || lpad(printf('%x', bit_xor(b1)), 15, '0') || lpad(printf('%x', bit_xor(b2)), 15, '0') || lpad(printf('%x', bit_xor(b3)), 15, '0') AS hash, 'v1' AS version FROM (
+      SELECT level, CAST(floor(leaf / [1, 64, 4096][level + 1]) AS BIGINT) AS node, low, high, n, CAST('0x' || substr(h, 1, 15) AS BIGINT) AS b0, CAST('0x' || substr(h, 16, 15) AS BIGINT) AS b1, CAST('0x' || substr(h, 31, 15) AS BIGINT) AS b2, CAST('0x' || substr(h, 46, 15) AS BIGINT) AS b3 FROM (
+        SELECT CAST(floor(o_orderkey / 64) AS BIGINT) AS leaf, min(o_orderkey) AS low, max(o_orderkey) AS high, count(*) AS n, sha256(string_agg(sha256(o_orderkey || '|' || coalesce(o_orderpriority, '\\N')), '' ORDER BY o_orderkey)) AS h FROM orders GROUP BY 1), (SELECT unnest(range(3)) AS level)) GROUP BY 1, 2""",
+    "level:i node:i low:i high:i n:i hash:s version:s")
+register("lin02_changed_rows", _changed, "",
+    "SELECT o_orderkey AS key, CASE WHEN o_orderkey % 1009 = 5 THEN 'removed' ELSE 'changed' END AS change FROM orders WHERE o_orderkey % 1009 = 5 OR (o_orderkey % 997 = 7 AND o_orderpriority IS DISTINCT FROM 'x')", "key:i change:s")
+
+
+def _provided(s: SparkSession, d: str) -> DataFrame:
+    """Hourly bars given to a provider's folder and read back, two kinds of one half-year."""
+    bars = hourly_bars(s, d).select("series_id", F.to_date("time").alias("day"), "time", "open", "high", "low", "close", "volume")
+    shared = s.conf.get("spark.checkpoint.dir", None) or s.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if shared is None and not s.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all nodes share")
+    folder = f"{shared or tempfile.mkdtemp()}/provided_{uuid.uuid4().hex}"
+    bars.repartition("day").write.partitionBy("day", "series_id").csv(folder, header=True)
+    provider.register(s)
+    read = s.read.format("provider").load(folder).where(F.col("series_id").isin("click", "purchase") & (F.col("day") >= F.lit("2024-01-10").cast("date")))
+    return read.select("series_id", "time", "open", "high", "low", "close", "volume")
+
+
+register("udf07_provider", _provided, "hourly", "SELECT series_id, time, open, high, low, close, volume FROM hourly WHERE series_id IN ('click', 'purchase') AND time >= TIMESTAMP '2024-01-10'", "series_id:s time:t open:d high:d low:d close:d volume:i")
+register("str08_signal_spans", lambda s, d: signals.spans(table(s, d, "events").select(F.col("user_id").alias("signal_id"), F.col("ts").alias("time"), F.col("value").alias("strength")), 2), "",
+    """WITH e AS (SELECT CAST(user_id AS VARCHAR) AS signal_id, ts, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, value NULLS FIRST) AS i FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL),
+    m AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY signal_id ORDER BY i) < INTERVAL 2 DAY THEN 0 ELSE 1 END AS fresh FROM e),
+    g AS (SELECT *, sum(fresh) OVER (PARTITION BY signal_id ORDER BY i) AS span FROM m)
+    SELECT signal_id, min(ts) AS started, max(ts) + INTERVAL 2 DAY AS expired, count(*) AS n, arg_max(value, i) AS strength FROM g GROUP BY signal_id, span""", "signal_id:s started:t expired:t n:i strength:d")

@@ -1,3 +1,4 @@
+import hashlib
 import io
 import json
 import math
@@ -11,6 +12,7 @@ from tidemark.errors import AnalysisError
 from tidemark.functions.columns import clip, correlation, percentile_rank
 from tidemark.operators import analogies, backtest, bars, cycles, detrend, fte, normalize, positioning, seasonality, windows
 from tidemark.plans import queries
+from tidemark.plans.registry import QUERIES
 from tidemark.sources import readers
 from tidemark.streaming import views
 
@@ -170,6 +172,29 @@ def test_lineage_exports_in_order(spark):
     assert found["steps"][0]["output_hash"] == found["steps"][1]["input_hash"]
 
 
+def test_recomputed_chains_shuffle_no_hash(spark, tmp_path):
+    orders = [(k, "F", "1-URGENT") for k in range(40)] + [(5, "F", "1-URGENT"), (None, "O", "2-HIGH")]
+    spark.createDataFrame(orders, "o_orderkey long, o_orderstatus string, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    found = QUERIES["lin02_recomputed"](spark, str(tmp_path))
+    expected = {k: (k is None or (k % 7 != 2 and k != 5), 6 if k == 5 else 3) for k, _, _ in orders}
+    assert {r["signal_id"]: (r["is_valid"], r["steps"]) for r in found.collect()} == expected
+    plan = QUERIES["lin02_recomputed"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange") == 1
+
+    kind = "signal_id long, step long, name string, version string, parameters string"
+    steps = [(k, i, n, "1", "{}") for k in range(6) for i, n in enumerate("abc", 1)]
+    chain = {(r[0], r[1]): [r["input_hash"], r["output_hash"]] for r in backtest.chained(spark.createDataFrame(steps, kind), "source").collect()}
+    chain[1, 1][0] = "other source"
+    chain[2, 3][1] = None
+    chain[4, 2] = [chain[4, 1][1], hashlib.sha256(chain[4, 1][1].encode()).hexdigest()]
+    chain[4, 3] = [chain[4, 2][1], hashlib.sha256(("c|1|{}|" + chain[4, 2][1]).encode()).hexdigest()]
+    del chain[5, 2]
+    rows = spark.createDataFrame([(*k, *v) for k, v in chain.items()], "signal_id long, step long, input_hash string, output_hash string")
+    records = spark.createDataFrame([x for x in steps if x[:2] != (4, 2)], kind)
+    found = {r["signal_id"]: (r["is_valid"], r["steps"], r["error"]) for r in backtest.recomputed(rows, records, "source").collect()}
+    assert found == {k: (k in (0, 3), 2 if k == 5 else 3, None if k in (0, 3) else "LN003") for k in range(6)}
+
+
 def test_projection_and_quality_of_matches(spark):
     rows = [("s", i, 0.9 - 0.1 * i, 0.8 - 0.1 * i, 10.0 * i, [float(i), 2.0 * i], i + 1) for i in range(12)]
     kind = "series_id string, start long, r double, confidence double, distance double, projection array<double>, rank int"

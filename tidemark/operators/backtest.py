@@ -108,10 +108,14 @@ def source_hash(rows: DataFrame, keys: list[str], columns: list[str], parts: int
     return inner.groupBy(*keys).agg(F.sha2(listed, 256).alias("hash"), F.sum("n").alias("row_count"))
 
 
-def chained(steps: DataFrame, source: str) -> DataFrame:
-    """``steps`` (signal_id, step, name, version, parameters) with input and output hashes:
-    each output covers the step and its input, which is the output before."""
-    listed = steps.groupBy("signal_id").agg(F.sort_array(F.collect_list(F.struct("step", "name", "version", "parameters"))).alias("steps"))
+def _listed(rows: DataFrame, name: str, *columns: str) -> DataFrame:
+    """Per signal its rows' ``columns`` as one array, in order."""
+    return rows.groupBy("signal_id").agg(F.sort_array(F.collect_list(F.struct(*columns))).alias(name))
+
+
+def linked(records: DataFrame, source: str) -> DataFrame:
+    """``records`` (signal_id, steps: array of step, name, version, parameters, in order)
+    with ``links``, a link a step with its input and output hash."""
     begin = F.array(F.struct(F.lit(0).cast("long").alias("step"), F.lit("").alias("name"), F.lit("").alias("input_hash"), F.lit(source).alias("output_hash")))
 
     def link(done: Column, s: Column) -> Column:
@@ -119,7 +123,14 @@ def chained(steps: DataFrame, source: str) -> DataFrame:
         out = F.sha2(F.concat_ws("|", s["name"], s["version"], s["parameters"], last), 256)
         return F.concat(done, F.array(F.struct(s["step"].alias("step"), s["name"].alias("name"), last.alias("input_hash"), out.alias("output_hash"))))
 
-    return listed.select("signal_id", F.explode(F.slice(F.aggregate("steps", begin, link), 2, F.size("steps"))).alias("s")).select("signal_id", "s.*")
+    return records.withColumn("links", F.slice(F.aggregate("steps", begin, link), 2, F.size("steps")))
+
+
+def chained(steps: DataFrame, source: str) -> DataFrame:
+    """``steps`` (signal_id, step, name, version, parameters) with input and output hashes:
+    each output covers the step and its input, which is the output before."""
+    records = _listed(steps, "steps", "step", "name", "version", "parameters")
+    return linked(records, source).select("signal_id", F.explode("links").alias("s")).select("signal_id", "s.*")
 
 
 def verified(chain: DataFrame) -> DataFrame:
@@ -131,13 +142,33 @@ def verified(chain: DataFrame) -> DataFrame:
 
 
 def recomputed(chain: DataFrame, steps: DataFrame, source: str) -> DataFrame:
+    """``rechecked`` for a chain and the recorded steps in tables of their own, which meet
+    as one row a signal."""
+    links = _listed(chain, "links", "step", "input_hash", "output_hash")
+    return rechecked(links.join(_listed(steps, "steps", "step", "name", "version", "parameters"), "signal_id", "left"), source)
+
+
+def rechecked(records: DataFrame, source: str) -> DataFrame:
     """As ``verified``, with every output hash computed anew from the recorded step (name,
-    version, parameters) and its input, and the first input held against the source."""
-    before = F.coalesce(F.lag("output_hash").over(Window.partitionBy("signal_id").orderBy("step")), F.lit(source))
-    known = chain.join(steps.select("signal_id", "step", F.col("name").alias("_name"), "version", "parameters"), ["signal_id", "step"], "left")
-    again = F.sha2(F.concat_ws("|", "_name", "version", "parameters", "input_hash"), 256)
-    good = known.withColumn("_ok", F.coalesce((before == F.col("input_hash")) & (again == F.col("output_hash")), F.lit(False)))
-    found = good.groupBy("signal_id").agg(F.bool_and("_ok").alias("is_valid"), F.count("*").alias("steps"))
+    version, parameters) and its input, and the first input held against the source.
+
+    ``records`` hold a chain (``links``, in order) beside its recorded ``steps``, so that no
+    hash is shuffled. A signal in several records is no valid chain: the second begins at
+    the source, not at an output."""
+
+    def holds(link: Column, i: Column) -> Column:
+        def gives(s: Column) -> Column:
+            again = F.sha2(F.concat_ws("|", s["name"], s["version"], s["parameters"], link["input_hash"]), 256)
+            return (s["step"] == link["step"]) & (again == link["output_hash"])
+
+        before = F.when(i == 0, F.lit(source)).otherwise(F.get("links", i - 1)["output_hash"])
+        # A link's record mostly has its place; a search of all would square long chains.
+        recorded = F.coalesce(gives(F.get("steps", i)), F.lit(False)) | F.exists("steps", gives)
+        return F.coalesce((before == link["input_hash"]) & recorded, F.lit(False))
+
+    valid = F.forall(F.transform("links", holds), lambda x: x)
+    each = records.select("signal_id", valid.alias("_ok"), F.size("links").cast("long").alias("_n"))
+    found = each.groupBy("signal_id").agg((F.bool_and("_ok") & (F.count("*") == 1)).alias("is_valid"), F.sum("_n").alias("steps"))
     return found.withColumn("error", F.when(~F.col("is_valid"), F.lit("LN003")))
 
 

@@ -12,6 +12,7 @@ from html.parser import HTMLParser
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -552,6 +553,31 @@ def test_packing(documents, nothing):
     assert packing.pack(documents, WORDS).groupBy("doc_id").count().count() == 10
 
 
+def test_words_of_many_texts_are_learned_together(monkeypatch):
+    tokenizer, words = Tokenizer.from_file(WORDS), packing.Words(open(WORDS).read())
+    rng = np.random.default_rng(17)
+    texts = [None, "", " \t\n", "It's 2 o'clock, isn't it?!", "\x85ÀÉ\u3000Straße\u2028ǅ\xa0ŉ Ⱥb ªº İx", "a\x1cb\x1f c", "..!! word... (word) 'word' wo.rd ﬁn e\u0301t\u0301"]
+    texts += ["".join(chr(int(c)) for c in rng.choice([*range(0x20, 0x250), 0x301, 0x2003, 0x4E00, 0x1F600, 9, 10, 0x1D], 60)) for _ in range(300)]
+    texts += [w + m for w, m in zip(["x" * 50, "y", "Z" * 33], ["!" * 40, "=" * 33, "?"], strict=True)]
+    monkeypatch.setattr(packing.Words, "BYTES", 500)
+    for given in (pa.array(texts), pa.array(texts, pa.large_string()).slice(2, 200), pa.array(["", None]), pa.array([], pa.string())):
+        found = [np.frombuffer(x, "<u4").tolist() for x in words.each(given)]
+        assert found == [tokenizer.encode(t or "", add_special_tokens=False).ids for t in given.to_pylist()]
+
+    class Counted:
+        calls = 0
+
+        def encode_batch_fast(self, *args, **options):
+            self.calls += 1
+            return tokenizer.encode_batch_fast(*args, **options)
+
+    monkeypatch.undo()
+    words.tokenizer, fresh = Counted(), ["".join(x) for x in rng.choice([*"abcdefgh"], (2000, 12))]
+    found = list(words.each(pa.array(fresh)))
+    assert [np.frombuffer(x, "<u4").tolist() for x in found] == [tokenizer.encode(t, add_special_tokens=False).ids for t in fresh]
+    assert words.tokenizer.calls <= 8 and list(words.each(pa.array(fresh))) == found and words.tokenizer.calls <= 8
+
+
 def test_packer_keeps_its_bounds():
     rng = np.random.default_rng(6)
     packer = packing.Packer(64, 4, 2)

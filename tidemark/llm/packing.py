@@ -24,6 +24,7 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -49,17 +50,19 @@ class Words:
     """Ids of a text by a ``tokenizers`` file that lower-cases and whose pre-tokenizer
     parts letters, digits, the rest and white space.
 
-    Each run without white space is encoded once and remembered. A new run of plain Latin
-    letters, with or without punctuation behind, is put together from its parts; new words
-    are encoded many at a time, as one text in which each ends where a word-end token does.
-    Any other run is encoded by itself.
+    Texts are taken some megabytes at a time: Arrow parts them at white space and finds their
+    distinct runs. A run of plain Latin letters, with or without punctuation behind, is put
+    together from its parts; lower-cased words are remembered, and new ones encoded many at
+    a time, as one text in which each ends where a word-end token does. Any other run is
+    encoded by itself and remembered too.
     """
 
     ODD = re.compile("[\x1c-\x1f]")
     SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
     MARKS = "!#$%&*+,-./:;<=>?@^_`{|}~()[]\"\\"
     PLAIN = re.compile("[A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u012f\u0131-\u024f]+")
-    AT_ONCE = 256
+    LETTERS = "".join(filter(PLAIN.fullmatch, map(chr, range(0x250))))
+    AT_ONCE, BYTES = 256, 4 << 20
 
     def __init__(self, spec: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -75,44 +78,80 @@ class Words:
     def _one(self, word: str) -> bytes:
         return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _learn(self, missing: set[str]) -> None:
-        seen, plain, parts = self.seen, self.plain, []
-        for word in missing:
-            core = word.rstrip(self.MARKS)
-            if self.PLAIN.fullmatch(core):
-                parts.append((word, core.lower(), word[len(core) :]))
-            else:
-                seen[word] = self._one(word)
-        fresh = list({core for _, core, _ in parts if core not in plain})
-        for at in range(0, len(fresh), self.AT_ONCE):
-            words = fresh[at : at + self.AT_ONCE]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+    def _others(self, words: list[str]) -> list[bytes]:
+        out = []
+        for word in words:
+            ids = self.seen.get(word)
+            if ids is None:
+                ids = self._one(word)
+                if len(word) <= LONGEST:
+                    self.seen[word] = ids
+            out.append(ids)
+        return out
+
+    def _plains(self, words: list[str]) -> list[bytes]:
+        """Of distinct lower-cased words of letters."""
+        out = list(map(self.plain.get, words))
+        missing = [i for i, ids in enumerate(out) if ids is None]
+        for at in range(0, len(missing), self.AT_ONCE):
+            places = missing[at : at + self.AT_ONCE]
+            fresh = [words[i] for i in places]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(fresh)], add_special_tokens=False)[0].ids, "<u4")
             ends = (np.flatnonzero(self.ending[ids]) + 1).tolist()
-            if len(ends) == len(words):
+            if len(ends) == len(fresh):
                 data = ids.tobytes()
-                plain.update((w, data[4 * a : 4 * b]) for w, a, b in zip(words, [0, *ends[:-1]], ends, strict=True))
+                found = [data[4 * a : 4 * b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+            else:
+                found = list(map(self._one, fresh))
+            for i, word, ids in zip(places, fresh, found, strict=True):
+                out[i] = ids
+                if len(word) <= LONGEST:
+                    self.plain[word] = ids
+        return out
+
+    def _runs(self, runs: pa.Array) -> pa.Array:
+        """Of distinct runs without white space."""
+        if len(self.seen) + len(self.plain) > REMEMBERED:
+            self.seen.clear()
+            self.plain.clear()
+
+        def of(words: pa.Array, learn: Callable[[list[str]], list[bytes]]) -> pa.Array:
+            held = words.dictionary_encode()
+            ids = learn(held.dictionary.to_numpy(zero_copy_only=False).tolist())
+            return pa.array(ids, pa.large_binary()).take(held.indices)
+
+        core = pc.utf8_rtrim(runs, self.MARKS)
+        plain = pc.match_substring_regex(core, f"^(?:{self.PLAIN.pattern})$")
+        words = of(pc.utf8_lower(core.filter(plain)), self._plains)
+        tails = of(pc.utf8_ltrim(runs.filter(plain), self.LETTERS), self._others)
+        whole = pc.binary_join_element_wise(words, tails, pa.scalar(b"", pa.large_binary()))
+        other = of(runs.filter(pc.invert(plain)), self._others)
+        first = plain.to_numpy(zero_copy_only=False)
+        places = np.where(first, np.cumsum(first), len(whole) + np.cumsum(~first)) - 1
+        return pa.concat_arrays([whole, other]).take(pa.array(places))
+
+    def each(self, texts: pa.Array) -> Iterator[bytes]:
+        """The ids of every text (null: empty) as little-endian unsigned 32-bit numbers."""
+        texts = pc.fill_null(texts, "")
+        part = np.cumsum(pc.binary_length(texts).to_numpy().astype("i8")) // self.BYTES
+        cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(texts)]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            some = texts.slice(a, b - a)
+            if pc.any(pc.match_substring_regex(some, self.ODD.pattern)).as_py():
+                split = [self.SPACE.split(t) if self.ODD.search(t) else t.split() for t in some.to_pylist()]
+                lists = pa.array(split, pa.list_(pa.large_string()))
             else:
-                plain.update((w, self._one(w)) for w in words)
-        for word, core, marks in parts:
-            if marks and marks not in plain:
-                plain[marks] = self._one(marks)
-            seen[word] = plain[core] + plain[marks] if marks else plain[core]
+                lists = pc.utf8_split_whitespace(some)
+            runs = lists.flatten().dictionary_encode()
+            ids = self._runs(runs.dictionary).take(runs.indices)
+            _, offsets, data = ids.buffers()
+            ends = np.frombuffer(offsets, "i8")[lists.offsets.to_numpy()].tolist() if len(ids) else [0] * (b - a + 1)
+            held = memoryview(data) if data else b""
+            for at, end in zip(ends[:-1], ends[1:], strict=True):
+                yield bytes(held[at:end])
 
     def __call__(self, text: str) -> bytes:
-        """The ids as little-endian unsigned 32-bit numbers."""
-        words = self.SPACE.split(text) if self.ODD.search(text) else text.split()
-        seen = self.seen
-        if missing := [w for w in words if w not in seen]:
-            if len(seen) + len(self.plain) > REMEMBERED:
-                seen.clear()
-                self.plain.clear()
-                missing = words
-            fresh = set(missing)
-            long = {w: self._one(w) for w in fresh if len(w) > LONGEST}
-            self._learn(fresh.difference(long))
-            if long:
-                return b"".join(long[w] if w in long else seen[w] for w in words)
-        return b"".join(map(seen.__getitem__, words))
+        return next(self.each(pa.array([text])))
 
 
 _words: dict[str, Words] = {}
@@ -241,8 +280,8 @@ def pack(documents: DataFrame, tokenizer: str, length: int = LENGTH, open_window
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, TYPES, strict=True)], NAMES)
 
         for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id"), batch.column("text"), strict=True):
-                packer.add(doc_id.as_py(), words(text.as_py() or "") + end)
+            for doc_id, ids in zip(batch.column("doc_id"), words.each(batch.column("text")), strict=True):
+                packer.add(doc_id.as_py(), ids + end)
             yield made()
         packer.close()
         yield made()
